@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from recordloom.llm import quality
+from recordloom.llm import decontaminate, quality, secrets, token_counts
 
-QUERIES = {"op3_quality_rules": quality.op3_quality_rules}
-ORACLE_SQL = {"op3_quality_rules": quality.ORACLE_SQL}
+QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op3_quality_rules": quality.op3_quality_rules,
+    "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+}
+ORACLE_SQL = {
+    "op3_quality_rules": quality.ORACLE_SQL,
+    "op9_secret_scans": secrets.ORACLE_SQL,
+    "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+}
