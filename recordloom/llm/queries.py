@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from recordloom.llm import decontaminate, quality, secrets, token_counts
+from recordloom.llm import decontaminate, jaccard, quality, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
