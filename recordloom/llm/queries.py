@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from recordloom.llm import decontaminate, jaccard, quality, secrets, token_counts
+from recordloom.llm import decontaminate, jaccard, language, pieces, quality, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op5_language_id": language.op5_language_id,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
