@@ -14,7 +14,7 @@ from recordloom.llm import decontaminate, jaccard, language, pieces, secrets
 from recordloom.llm.storage import documents, materialize
 
 #: A document is rejected if the best language's calibrated probability is lower.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
