@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from recordloom.llm import decontaminate, jaccard, language, pieces, quality, secrets, token_counts
+from recordloom.llm import chat, decontaminate, jaccard, language, licenses, pieces, quality, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_language_id": language.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
@@ -14,7 +16,9 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLE_SQL = {
+    "op2_chat_formatting": chat.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op4_license_scans": licenses.ORACLE_SQL,
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
