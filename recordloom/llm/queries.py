@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, decontaminate, jaccard, language, licenses, pieces, quality, secrets, token_counts
+from recordloom.llm import chat, decontaminate, jaccard, language, licenses, pieces, quality, secrets, token_counts, urls
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scans": licenses.op4_license_scans,
     "op5_language_id": language.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_url_filters": urls.op7_url_filters,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
@@ -19,6 +20,7 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
     "op4_license_scans": licenses.ORACLE_SQL,
+    "op7_url_filters": urls.ORACLE_SQL,
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
