@@ -7,6 +7,7 @@
    shared, so a class is dropped if its prefix, taken in order of rarity, has no other kind.
 3. Classes with the same prefix and size are one group.  Classes that share a first or last prefix shingle
    are compared in bounded chunks; that links most copies at little cost, and components of it are taken.
+   Then, for each prefix shingle, the most central classes of its components are compared with one hub.
 4. Completeness: prefix shingles that still meet two or more components are joined, once for each group and
    component; pairs within the size and positional bounds are expanded to members and all are verified.
    A pair within one component needs no comparison: the result is the components.
@@ -36,6 +37,7 @@ N = 5
 PERCENT = 80
 #: Classes that are compared with each other in one chunk of step 3, about, and the clusters of it that a class is compared with.
 CHUNK, LOOKBACK = 256, 16
+HUB_ROUNDS = 2
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -208,18 +210,19 @@ def chunk_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if key != (token, chunk):
                     key, seen = (token, chunk), []
                 own = np.frombuffer(toks, np.uint64)
-                for other, other_size, other_toks in reversed(seen):
+                for other, other_size, other_toks in seen:
                     if similar(own, other_toks, size, other_size, percent):
                         out.append((other, cls))
                         break
                 else:
-                    seen = [*seen[1 - LOOKBACK :], (cls, size, own)]
+                    # the most central clusters and the latest ones stay in view
+                    seen = [*seen[: LOOKBACK // 2], *seen[LOOKBACK // 2 :][1 - LOOKBACK // 2 :], (cls, size, own)]
             yield _rows({"a": pa.int64(), "b": pa.int64()}, out)
             out = []
 
-    ends = classes.select("cls", "size", "toks", F.explode("ends").alias("e"))
+    ends = classes.select("cls", "size", "single", "toks", F.explode("ends").alias("e"))
     chunk = F.pmod(F.xxhash64("cls"), F.greatest(F.col("e.df") / CHUNK, F.lit(1)).cast("long"))
-    dealt = ends.select(F.col("e.token").alias("token"), chunk.alias("chunk"), "cls", "size", "toks").repartition("token", "chunk").sortWithinPartitions("token", "chunk", "size", "cls")
+    dealt = ends.select(F.col("e.token").alias("token"), chunk.alias("chunk"), "cls", "size", "toks", "single").repartition("token", "chunk").sortWithinPartitions("token", "chunk", "single", "cls").drop("single")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -232,15 +235,32 @@ def _bounds(percent: int) -> Column:
     return (percent * large <= 100 * small) & ((rest + 1) * (100 + percent) >= need) & (held * (100 + percent) >= need)
 
 
-def remaining_pairs(classes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): the pairs of classes in two components that share a prefix shingle within the bounds."""
-    placed = materialize(classes.select("cls", "size", "single", "shared", "gid", "prefix").join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root"), "jaccard-placed")
-    # one member stands for a group's members of one component
+def placed_classes(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The classes with comp, the component that they are in so far."""
+    known = classes.select("cls", "size", "single", "shared", "gid", "prefix").join(roots, F.col("cls") == F.col("node"), "left")
+    return materialize(known.withColumn("comp", F.coalesce("root", "cls")).drop("node", "root"), "jaccard-placed")
+
+
+def mixed_postings(placed: DataFrame) -> DataFrame:
+    """(token, gid, comp, cls, size, single, shared, at) of prefix shingles that meet several components; one member stands for a group's members of a component."""
     heads = placed.groupBy("gid", "comp").agg(F.min("cls").alias("cls"))
-    posted = materialize(placed.join(heads.select("cls"), "cls").select("gid", "comp", "size", "single", "shared", F.posexplode("prefix").alias("i", "token")).select("token", "gid", "comp", "size", "shared", (F.col("single") + F.col("i") + 1).alias("at")), "jaccard-postings")
+    listed = placed.join(heads.select("cls"), "cls").select("cls", "gid", "comp", "size", "single", "shared", F.posexplode("prefix").alias("i", "token"))
+    posted = materialize(listed.withColumn("at", F.col("single") + F.col("i") + 1).drop("i"), "jaccard-postings")
     mixed = posted.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("token")
-    left = materialize(posted.join(mixed, "token"), "jaccard-mixed")
-    pairs = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _bounds(percent))
+    return materialize(posted.join(mixed, "token"), "jaccard-mixed")
+
+
+def hub_pairs(posted: DataFrame) -> DataFrame:
+    """(a, b): for each shingle, the most central class of its largest component with that of every other one (central: fewest shingles of its own)."""
+    member = F.struct("single", "cls", "comp", "size", "shared", "at")
+    centers = posted.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(member).alias("c")).select("token", "n", "c")
+    hubs = centers.groupBy("token").agg(F.max(F.struct("n", "c")).alias("h")).select("token", F.col("h.c").alias("c"))
+    return centers.select("token", "c.*").alias("a").join(hubs.select("token", "c.*").alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _bounds(PERCENT)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+
+def remaining_pairs(placed: DataFrame, posted: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the pairs of classes in two components that share a prefix shingle within the bounds."""
+    pairs = posted.alias("a").join(posted.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & _bounds(percent))
     groups = pairs.select(F.col("a.gid").alias("ga"), F.col("a.comp").alias("ca"), F.col("b.gid").alias("gb"), F.col("b.comp").alias("cb")).distinct()
     members = placed.select("cls", "gid", "comp")
     one = members.select(F.col("cls").alias("a"), F.col("gid").alias("ga"), F.col("comp").alias("ca"))
@@ -261,15 +281,26 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def linked_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of all links between the classes."""
+    roots = components(chunk_links(classes, percent))
+    for last in (*[False] * HUB_ROUNDS, True):
+        placed = placed_classes(classes, roots)
+        posted = mixed_postings(placed)
+        pairs = materialize(remaining_pairs(placed, posted, percent) if last else hub_pairs(posted), "jaccard-pairs")
+        found = materialize(verified(pairs, classes, percent), "jaccard-links")
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    return roots
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, cls and component_id of each row."""
     spark = docs.sparkSession
     shards = max(8, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = materialize(describe(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n), "jaccard-rows")
     classes = materialize(candidate_classes(shared_shingles(docs, text, n, shards), percent), "jaccard-classes")
-    links = materialize(chunk_links(classes, percent), "jaccard-links")
-    pairs = materialize(remaining_pairs(classes, components(links), percent), "jaccard-pairs")
-    roots = components(links.unionByName(verified(pairs, classes, percent)))
+    roots = linked_components(classes, percent)
     keyed = rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
     ids = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return keyed.join(ids, "comp", "left").select("doc_id", "n_shingles", "cls", F.coalesce("least", "doc_id").alias("component_id"))
