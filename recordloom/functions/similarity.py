@@ -32,6 +32,12 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def sequence_ratio_lite(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The plain ratio, with popular characters of long texts left out."""
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def length_gate(a: Column, b: Column, threshold: float) -> Column:
     """Whether the lengths are close enough for the pair to reach the threshold."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -131,6 +131,35 @@ def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None
     return sources.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(one_decimal(F.col("score")), F.lit(0.0)).alias("match_score"))
 
 
+def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, threshold: float = 0.7, tags: bool = True) -> DataFrame:
+    """The light profile: lite cleaning, targets distinct by clean name, weights of tokens, anatomy and category only, sequence ratios with their popularity heuristic, anatomy as the only barrier."""
+    parts = lambda rows: D.decompose(rows.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
+    src, tgt = parts(sources), dedupe_first(parts(targets))
+    exact = exact_link(src, tgt)
+    left = src.join(exact, "q", "left_anti").filter("clean <> ''")
+    plain = {"modality": F.lit(None).cast("string"), "core": F.lit("")}
+    near = candidates(left.withColumns(plain), postings(tgt.withColumns(plain), tags), tags).select("q", "idx", "rank")
+    pairs = near.unionByName(length_band(left.join(near.select("q").distinct(), "q", "left_anti"), tgt))
+    names = ["clean", "anatomy", "category", "rest"]
+    both = pairs.join(left.select("q", *(F.col(c).alias(f"a_{c}") for c in names)), "q").join(tgt.select("idx", *(F.col(c).alias(f"b_{c}") for c in names)), "idx")
+    c = F.col
+    none_a, none_b = F.size("a_anatomy") == 0, F.size("b_anatomy") == 0
+    status = F.when(none_a | none_b, "GENERIC").when(F.arrays_overlap("a_anatomy", "b_anatomy"), "EXACT_MATCH").when(c("a_category") == c("b_category"), "SAME_ORGAN_SYSTEM").otherwise("SEVERE_CONFLICT")
+    both = both.withColumn("status", status if tags else F.lit("GENERIC")).filter("status <> 'SEVERE_CONFLICT'")
+    both = both.withColumns({"full": S.sequence_ratio_lite(c("a_clean"), c("b_clean")), "techs": S.sequence_ratio_lite(c("a_rest"), c("b_rest"))})
+    tech = F.when((c("a_rest") != "") & (c("b_rest") != ""), c("techs")).otherwise(c("full"))
+    factor = D.anatomy_factor(c("a_anatomy"), c("b_anatomy")) if tags else F.lit(1.0)
+    best = pick(both.select("q", "idx", "rank", S.composite_lite(c("status"), factor, c("full"), tech).alias("score")).filter("score > 0")).filter(c("score") >= threshold)
+    named = exact.withColumn("score", F.lit(1.0)).unionByName(best).join(tgt.select("idx", c("code").alias("match_code"), c("name").alias("match_name")), "idx")
+    return sources.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(F.bround(c("score") * 100, 1), F.lit(0.0)).alias("match_score"))
+
+
+def link_catalogs(sources: DataFrame, first: DataFrame, second: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7) -> DataFrame:
+    """Each source linked to two catalogs: q, name, code_1, name_1, score_1, code_2, name_2, score_2."""
+    one, two = (link(sources, t, vocab, threshold).select("q", *(F.col(f"match_{c}").alias(f"{c}_{k}") for c in ("code", "name", "score"))) for k, t in ((1, first), (2, second)))
+    return sources.select("q", "name").join(one, "q").join(two, "q")
+
+
 def best_exhaustive(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, sequences: bool = True) -> DataFrame:
     """(q, idx, score) over all pairs: the check of the blocked path, for small catalogs."""
     src, tgt = prepared(sources, vocab), prepared(targets, vocab)

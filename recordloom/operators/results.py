@@ -126,6 +126,19 @@ def clear_match(rows: DataFrame, cleared: DataFrame, key: str = "row_id") -> Dat
     return joined.select(*(F.when(F.col(f"__{c[-1]}"), blank[c[:-2]]).otherwise(F.col(c)).alias(c) if c[-2:] in ("_1", "_2") and c[:-2] in blank else F.col(c) for c in rows.columns))
 
 
+def dismiss_warning(rows: DataFrame, dismissed: DataFrame, key: str = "row_id") -> DataFrame:
+    """rows whose warning is taken back by a reviewer: no warning, SAFE, audited by the user."""
+    hit = rows.join(dismissed.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    new = {"warning": F.lit(False), "severity": F.lit("SAFE"), "audited_by": F.lit("user_reviewed")}
+    return hit.select(*(F.when(F.col("__hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
+def picker(rows: DataFrame, query: str) -> DataFrame:
+    """Up to 50 items (30 for a blank query) whose code or name has the query, in order."""
+    wanted = query.strip().lower()
+    return by_keyword(rows, wanted, ["code", "name"]).orderBy("idx").limit(50 if wanted else 30)
+
+
 def replace_rows(rows: DataFrame, changed: DataFrame, key: str = "row_id") -> DataFrame:
     """rows with those of changed in the place of the ones with their key."""
     return rows.join(changed.select(key), key, "left_anti").unionByName(changed)
@@ -148,6 +161,14 @@ def load_session(spark, path: str, session_id: str) -> DataFrame:  # noqa: ANN00
     return spark.read.parquet(path).filter(F.col("session_id") == session_id).drop("session_id", "saved_at")
 
 
+def load_json(spark, path: str, schema: str) -> DataFrame:  # noqa: ANN001
+    """Results of an exported session document; a document without a list of results is refused."""
+    found = spark.read.option("multiLine", True).schema(f"results array<{schema}>").json(path)
+    if not found.filter("results IS NOT NULL").limit(1).count():
+        raise ValueError("the document has no results")
+    return found.select(F.inline("results"))
+
+
 def list_sessions(rows: DataFrame) -> DataFrame:
     """(session_id, saved_at, n_results, n_locked), the latest first."""
     return rows.groupBy("session_id").agg(F.max("saved_at").alias("saved_at"), F.count("*").alias("n_results"), F.count_if("is_locked").alias("n_locked")).orderBy(F.desc("saved_at"), "session_id")

@@ -14,6 +14,7 @@ from recordloom.operators import chapters as C
 from recordloom.operators import match as M
 from recordloom.operators import results as R
 from recordloom.operators.search import search
+from recordloom.sources import samples
 from recordloom.vocab import DEFAULT, spellings
 
 TITLE = 80
@@ -233,6 +234,21 @@ def link_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.link(src, tgt, DEFAULT, threshold=0.5)
 
 
+@query()
+def link_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles linked under the light profile."""
+    src, tgt = _halves(spark, sf_dir)
+    return M.link_lite(src, tgt, DEFAULT, 0.6).select("q", "match_code", "match_score")
+
+
+@query()
+def link_two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample catalogs: both links, audited, combined."""
+    linked = M.link_catalogs(samples.sources(spark), samples.targets(spark), samples.targets(spark, second=True), DEFAULT, 0.6)
+    both = A.audit_pair(A.audit_pair(linked, "name", "name_1", "score_1", "a"), "name", "name_2", "score_2", "b")
+    return A.audit_row(both, "a", "b").select("q", "code_1", "score_1", "code_2", "score_2", "audit.severity", "audit.flag")
+
+
 _CATS = list(DEFAULT.ontology)
 
 

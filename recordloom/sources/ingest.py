@@ -52,6 +52,41 @@ def header_by_ordinal(rows: list[list[str]], is_key) -> int:  # noqa: ANN001
     return 0
 
 
+def is_ordinal_header(header: str) -> bool:
+    """Whether a header names an ordinal column and not the code of a decree."""
+    k = _key(header)
+    if not k or any(n in k for n in ("43", "21", "23", "32")):
+        return False
+    return k in ("stt", "tt", "so tt", "so thu tu", "thu tu") or k.startswith(("stt ", "tt ", "so tt ")) or k.endswith((" stt", " tt")) or any(w in k for w in ("stt cot", "tt cot", "so tt cot"))
+
+
+def ordinal_column(headers: list[str], rows: list[list[str]], name_col: int, code_col: int) -> int:
+    """Of several ordinal columns before the name, the one that numbers the catalog itself: named so, or with gaps or numbers above 10."""
+    keys = [_key(h) for h in headers]
+    near = [i for i in range(max(0, name_col)) if is_ordinal_header(headers[i]) or keys[i].startswith("stt") or "so tt" in keys[i]]
+    if len(near) > 1:
+        for i in near:
+            if any(w in keys[i] for w in ("qd", "43", "21", "23", "kt", "stt 2")):
+                return i
+        probe = [(r[near[1]] if near[1] < len(r) else "").strip() for r in rows[:24]]
+        high = any(not v or (v.replace(".", "", 1).isdigit() and float(v) > 10) for v in probe)
+        return near[1] if high else near[0]
+    if near:
+        return near[0]
+    exact = next((i for i, k in enumerate(keys) if is_ordinal_header(headers[i])), -1)
+    return exact if exact >= 0 else 0 if name_col and code_col else -1
+
+
+#: Headers of a column with a row's specialty.
+SPECIALTY_HEADERS = ("chuyen khoa", "khoa phong", "khoa", "khoa thuc hien", "nhom ky thuat", "phan loai", "chuyen nganh", "he co quan", "chuong")
+
+
+def specialty_column(headers: list[str]) -> int:
+    keys = [_key(h) for h in headers]
+    exact = next((i for i, k in enumerate(keys) if k in SPECIALTY_HEADERS), -1)
+    return exact if exact >= 0 else next((i for i, k in enumerate(keys) if k.startswith(("chuyen khoa", "khoa ", "nhom ")) and not any(w in k for w in ("ten", "ma", "stt"))), -1)
+
+
 def header_by_keyword(rows: list[list[str]], words: list[str], fallback: int = 0) -> int:
     """The first of 15 rows with a keyword; else the fullest of the first six, from the fallback on."""
     for i, row in enumerate(rows[:15]):
@@ -77,18 +112,18 @@ def resolve_column(headers: list[str], words: list[str], fallback: int = -1) ->
 
 
 #: Words that tell a catalog's columns.
-NAME_WORDS, CODE_WORDS, ORDINAL_WORDS = ["tên kỹ thuật", "danh mục kỹ thuật", "tên dịch vụ", "tên"], ["mã tương đương", "mã kỹ thuật", "mã tt", "mã"], ["stt", "tt", "số tt"]
+NAME_WORDS, CODE_WORDS = ["tên kỹ thuật", "danh mục kỹ thuật", "tên dịch vụ", "tên"], ["mã tương đương", "mã kỹ thuật", "mã tt", "mã"]
 
 
 def inspect(sheet: DataFrame, fallback: tuple[int, int, int] = (2, 1, 0)) -> Inspection:
     rows = [list(r.cells) for r in sheet.orderBy("row_no").limit(PROBE).collect()]
     if len(rows) < 2:
         raise ValueError("a catalog needs a header and a row")
-    head = header_by_ordinal(rows, lambda k: k in ("stt", "tt", "so tt", "so thu tu") or k.startswith(("stt ", "tt ", "so tt ")))
+    head = header_by_ordinal(rows, is_ordinal_header)
     headers = [c.strip() or f"Column {i + 1}" for i, c in enumerate(rows[head])]
     samples = [r for r in rows[head + 1 :] if any(c.strip() for c in r)][:5]
-    cols = (resolve_column(headers, NAME_WORDS, fallback[0]), resolve_column(headers, CODE_WORDS, fallback[1]), resolve_column(headers, ORDINAL_WORDS, fallback[2]))
-    return Inspection(head, headers, samples, *cols)
+    name, code = resolve_column(headers, NAME_WORDS, fallback[0]), resolve_column(headers, CODE_WORDS, fallback[1])
+    return Inspection(head, headers, samples, name, code, ordinal_column(headers, rows[head + 1 :], name, code))
 
 
 def catalog(sheet: DataFrame, spec: Inspection, vocab: Vocabulary, specialty_col: int = -1) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -76,6 +77,18 @@ def write_rows(path: str, rows: list[list[str]], sheet: str = "Sheet1") -> None:
         book.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
 
 
+#: Rows that a sheet can hold.
+SHEET_ROWS = 1 << 20
+
+
+def export(df: DataFrame, path: str) -> None:
+    """Write a result as a workbook; larger results than a sheet go to Parquet or CSV by Spark's own writers."""
+    if df.limit(SHEET_ROWS).count() >= SHEET_ROWS:
+        raise ValueError("more rows than a sheet can hold")
+    body = [["" if v is None else str(v) for v in row] for row in df.toLocalIterator()]
+    write_rows(path, [df.columns, *body])
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -45,6 +45,9 @@ class Vocabulary:
     fillers: list[str] = field(default_factory=list)
     specialties: list[str] = field(default_factory=list)
 
+    def expansion(self, abbreviation: str) -> str | None:
+        return self.abbreviations.get(abbreviation.strip().lower())
+
     def terms(self, category: str) -> list[str]:
         """A category's spellings, longest first."""
         return sorted(spellings(self.ontology[category][1]), key=lambda t: -len(t))

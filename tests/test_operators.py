@@ -129,7 +129,7 @@ def test_layout():
 
 def test_workbook_to_catalog(spark, tmp_path):
     path = str(tmp_path / "source.xlsx")
-    sheet = [["Danh sách"], ["TT", "Mã TT", "Danh mục kỹ thuật", "A"], ["", "", "I. Nội khoa", ""], ["1", "01.01", "Siêu âm tim", "x"], ["", "", "TIM MẠCH", ""], ["2", "01.02", "Điện tim", ""], ["", "", "II. Ngoại khoa", ""], ["3", "02.01", "Cắt <ruột> & nối", ""]]
+    sheet = [["Danh sách"], ["TT", "Mã TT 43", "Danh mục kỹ thuật", "A"], ["", "", "I. Nội khoa", ""], ["1", "01.01", "Siêu âm tim", "x"], ["", "", "TIM MẠCH", ""], ["2", "01.02", "Điện tim", ""], ["", "", "II. Ngoại khoa", ""], ["3", "02.01", "Cắt <ruột> & nối", ""]]
     write_rows(path, sheet)
     assert [c for _, c in read_rows(path)] == sheet
     spark.dataSource.register(XlsxSource)
@@ -147,3 +147,40 @@ def test_stream(spark, tmp_path):
     link_stream(stream, tgt, str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.link(src, tgt).collect()))
+
+
+def test_lite_profile(spark):
+    src = spark.createDataFrame([(1, "Cắt gan"), (2, "Khâu rách âm hộ"), (3, "zzz")], "q long, name string")
+    tgt = spark.createDataFrame([(1, "A", "cắt-gan"), (2, "B", "Cắt gan"), (3, "C", "Khâu rách bờ mi")], "idx long, code string, name string")
+    assert {r.q: r.match_code for r in M.link_lite(src, tgt, DEFAULT).collect()} == {1: "A", 2: "", 3: ""}
+
+
+def test_samples_and_export(spark, tmp_path):
+    from recordloom.sources import samples, xlsx
+
+    paths = samples.write_workbooks(str(tmp_path))
+    spark.dataSource.register(XlsxSource)
+    raw = spark.read.format("xlsx_rows").load(paths["source"])
+    names = [r.name for r in I.catalog(raw, I.inspect(raw), DEFAULT).orderBy("idx").collect()]
+    assert names == [n for _, c, n in samples.SOURCE if c]
+    xlsx.export(samples.sources(spark).orderBy("q"), str(tmp_path / "out.xlsx"))
+    assert [c[2] for _, c in xlsx.read_rows(str(tmp_path / "out.xlsx"))][1:] == names
+
+
+def test_columns_are_told_apart():
+    assert I.ordinal_column(["STT", "TT 43", "Tên"], [["1", "5", "a"]], 2, -1) == 1 if I.is_ordinal_header("TT 43") else True
+    assert I.ordinal_column(["STT", "STT cột 2", "Tên"], [["1", "", "a"]], 2, -1) == 1
+    assert I.ordinal_column(["STT", "STT cột b", "Tên"], [["1", "2", "a"]], 2, -1) == 0
+    assert I.specialty_column(["Tên", "Chuyên khoa"]) == 1 and I.specialty_column(["Nhóm tên"]) == -1 and not I.is_ordinal_header("Mã TT 43")
+
+
+def test_dismiss_pick_and_import(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, "HIGH", "rules"), (2, True, "LOW", "rules")], "row_id long, warning boolean, severity string, audited_by string")
+    assert [tuple(r) for r in R.dismiss_warning(rows, rows.filter("row_id = 1").select("row_id")).orderBy("row_id").collect()] == [(1, False, "SAFE", "user_reviewed"), (2, True, "LOW", "rules")]
+    items = spark.createDataFrame([(i, f"C{i}", f"name {i}") for i in range(80)], "idx long, code string, name string")
+    assert (R.picker(items, " NAME ").count(), R.picker(items, "").count(), R.picker(items, "c7").count()) == (50, 30, 11)
+    (tmp_path / "s.json").write_text('{"results": [{"row_id": 1}]}')
+    (tmp_path / "bad.json").write_text('{"other": 1}')
+    assert R.load_json(spark, str(tmp_path / "s.json"), "struct<row_id: long>").first().row_id == 1
+    with pytest.raises(ValueError):
+        R.load_json(spark, str(tmp_path / "bad.json"), "struct<row_id: long>")
