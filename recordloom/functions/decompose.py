@@ -42,15 +42,10 @@ def decompose(df: DataFrame, text: str, vocab: Vocabulary) -> DataFrame:
         forced = F.exists(_phrases(spellings(vocab.forced[1])), lambda p: F.contains(t, p))
     shown = []
     for name, patterns in vocab.modalities.items():
-        barred = {p: words for p, words in vocab.excluded.get(name, [])}
-        here = F.lit(False)
-        for p in patterns:
-            one = F.lit(False)
-            for s in spellings([p]):
-                one |= contains_word(t, s)
-            for w in spellings(barred.get(p, [])):
-                one &= ~F.contains(t, F.lit(w))
-            here |= one
+        barred = dict(vocab.excluded.get(name, []))
+        here = F.size(hits(t, spellings([p for p in patterns if p not in barred]))) > 0
+        for p, words in barred.items():
+            here |= (F.size(hits(t, spellings([p]))) > 0) & ~F.exists(_phrases(spellings(words)), lambda w: F.contains(t, w))
         if vocab.forced and name == vocab.forced[0]:
             here |= forced
         shown.append(F.when(here, F.lit(name)))

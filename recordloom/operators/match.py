@@ -119,7 +119,8 @@ def pick(pairs: DataFrame) -> DataFrame:
 def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
     """(q, name, match_code, match_name, match_score): one row a source; unmatched is empty with score 0."""
     tags = tags and vocab is not None
-    src, tgt = prepared(sources, vocab), prepared(targets, vocab)
+    # each is read in several places: names are taken apart once
+    src, tgt = prepared(sources, vocab).persist(), prepared(targets, vocab).persist()
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti")
     near = candidates(left, postings(tgt, tags), tags).select("q", "idx", "rank")
@@ -134,7 +135,7 @@ def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None
 def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, threshold: float = 0.7, tags: bool = True) -> DataFrame:
     """The light profile: lite cleaning, targets distinct by clean name, weights of tokens, anatomy and category only, sequence ratios with their popularity heuristic, anatomy as the only barrier."""
     parts = lambda rows: D.decompose(rows.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
-    src, tgt = parts(sources), dedupe_first(parts(targets))
+    src, tgt = parts(sources).persist(), dedupe_first(parts(targets)).persist()
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
     plain = {"modality": F.lit(None).cast("string"), "core": F.lit("")}
