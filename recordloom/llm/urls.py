@@ -4,7 +4,8 @@ A path's first DEPTH segments (the last stands for all deeper ones too) form a s
 digit is a wildcard; so is every child of a node that has more than FANOUT different ones.  Templates of one
 host that differ in their last fixed segment are siblings: in order of their blocked share, neighbours whose
 shares don't differ significantly are merged.  A merged template is rejected if the blocked share of its
-labelled urls, smoothed by PRIOR urls at the share of all, is at least REJECT.  A rule's verdict goes first.
+labelled urls, smoothed by PRIOR urls at the share of all, is at least REJECT; without labelled urls it is
+not rejected.  A rule's verdict goes first.
 
 All of it is aggregates by host and shape, combined map-side, so a hot host is a few rows; the tables joined
 back hold one row a shape, and Spark broadcasts or splits by their measured size.
@@ -88,10 +89,10 @@ def template_verdicts(rows: DataFrame) -> DataFrame:
     branches = nodes.withColumns({"m0": m, "b0": b}).withColumn("new", breaks).withColumn("branch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     overall = branches.agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled")).select(F.lit(1).alias("one"), F.when(F.col("all_labelled") > 0, F.col("all_blocked") / F.col("all_labelled")).otherwise(F.lit(0.0)).alias("base"))
     merged = branches.groupBy("host", "family", "branch").agg(*sums).withColumn("one", F.lit(1)).join(overall, "one")
-    merged = merged.select("host", "family", "branch", ((F.col("blocked") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR)).alias("purity"))
+    merged = merged.select("host", "family", "branch", ((F.col("blocked") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR)).alias("purity"), (F.col("labelled") > 0).alias("known"))
     judged = branches.select("host", *_TEMPLATE, "family", "branch").join(merged, ["host", "family", "branch"])
     back = found.select("host", *_SEGMENTS, *_TEMPLATE).join(judged, ["host", *_TEMPLATE])
-    return back.select("host", *_SEGMENTS, F.rtrim(F.concat_ws("/", F.lit(""), *_TEMPLATE), F.lit("/")).alias("template"), "purity", (F.col("purity") >= REJECT).alias("rejected"))
+    return back.select("host", *_SEGMENTS, F.rtrim(F.concat_ws("/", F.lit(""), *_TEMPLATE), F.lit("/")).alias("template"), "purity", ((F.col("purity") >= REJECT) & F.col("known")).alias("rejected"))
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -141,8 +142,8 @@ near AS (SELECT *, lag(n) OVER o AS m0, lag(blocked) OVER o AS b0 FROM nodes WIN
 broken AS (SELECT *, CASE WHEN m0 IS NOT NULL AND (share - b0 / m0) * (share - b0 / m0) > {DIFFERENT} * (((b0 + blocked) / (m0 + n)) * (1 - (b0 + blocked) / (m0 + n)) * (1.0::DOUBLE / m0 + 1.0::DOUBLE / n)) THEN 1 ELSE 0 END AS new FROM near),
 branches AS (SELECT *, sum(new) OVER (PARTITION BY host, family ORDER BY share, {_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM broken),
 base AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS base FROM branches),
-merged AS (SELECT host, family, branch, (sum(blocked) + {PRIOR} * any_value(base)) / (sum(labelled) + {PRIOR}) AS purity FROM branches, base GROUP BY host, family, branch),
-judged AS (SELECT host, {_S}, purity FROM l{DEPTH} JOIN branches USING (host, {_T}) JOIN merged USING (host, family, branch))
-SELECT page_id, shaped.host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+merged AS (SELECT host, family, branch, (sum(blocked) + {PRIOR} * any_value(base)) / (sum(labelled) + {PRIOR}) AS purity, sum(labelled) > 0 AS known FROM branches, base GROUP BY host, family, branch),
+judged AS (SELECT host, {_S}, purity, known FROM l{DEPTH} JOIN branches USING (host, {_T}) JOIN merged USING (host, family, branch))
+SELECT page_id, shaped.host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT} AND known THEN 'block' ELSE 'allow' END) AS verdict
 FROM shaped LEFT JOIN judged ON judged.host = shaped.host AND {" AND ".join(f"judged.{s} = shaped.{s}" for s in _SEGMENTS)}
 """
