@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.storage import materialize
+from recordloom.llm.storage import map_arrow, materialize
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +48,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of links (a, b) that isn't the smallest of its component, the smallest one."""
-    edges = materialize(links.mapInArrow(_contract, "a long, b long"), "links")
+    edges = materialize(map_arrow(links, _contract, "a long, b long"), "links")
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

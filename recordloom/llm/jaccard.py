@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import wordhash as wh
 from recordloom.llm.components import components
-from recordloom.llm.storage import documents, materialize
+from recordloom.llm.storage import documents, map_arrow, materialize
 
 N = 5
 PERCENT = 80
@@ -81,7 +81,7 @@ def describe(docs: DataFrame, keep: list[str], text: str, n: int) -> DataFrame:
             ids = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*keep, "n_shingles", "cls"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 _SHARDED = {"shard": pa.int32(), "cls": pa.binary(), "size": pa.binary(), "cnt": pa.binary(), "lo": pa.binary(), "hi": pa.binary()}
@@ -125,10 +125,10 @@ def shared_shingles(docs: DataFrame, text: str, n: int, shards: int) -> DataFram
         if not ids:
             return
         run = np.repeat(np.arange(sum(map(len, ids)), dtype=np.uint32), np.concatenate(counts))
-        ids, sizes, tokens = np.concatenate(ids), np.concatenate(sizes), np.concatenate(tokens)
+        ids, sizes, tokens, counts = np.concatenate(ids), np.concatenate(sizes), np.concatenate(tokens), None
         own = ids[run]
         order = np.lexsort((own, tokens))
-        tokens, own, run = tokens[order], own[order], run[order]
+        tokens, own, run, order = tokens[order], own[order], run[order], None
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])
         tokens, own, run = tokens[fresh], own[fresh], run[fresh]
@@ -151,8 +151,8 @@ def shared_shingles(docs: DataFrame, text: str, n: int, shards: int) -> DataFram
             a, b, r, q = at[s], at[s + 1], in_runs[s], in_runs[s + 1]
             yield _rows(_SHARED, [(int(s), _blob(own[runs[r:q]], np.uint64), _blob(size[runs[r:q]], np.uint32), _blob(counts[r:q], np.uint32), _blob(tokens[a:b], np.uint64), _blob(code[a:b], np.uint8))])
 
-    dealt = docs.select(text).mapInArrow(deal, _ddl(_SHARDED))
-    return dealt.repartitionById(shards, F.col("shard")).mapInArrow(count, _ddl(_SHARED)).repartitionById(shards, F.col("home"))
+    dealt = map_arrow(docs.select(text), deal, _ddl(_SHARDED))
+    return map_arrow(dealt.repartitionById(shards, F.col("shard")), count, _ddl(_SHARED)).repartitionById(shards, F.col("home"))
 
 
 def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -188,7 +188,7 @@ def candidate_classes(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
         yield _rows(names, out)
 
     names = {"cls": pa.int64(), "size": pa.int64(), "single": pa.int64(), "shared": pa.int64(), "gid": pa.int64(), "prefix": pa.list_(pa.int64()), "ends": pa.list_(pa.struct([("token", pa.int64()), ("df", pa.int64())])), "toks": pa.binary()}
-    return shared.mapInArrow(run, "cls long, size long, single long, shared long, gid long, prefix array<long>, ends array<struct<token: long, df: long>>, toks binary")
+    return map_arrow(shared, run, "cls long, size long, single long, shared long, gid long, prefix array<long>, ends array<struct<token: long, df: long>>, toks binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> bool:
@@ -223,7 +223,7 @@ def chunk_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     ends = classes.select("cls", "size", "single", "toks", F.explode("ends").alias("e"))
     chunk = F.pmod(F.xxhash64("cls"), F.greatest(F.col("e.df") / CHUNK, F.lit(1)).cast("long"))
     dealt = ends.select(F.col("e.token").alias("token"), chunk.alias("chunk"), "cls", "size", "toks", "single").repartition("token", "chunk").sortWithinPartitions("token", "chunk", "single", "cls").drop("single")
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def _bounds(percent: int) -> Column:
@@ -278,7 +278,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
 
     one = classes.select(F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("toks").alias("ta"))
     two = classes.select(F.col("cls").alias("b"), F.col("size").alias("sb"), F.col("toks").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "ta", "tb"), run, "a long, b long")
 
 
 def linked_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -297,7 +297,7 @@ def linked_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, cls and component_id of each row."""
     spark = docs.sparkSession
-    shards = max(8, min(1 << 15, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shards = max(8, min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = materialize(describe(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n), "jaccard-rows")
     classes = materialize(candidate_classes(shared_shingles(docs, text, n, shards), percent), "jaccard-classes")
     roots = linked_components(classes, percent)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.storage import documents
+from recordloom.llm.storage import documents, map_arrow
 
 BUCKETS = 1 << 15
 SAMPLE = 1000
@@ -123,7 +123,7 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["bucket", "df"])
 
     df = np.zeros(BUCKETS, np.int64)
-    for bucket, n in docs.select(text).mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+    for bucket, n in map_arrow(docs.select(text), run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         df[bucket] = n
     return df
 
@@ -148,7 +148,7 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             n = pa.array([None if t is None else t[1].astype(np.int32) for t in terms], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), at, n, batch.column(2), batch.column(3)], names=["id", "at", "n", "lang", "apart"])
 
-    got = picked.mapInArrow(run, "id long, at array<int>, n array<int>, lang string, apart boolean").toArrow().to_pylist()
+    got = map_arrow(picked, run, "id long, at array<int>, n array<int>, lang string, apart boolean").toArrow().to_pylist()
     got = sorted((r for r in got if r["at"]), key=lambda r: (r["id"] is None, r["id"], r["lang"], len(r["at"])))
     made = [(a := np.array(r["at"]), weigh((a, np.array(r["n"])), idf), langs.index(r["lang"]), r["apart"]) for r in got]
     weights = ftrl([m[:3] for m in made if not m[3]], len(langs))
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [predict(shared.value, t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

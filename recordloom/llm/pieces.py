@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.storage import documents
+from recordloom.llm.storage import documents, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO, MEMO_LENGTH, PAIRS = 350_000, 64, 300_000
+MEMO, MEMO_LENGTH, PAIRS = 200_000, 64, 300_000
 #: Positions between two attempts to commit.
 STRIDE = 64
 
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", m
                     cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[*keep, "n_pieces", "ids_sha256", "round_trip", *["ids"] * with_ids])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def decode(encoded: DataFrame, keep: list[str] | None = None, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, keep: list[str] | None = None, ids: str = "ids",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([None if i.as_py() is None else p.decode(i.as_py()) for i in batch.column(len(keep))], pa.string())], names=[*keep, "text"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

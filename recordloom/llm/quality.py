@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recordloom.llm import wordhash as wh
-from recordloom.llm.storage import documents, materialize
+from recordloom.llm.storage import documents, map_arrow, materialize
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -85,7 +85,7 @@ def text_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
             cols = [np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c) for c in cols)], names=[*keep, *COUNTS])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import wordhash as wh
-from recordloom.llm.storage import documents
+from recordloom.llm.storage import documents, map_arrow
 
 
 class Rule(NamedTuple):
@@ -266,7 +266,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
                     spans[row] = ",".join(s for _, s in listed)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[*keep, *counted, "base_sha256", "spans"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def replace_spans(docs: DataFrame, text: str, spans: Callable[[wh.Slice], dict[int, list[tuple[int, int, bytes]]]]) -> DataFrame:
@@ -287,7 +287,7 @@ def replace_spans(docs: DataFrame, text: str, spans: Callable[[wh.Slice], dict[i
                 column = pa.array([new.get(i, v) for i, v in enumerate(column.to_pylist())], column.type)
             yield pa.RecordBatch.from_arrays([column if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.storage import documents
+from recordloom.llm.storage import documents, map_arrow
 
 #: Fixed values of this tokenizer's file format: the visible characters that stand for themselves among the 256 byte symbols.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -131,7 +131,7 @@ def count_tokens(docs: DataFrame, keep: list[str] | None = None, text: str = "te
             n = [count(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array([x > over for x in n], pa.bool_())], names=[*batch.schema.names[:-1], "n_tokens", "over_limit"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
