@@ -29,7 +29,7 @@ from recordloom.llm.storage import documents, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO, MEMO_LENGTH, PAIRS = 200_000, 64, 300_000
+MEMO, MEMO_LENGTH, PAIRS = 150_000, 64, 200_000
 #: Positions between two attempts to commit.
 STRIDE = 64
 

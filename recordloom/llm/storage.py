@@ -6,6 +6,8 @@ so that small sides are broadcast by Spark itself and large ones are not.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,11 +39,25 @@ BATCH_ROWS = 1000
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) in small batches; the session's batch size is lowered to BATCH_ROWS where it is larger."""
+    """df.mapInArrow(run, schema) in small batches; the session's batch size is lowered to BATCH_ROWS where it is larger, and a task frees its memory at its end."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(freed, schema)
+
+
+def release_memory() -> None:
+    """Give free memory back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
