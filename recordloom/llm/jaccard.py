@@ -12,7 +12,9 @@
    component; pairs within the size and positional bounds are expanded to members and all are verified.
    A pair within one component needs no comparison: the result is the components.
 
-Every comparison is of the whole sets.  No list of postings, group or component is gathered in one task.
+Every comparison is of the whole sets.  No group or component is gathered in one task.  The counts of step 2
+hold one shard in a task, with every class that has one of its shingles: a shingle of very many different
+texts makes its shard as large.
 
 Cases.  Null and empty text, or text without words: an empty set, linked with nothing, its own component.
 Fewer than N words: one shingle.  Repeated rows, also of one doc_id, are each returned and are copies of
