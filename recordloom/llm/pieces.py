@@ -94,7 +94,7 @@ class Pieces:
         for end, c in enumerate(text, 1):
             piece, at = -1 - ord(c), len(last) - 1
             for n in lengths.get(c, ()):
-                if n >= len(last) + (n == end):
+                if n > len(last):
                     break
                 found = whole(text[end - n : end])
                 if found is not None:

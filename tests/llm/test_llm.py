@@ -206,6 +206,17 @@ def test_pieces_stream_in_a_bounded_window():
     assert len(parts) > 50 and max(map(len, parts)) < 200
 
 
+def test_pieces_that_begin_at_a_committed_joint():
+    import sentencepiece
+
+    lib, p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL)), pieces.pieces()
+    for c in "-*=_#./":
+        for n in (150, 193, 400, 1700, 5000):
+            for lead in range(65) if n <= 400 else (0, 1, 15, 31, 64):
+                text = "a" * lead + c * n
+                assert np.frombuffer(p.encode(text), "<i4").tolist() == lib.encode(text), (c, n, lead)
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Com/x?y"), (2, "https://www.example.com/en/1"), (3, "https://m.example.com/en/2#z"), (4, "ftp://q.net/fr/9"), (5, "net/es/"), (6, None), (7, "://"), (8, "http://netnet/es/"), (9, "http://b.net"), (10, "http://x.org//a///b7/c/d/e/f/g"), (11, "http://com/")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
