@@ -296,28 +296,45 @@ def linked_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, cls and component_id of each row."""
+def placed_rows(docs: DataFrame, keep: list[str], text: str, n: int, percent: int) -> DataFrame:
+    """The kept columns, n_shingles, cls and comp (a class of the row's component; null for an empty set) of each row."""
     spark = docs.sparkSession
     shards = max(8, min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = materialize(describe(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n), "jaccard-rows")
+    rows = materialize(describe(docs.select(*keep, F.col(text).alias("text")), keep, "text", n), "jaccard-rows")
     classes = materialize(candidate_classes(shared_shingles(docs, text, n, shards), percent), "jaccard-classes")
     roots = linked_components(classes, percent)
-    keyed = rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+    return rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, cls and component_id of each row."""
+    keyed = placed_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n, percent)
     ids = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return keyed.join(ids, "comp", "left").select("doc_id", "n_shingles", "cls", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, and one only of rows that repeat that id."""
-    found = materialize(near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("__id"), (F.col("doc_id") != F.col("component_id")).alias("__drop")), "jaccard-found")
-    drop = materialize(found.filter("__drop").select("__id").distinct(), "jaccard-drop")
-    again = materialize(found.filter("NOT __drop").groupBy("__id").agg(F.count("*").alias("n")).filter("n > 1").select("__id"), "jaccard-again")
-    kept = docs.join(drop, docs[doc_id] == drop["__id"], "left_anti")
+    """docs with one row of each component, and one of equal rows without a set.
+
+    A row is its id and the hash of its text, so an id that stands for different texts is judged text by text.
+    The smallest (id, hash) is kept, null ids last; of rows that repeat both, the smallest by all columns.
+    """
+    key = F.xxhash64(text)
+    keyed = placed_rows(docs.select(F.col(doc_id).alias("__id"), key.alias("__key"), F.col(text).alias("text")), ["__id", "__key"], "text", N, PERCENT)
+    best = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best"))
+    kept = F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__key") == F.col("best.key"))
+    found = materialize(keyed.join(best, "comp", "left").select("__id", "__key", (F.col("comp").isNotNull() & ~kept).alias("__drop")), "jaccard-found")
+    drop = materialize(found.filter("__drop").select("__id", "__key").distinct(), "jaccard-drop")
+    again = materialize(found.filter("NOT __drop").groupBy("__id", "__key").agg(F.count("*").alias("n")).filter("n > 1").select("__id", "__key"), "jaccard-again")
+    same = lambda rows, keys: rows[doc_id].eqNullSafe(keys["__id"]) & (F.xxhash64(rows[text]) == keys["__key"])
+    left = docs.join(drop, same(docs, drop), "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[doc_id] == again["__id"], "left_anti")
-    return once.unionByName(kept.join(again, kept[doc_id] == again["__id"], "left_semi").dropDuplicates([doc_id]))
+        return left
+    once = left.join(again, same(left, again), "left_anti")
+    repeated = left.join(again, same(left, again), "left_semi")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    single = repeated.groupBy(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__key")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return once.unionByName(single.select("__row.*"))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

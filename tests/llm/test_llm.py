@@ -294,6 +294,17 @@ def test_jaccard_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in jaccard.keep_one(rows).collect()) == [0, 1, 3]
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b, c = "a b c d e f", "k l m n o p q", "r s t u v w x y"
+    near = [" ".join(f"z{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60)) + " end"]
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, b, "t"), (3, c, "s"), (None, a, "s"), (None, c, "s"), (None, "only null", "s"), (None, "only null", "t"), (7, near[0], "s"), (7, near[1], "s"), (8, None, "t"), (8, None, "s"), (9, "", "s")]
+    want = {(1, a, "s"), (2, b, "s"), (3, c, "s"), (None, "only null", "s"), (8, None, "s"), (9, "", "s")}
+    for parts in (1, 5):
+        got = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).collect()]
+        of_near = [r for r in got if r[1] in near]
+        assert len(of_near) == 1 and len(got) == len(want) + 1 and set(got) - set(of_near) == want
+
+
 def test_components(spark):
     rnd = random.Random(6)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)]
