@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from recordloom.llm import decontaminate, jaccard, language, pieces, secrets
 from recordloom.llm.storage import documents, materialize
 
-#: A document is rejected if the best language's calibrated probability is lower.
-LEAST_SCORE = 0.3
+#: A document is rejected if the best language's calibrated probability is not this share of the way from 1 / languages to 1.
+LEAST_MARGIN = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.corpus_model(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    model = language.corpus_model(docs)
+    n = len(model.langs)
+    told = F.col("score") * n - 1 >= LEAST_MARGIN * (n - 1)
+    return language.identify(docs, model).filter((F.col("lang_pred") != "und") & told).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -379,6 +379,20 @@ def test_extra_columns_do_not_clash(spark, docs):
     assert secrets.redact(extra).columns == extra.columns
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_pipeline_rejects_texts_in_no_learned_language(spark, n):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(n)
+    make = ["lano rede sibi nuto", "xyrk vlod grum tzak", "žeš čaň řiť ůmo", "thap qhuw ooje fepf"][:n]
+    said = lambda k, words: " ".join(rnd.choice(make[k].split()) for _ in range(words))
+    rows = [(i, said(i % n, rnd.randint(5, 60)), f"l{i % n}", "s", 1) for i in range(400)]
+    rows += [(1000 + i, said(i % n, 4), None, "s", 1) for i in range(12)]
+    junk = ["".join(rnd.choice("абвгдежзийклмнопрст ") for _ in range(rnd.randint(20, 300))) for _ in range(20)]
+    rows += [(2000 + i, t, None, "s", 1) for i, t in enumerate(junk)]
+    kept = {r.doc_id for r in pipeline.language_id(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 2000}
+
+
 def test_pipeline_against_brute_force(spark, sf_dir, tmp_path, texts):
     pipeline = pytest.importorskip("corpus_pipeline")
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
