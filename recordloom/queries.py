@@ -145,6 +145,46 @@ def inverted_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.postings(M.prepared(_halves(spark, sf_dir)[1]), tags=False)
 
 
+def _texts(spark: SparkSession, sf_dir: str, key: str = "doc_id") -> DataFrame:
+    """The whole texts of all documents (key, name)."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias(key), F.col("text").alias("name"))
+
+
+_TEXTS_SQL = f"texts AS (SELECT doc_id, {LITE_SQL.format('text')} AS clean FROM documents)"
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT doc_id, clean FROM texts")
+def text_clean_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", T.clean_lite(F.col("name")).alias("clean"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(text)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS keyword FROM documents")
+def text_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("doc_id", T.keyword(F.col("name")).alias("keyword"))
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT doc_id, array_to_string({TOKENS_SQL.format('clean')}, '|') AS tokens FROM texts")
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = _texts(spark, sf_dir).select("doc_id", T.clean_lite(F.col("name")).alias("clean"))
+    return clean.select("doc_id", F.array_join(T.tokens(F.col("clean")), "|").alias("tokens"))
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT min(doc_id) AS doc_id, clean FROM texts GROUP BY clean")
+def text_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.dedupe_first(_texts(spark, sf_dir).select("doc_id", T.clean_lite(F.col("name")).alias("clean")), order="doc_id")
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT s.doc_id AS q, coalesce(min(t.doc_id), -1) AS idx FROM texts s LEFT JOIN texts t ON t.doc_id % 2 = 1 AND t.clean = s.clean AND s.clean <> '' WHERE s.doc_id % 2 = 0 GROUP BY s.doc_id")
+def text_exact_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = M.prepared(_texts(spark, sf_dir, "q").filter("q % 2 = 0")), M.prepared(_texts(spark, sf_dir, "idx").filter("idx % 2 = 1"))
+    return a.select("q").join(M.exact_link(a, b), "q", "left").select("q", F.coalesce("idx", F.lit(-1)).alias("idx"))
+
+
+@query(f"WITH {_TEXTS_SQL} SELECT DISTINCT doc_id AS idx, unnest({TOKENS_SQL.format('clean')}) AS token FROM texts")
+def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.postings(M.prepared(_texts(spark, sf_dir, "idx")), tags=False)
+
+
 @query(f"WITH {_CANDIDATES_SQL} SELECT q, idx, weight::BIGINT AS weight, rank::BIGINT AS rank FROM ranked")
 def candidate_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, tgt = _halves(spark, sf_dir)

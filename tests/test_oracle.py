@@ -33,3 +33,14 @@ def test_query(spark, db, sf_dir, name):
     got, want = entry.queries()[name](spark, sf_dir).toPandas(), db.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    long = "word " * 40
+    rows = [(1, long + "One"), (2, long + "one!"), (3, long + "two"), (4, long + "three")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: [tuple(r) for r in entry.queries()[n](spark, str(tmp_path)).collect()] for n in ("text_clean_lite", "text_keyword", "text_tokens", "text_dedupe", "text_exact_link", "text_postings")}
+    assert dict(got["text_clean_lite"]) == dict(got["text_keyword"]) == {i: t.lower().strip("!") for i, t in rows}
+    assert all(len(t.split("|")) == 41 for _, t in got["text_tokens"])
+    assert sorted(i for i, _ in got["text_dedupe"]) == [1, 3, 4] and sorted(got["text_exact_link"]) == [(2, 1), (4, -1)]
+    assert set(got["text_postings"]) == {(i, t) for i, w in enumerate(("one", "one", "two", "three"), 1) for t in ("word", w)}
