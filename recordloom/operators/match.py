@@ -1,7 +1,7 @@
 """Linking source names to a reference catalog: exact join, weighted candidates, barriers, score, pick.
 
-Sources have (q, name), targets (idx, code, name); q and idx order their rows.  Several catalogs can be
-linked at once: with a column named catalog in targets, every step works per catalog.
+Sources have (q, name), targets (idx, code, name); q and idx order their rows.  Targets are one catalog:
+link_catalogs links to two by linking twice, and catalogs stacked in targets share one exact hit and one top 50.
 """
 
 from __future__ import annotations
