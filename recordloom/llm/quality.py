@@ -1,19 +1,23 @@
 """Operator 3, quality rules: thresholds per language and source from mergeable quantile sketches.
 
 Per text one Arrow pass takes counts of words, symbols, repeated lines and repeated word windows.  The
-sketch of a metric is a histogram with exponentially growing buckets of five significant bits (relative
-error 1/32): a table of (group, metric, bucket, count), so merging is a sum and Spark combines it map-side.
-Sketches are kept per (lang, source), merged per lang and merged over all.  A group of fewer than
-MIN_GROUP rows takes the thresholds of its language, a rare language those of all rows.
-
-Cases.  Null and empty text: no words, base_failed.  Null lang or source: a group of its own.  Repeated
-rows: each is counted and returned.  An empty table gives an empty result.  Other columns of the input are
+sketch of a metric is a histogram with exponentially growing buckets of BITS significant bits (relative
+error 1/128): a table of (group, metric, bucket, count), so merging is a sum and Spark combines it map-side.
+Sketches are kept per (lang, source), merged per lang and merged over all.  There are no fixed cutoffs: a
+metric's threshold lies some spreads beyond the quantiles of its own group, where a spread is the distance of
+its two quantiles.  A group's quantiles are weighed by its rows against WEIGHT rows with those of its language,
+which are weighed in the same way against those of all rows, so small groups lean on larger ones.
+
+Cases.  Null and empty text: no words, base_failed.  Null lang or source: a group of its own.  Rows that
+failed the base rules aren't in the sketches.  A quantile is the lower bound of the bucket that holds it, so
+ties don't matter; a value at its threshold passes.  Repeated rows: each is counted and returned.  An empty table gives an empty result.  Other columns of the input are
 ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,28 @@ from recordloom.llm.storage import documents, map_arrow, materialize
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-MIN_GROUP = 200
-#: Interquartile ranges beyond the quartiles at which a text is an outlier.
-FENCE = 4
-#: Per metric (thousandths): the least upper threshold and the largest lower one; between them no text is an outlier.
-METRICS = {"symbols_per_word": (100, None), "chars_per_word": (12_000, 2_500), "dup_lines": (300, None), "repeat_words": (200, None)}
+#: Rows that a group's parent counts for.
+WEIGHT = 50
+BITS = 7
+#: Groups whose thresholds are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
+
+
+class Metric(NamedTuple):
+    low: int  #: percentages of the two quantiles
+    high: int
+    times: int  #: spreads beyond them that still pass
+    least: int  #: the least spread, in thousandths: differences below it are noise
+    both: bool  #: whether values can also be too small
+
+
+#: Per metric, a ratio in whole thousandths.  Quartiles where outliers may be many, the far tail where most rows are 0.
+METRICS = {
+    "symbols_per_word": Metric(25, 75, 4, 25, False),
+    "chars_per_word": Metric(25, 75, 5, 64, True),
+    "dup_lines": Metric(50, 99, 1, 50, False),
+    "repeat_words": Metric(50, 99, 1, 50, False),
+}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -101,15 +122,14 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """The lower bound of a value's bucket: its five leading bits."""
-    drop = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
+    """The lower bound of a value's bucket: its BITS leading bits."""
+    drop = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
 def sketch(rows: DataFrame, group: list[str]) -> DataFrame:
     """(group, metric, bucket, n): the quantile sketch of each metric in each group."""
-    names = list(METRICS)
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in names))).alias("p")
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS))).alias("p")
     return rows.select(*group, pairs).groupBy(*group, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
@@ -117,34 +137,32 @@ def merge(sketches: DataFrame, group: list[str]) -> DataFrame:
     return sketches.groupBy(*group, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, group: list[str], k: int = FENCE) -> DataFrame:
-    """(group, total, low and high per metric): quartiles of each sketch, widened."""
+def _of_metric(field: str) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for m, v in METRICS.items() for x in (m, getattr(v, field)))), F.col("metric"))
+
+
+def quantiles(sketches: DataFrame, group: list[str], tag: str) -> DataFrame:
+    """(group, metric, and under the tag: n, low, high): the rows of each sketch and its metric's two quantiles."""
     by = W.partitionBy(*group, "metric")
     ranked = sketches.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
-    q = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
-    quartiles = ranked.groupBy(*group, "metric").agg(q(1).alias("q1"), q(3).alias("q3"), F.max("total").alias("total"))
-    wide = [F.max("total").alias("total")]
-    for m, (least_high, most_low) in METRICS.items():
-        high = F.greatest(F.lit(least_high).cast("long"), F.col("q3") + k * (F.col("q3") - F.col("q1")))
-        wide.append(F.max(F.when(F.col("metric") == m, high)).alias(f"high_{m}"))
-        if most_low is not None:
-            low = F.least(F.lit(most_low).cast("long"), F.col("q1") - k * (F.col("q3") - F.col("q1")))
-            wide.append(F.max(F.when(F.col("metric") == m, low)).alias(f"low_{m}"))
-    return quartiles.groupBy(*group).agg(*wide) if group else quartiles.agg(*wide)
-
-
-def thresholds(rows: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang_key, source_key, threshold columns) for every group in rows: of the group, else its language, else all."""
-    passed = rows.filter(~F.col("base_failed"))
-    fine = materialize(sketch(passed, ["lang_key", "source_key"]), "quality-sketch")
-    names = [f"{side}_{m}" for m, (_, low) in METRICS.items() for side in (("high", "low") if low is not None else ("high",))]
-    named = lambda df, tag: df.select(*(c for c in df.columns if c.endswith("_key")), F.col("total").alias(f"{tag}_total"), *(F.col(c).alias(f"{tag}_{c}") for c in names))
-    per_group = named(fences(fine, ["lang_key", "source_key"]), "g")
-    per_lang = named(fences(merge(fine, ["lang_key"]), ["lang_key"]), "l")
-    overall = named(fences(merge(fine, []), []), "a")
-    chosen = [F.when(F.col("g_total") >= min_group, F.col(f"g_{c}")).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c) for c in names]
-    groups = per_group.join(per_lang, "lang_key").withColumn("one", F.lit(1)).join(overall.withColumn("one", F.lit(1)), "one")
-    return groups.select("lang_key", "source_key", *chosen)
+    at = lambda field: F.min(F.when(F.col("upto") * 100 >= F.col("total") * _of_metric(field), F.col("bucket")))
+    return ranked.groupBy(*group, "metric").agg(F.max("total").alias(f"{tag}_n"), at("low").alias(f"{tag}_low"), at("high").alias(f"{tag}_high"))
+
+
+def _blend(tag: str, parent: str, field: str, n: str) -> str:
+    return f"(({tag}_{n} * {tag}_{field} + {WEIGHT} * {parent}) div ({tag}_{n} + {WEIGHT}))"
+
+
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(lang_key, source_key, low_ and high_ of each metric) for every group with a row that passed the base rules."""
+    fine = materialize(sketch(rows.filter(~F.col("base_failed")), ["lang_key", "source_key"]), "quality-sketch")
+    found = quantiles(fine, ["lang_key", "source_key"], "g").join(quantiles(merge(fine, ["lang_key"]), ["lang_key"], "l"), ["lang_key", "metric"]).join(quantiles(merge(fine, []), [], "a"), "metric")
+    for side in ("low", "high"):
+        found = found.withColumn(side, F.expr(_blend("g", _blend("l", f"a_{side}", side, "n"), side, "n")))
+    reach = _of_metric("times") * F.greatest(F.col("high") - F.col("low"), _of_metric("least"))
+    of = lambda m, v: F.max(F.when(F.col("metric") == m, v))
+    wide = [of(m, v).alias(f"{side}_{m}") for m in METRICS for side, v in (("low", F.col("low") - reach), ("high", F.col("high") + reach))]
+    return found.groupBy("lang_key", "source_key").agg(*wide)
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -152,11 +170,14 @@ def judge(docs: DataFrame, keep: list[str] | None = None, text: str = "text", la
     keep = keep or ["doc_id"]
     rows = docs.select(*keep, F.concat(F.lit("="), lang).alias("lang_key"), F.concat(F.lit("="), source).alias("source_key"), F.col(text).alias("__t")).fillna("", ["lang_key", "source_key"])
     counts = materialize(with_metrics(text_counts(rows, [*keep, "lang_key", "source_key"], "__t")), "quality-counts")
-    judged = counts.join(thresholds(counts), ["lang_key", "source_key"], "left")
+    limits = materialize(thresholds(counts), "quality-thresholds")
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    judged = counts.join(limits, ["lang_key", "source_key"], "left")
     fine = ~F.col("base_failed")
-    for m, (_, low) in METRICS.items():
+    for m, v in METRICS.items():
         fine &= F.col(m) <= F.col(f"high_{m}")
-        if low is not None:
+        if v.both:
             fine &= F.col(m) >= F.col(f"low_{m}")
     return judged.withColumn("kept", F.coalesce(fine, F.lit(False)))
 
@@ -165,16 +186,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_WIDE = ", ".join(f"max(CASE WHEN metric = '{m}' THEN greatest({hi}, q3 + {FENCE} * (q3 - q1)) END) AS high_{m}" + (f", max(CASE WHEN metric = '{m}' THEN least({lo}, q1 - {FENCE} * (q3 - q1)) END) AS low_{m}" if lo is not None else "") for m, (hi, lo) in METRICS.items())
-_NAMES = [f"{side}_{m}" for m, (_, lo) in METRICS.items() for side in (("high", "low") if lo is not None else ("high",))]
+def _per_metric(field: str) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{m}' THEN {getattr(v, field)}" for m, v in METRICS.items()) + " END"
 
 
-def _fences_sql(name: str, keys: str) -> str:
+def _quantiles_sql(tag: str, keys: str) -> str:
     by = f"{keys}, metric" if keys else "metric"
-    lead, group = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
-    return f"""{name}_q AS (SELECT {by}, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM fine GROUP BY {by}, bucket)) GROUP BY {by}),
-    {name} AS (SELECT {lead}max(total) AS total, {_WIDE} FROM {name}_q {group})"""
+    return f"""{tag} AS (SELECT {by}, max(total) AS {tag}_n, min(bucket) FILTER (upto * 100 >= total * {_per_metric("low")}) AS {tag}_low, min(bucket) FILTER (upto * 100 >= total * {_per_metric("high")}) AS {tag}_high
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM fine GROUP BY {by}, bucket)) GROUP BY {by})"""
+
+
+def _blend_sql(side: str) -> str:
+    return f"(g_n * g_{side} + {WEIGHT} * ((l_n * l_{side} + {WEIGHT} * a_{side}) // (l_n + {WEIGHT}))) // (g_n + {WEIGHT}) AS {side}"
 
 
 ORACLE_SQL = rf"""
@@ -191,11 +214,13 @@ met AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fa
   CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS chars_per_word, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
   CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_words FROM counts),
 vals AS ({" UNION ALL ".join(f"SELECT lang_key, source_key, '{m}' AS metric, {m} AS v FROM met WHERE NOT base_failed" for m in METRICS)}),
-fine AS (SELECT lang_key, source_key, metric, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS bucket, count(*) AS n FROM vals GROUP BY ALL),
-{_fences_sql("g", "lang_key, source_key")},
-{_fences_sql("l", "lang_key")},
-{_fences_sql("a", "")},
-t AS (SELECT g.lang_key, g.source_key, {", ".join(f"CASE WHEN g.total >= {MIN_GROUP} THEN g.{c} WHEN l.total >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in _NAMES)} FROM g JOIN l ON l.lang_key = g.lang_key CROSS JOIN a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {" AND ".join(f"{m} <= high_{m}" + (f" AND {m} >= low_{m}" if lo is not None else "") for m, (_, lo) in METRICS.items())}, FALSE) AS kept
-FROM met LEFT JOIN t ON t.lang_key = met.lang_key AND t.source_key = met.source_key
+fine AS (SELECT lang_key, source_key, metric, (v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0) AS bucket, count(*) AS n FROM vals GROUP BY ALL),
+{_quantiles_sql("g", "lang_key, source_key")},
+{_quantiles_sql("l", "lang_key")},
+{_quantiles_sql("a", "")},
+b AS (SELECT g.lang_key, g.source_key, metric, {_blend_sql("low")}, {_blend_sql("high")} FROM g JOIN l USING (lang_key, metric) JOIN a USING (metric)),
+t AS (SELECT lang_key, source_key, metric, low - {_per_metric("times")} * greatest(high - low, {_per_metric("least")}) AS low, high + {_per_metric("times")} * greatest(high - low, {_per_metric("least")}) AS high FROM b),
+w AS (SELECT lang_key, source_key, {", ".join(f"max({side}) FILTER (metric = '{m}') AS {side}_{m}" for m in METRICS for side in ("low", "high"))} FROM t GROUP BY lang_key, source_key)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {" AND ".join(f"{m} <= high_{m}" + f" AND {m} >= low_{m}" * v.both for m, v in METRICS.items())}, FALSE) AS kept
+FROM met LEFT JOIN w ON w.lang_key = met.lang_key AND w.source_key = met.source_key
 """
