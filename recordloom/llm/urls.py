@@ -1,24 +1,30 @@
 """Operator 7, URL filters: host and path rules, then a tree of path templates per host.
 
-A path's first DEPTH segments (the last stands for all deeper ones too) form a shape.  A segment with a
-digit is a wildcard; so is every child of a node that has more than FANOUT different ones.  Templates of one
-host that differ in their last fixed segment are siblings: in order of their blocked share, neighbours whose
-shares don't differ significantly are merged.  A merged template is rejected if the blocked share of its
-labelled urls, smoothed by PRIOR urls at the share of all, is at least REJECT; without labelled urls it is
-not rejected.  A rule's verdict goes first.
+1. A segment with a digit is a wildcard.  At each node of a host's tree, so is a child that has less than SHARE
+   percent of the node's urls, or only one, unless the blocked share of its labelled urls differs significantly
+   from that of the other wildcards.  Whether a url passes a node is first told by its segments' shares among
+   the host's urls of that depth; so all nodes of all depths are judged in one pass, at any depth of path.
+2. Templates of one host that differ in their last fixed segment are siblings.  Those with labelled urls are
+   taken in order of their blocked share, and neighbours that don't differ significantly are one branch.
+3. A branch's purity is the blocked share of its labelled urls, smoothed by PRIOR urls at the share of the same
+   template on all hosts, which is smoothed in turn by PRIOR urls at the share of all.  So a template without
+   labelled urls of its own takes the evidence of its namesakes.  It is rejected if its purity is at least
+   REJECT and at least SUPPORT percent of the branch's or the namesakes' urls are labelled.
+
+Labels are the verdicts of the rules; a rule's verdict goes first.  Shares are compared on labelled urls only,
+with one url more of each kind, so that few labels tell little apart.  No limit is a count, so a verdict
+doesn't change because all groups grow alike.
 
 All of it is aggregates by host and shape, combined map-side, so a hot host is a few rows; the tables joined
 back hold one row a shape, and Spark broadcasts or splits by their measured size.
 
 Cases.  Null url, or one without `://`: empty host and path, no rule, template of the empty host.  Very
-long paths: deeper segments are one.  Repeated rows are each counted and returned; an empty table gives an
-empty result; other columns of the input are ignored.
+long paths: every segment counts.  Ties of shares are ordered by template.  Repeated rows are each counted and
+returned; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,12 +33,13 @@ from recordloom.llm.storage import materialize
 
 #: (host and path prefix, verdict)
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-DEPTH, FANOUT, PRIOR, REJECT = 4, 16, 10, 0.8
+#: Percentages of urls, urls, a share, a percentage of urls.
+SHARE, PRIOR, REJECT, SUPPORT = 2, 10, 0.8, 10
 #: The 95 % point of chi-square with one degree of freedom.
 DIFFERENT = 3.84
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SEGMENTS = [f"s{d}" for d in range(1, DEPTH + 1)]
-_TEMPLATE = [f"t{d}" for d in range(1, DEPTH + 1)]
+#: A template's last fixed segment, with the wildcards after it.
+_LAST_FIXED = r"[^/]*[^/*][^/]*((?:/\*)*)$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,43 +63,64 @@ def rule_of(host: str, path: str, rules: tuple[tuple[str, str], ...] = RULES) ->
 
 
 def shaped(rows: DataFrame, path: str = "path") -> DataFrame:
-    """rows with s1, s2, ...: the segments of the path, wildcards where they have a digit, empty where there is none."""
+    """rows with shape: the segments of the path, joined, wildcards where they have a digit."""
     segments = F.array_remove(F.split(path, "/"), "")
-    each = [F.coalesce(F.get("__segments", F.lit(d)), F.lit("")) for d in range(DEPTH)]
-    each = [F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s) for s in each]
-    each[-1] = F.when(F.size("__segments") > DEPTH, F.lit("**")).otherwise(each[-1])
-    return rows.withColumn("__segments", segments).withColumns(dict(zip(_SEGMENTS, each, strict=True))).drop("__segments")
+    return rows.withColumn("shape", F.array_join(F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)), "/"))
+
+
+def differ(b: Column, n: Column, other_b: Column, other_n: Column) -> Column:
+    """Whether two blocked shares, of b in n and other_b in other_n labelled urls, differ significantly."""
+    p, q = (b + 1) / (n + 2), (other_b + 1) / (other_n + 2)
+    return (p - q) * (p - q) > DIFFERENT * (p * (1 - p) / (n + 2) + q * (1 - q) / (other_n + 2))
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """(host, shape, template, n, labelled, blocked) of shapes (host, shape, n, labelled, blocked)."""
+    each = shapes.filter("shape <> ''").select("host", "shape", "n", "labelled", "blocked", F.posexplode(F.split("shape", "/")).alias("d", "segment"))
+    own = lambda counted, total: (F.col("segment") != "*") & (F.col(counted) >= 2) & (F.col(counted) * 100 >= SHARE * F.col(total))
+    # what is frequent at its depth of the host leads to a node of its own
+    deep = each.groupBy("host", "d").agg(F.sum("n").alias("total"))
+    often = materialize(each.groupBy("host", "d", "segment").agg(F.sum("n").alias("c")).filter("c >= 2").join(deep, ["host", "d"]).filter(own("c", "total")).select("host", "d", "segment", F.lit(True).alias("often")), "url-frequent")
+    before = W.partitionBy("host", "shape").orderBy("d").rowsBetween(W.unboundedPreceding, -1)
+    way = F.when(F.col("often"), F.col("segment")).otherwise("*")
+    nodes = each.join(often, ["host", "d", "segment"], "left").withColumn("way", way).withColumn("node", F.xxhash64(F.collect_list("way").over(before)))
+    nodes = materialize(nodes.select("host", "shape", "d", "segment", "node", "n", "labelled", "blocked"), "url-nodes")
+    key = ["host", "d", "node"]
+    children = nodes.groupBy(*key, "segment").agg(*_sums())
+    children = materialize(children.join(children.groupBy(*key).agg(F.sum("n").alias("total")), key).withColumn("own", own("n", "total")), "url-children")
+    pools = children.filter("NOT own").groupBy(*key).agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
+    told = children.filter("NOT own AND segment <> '*' AND labelled > 0").join(pools, key).filter("pool_n > labelled")
+    apart = told.filter(differ(F.col("blocked"), F.col("labelled"), F.col("pool_b") - F.col("blocked"), F.col("pool_n") - F.col("labelled")))
+    fixed = materialize(children.filter("own").select(*key, "segment").unionByName(apart.select(*key, "segment")).withColumn("fixed", F.lit(True)), "url-fixed")
+    part = F.struct("d", F.when(F.col("fixed"), F.col("segment")).otherwise("*").alias("segment"))
+    made = nodes.join(fixed, [*key, "segment"], "left").groupBy("host", "shape").agg(F.array_join(F.array_sort(F.collect_list(part))["segment"], "/").alias("made"))
+    return shapes.join(made, ["host", "shape"], "left").select("host", "shape", F.concat(F.lit("/"), F.coalesce("made", F.lit(""))).alias("template"), "n", "labelled", "blocked")
 
 
 def template_verdicts(rows: DataFrame) -> DataFrame:
-    """(host, s1.., template, purity, rejected) for every shape of rows (host, s1.., label: allow, block or null)."""
-    label = lambda v: F.count_if(F.col("label") == v)
-    shapes = materialize(rows.groupBy("host", *_SEGMENTS).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), label("block").alias("blocked")), "url-shapes")
-    found = shapes
-    for d, (s, t) in enumerate(zip(_SEGMENTS, _TEMPLATE, strict=True)):
-        node = ["host", *_TEMPLATE[:d]]
-        wide = found.filter(F.col(s) != "").groupBy(*node, s).agg(F.count("*")).groupBy(*node).agg(F.count("*").alias("fan")).filter(F.col("fan") > FANOUT)
-        found = found.join(wide, node, "left").withColumn(t, F.when(F.col("fan").isNotNull() & (F.col(s) != ""), F.lit("*")).otherwise(F.col(s))).drop("fan")
-    found = materialize(found, "url-templates")
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    # the last fixed segment is what siblings differ in
-    fixed = [~F.col(t).isin("", "*", "**") for t in _TEMPLATE]
-    last = reduce(lambda out, d: F.when(fixed[d], F.lit(d + 1)).otherwise(out), range(DEPTH), F.lit(0))
-    family = F.concat_ws("/", *(F.when(F.col("last") == d + 1, F.lit("+")).otherwise(F.col(t)) for d, t in enumerate(_TEMPLATE)))
-    nodes = found.groupBy("host", *_TEMPLATE).agg(*sums).withColumn("last", last).withColumn("family", family).withColumn("share", F.col("blocked") / F.col("n"))
-    order = W.partitionBy("host", "family").orderBy("share", *_TEMPLATE)
-    m, b = F.lag("n").over(order), F.lag("blocked").over(order)
-    pooled = (F.col("b0") + F.col("blocked")) / (F.col("m0") + F.col("n"))
-    apart = (F.col("share") - F.col("b0") / F.col("m0")) * (F.col("share") - F.col("b0") / F.col("m0"))
-    spread = pooled * (1 - pooled) * (F.lit(1.0) / F.col("m0") + F.lit(1.0) / F.col("n"))
-    breaks = F.when(F.col("m0").isNotNull() & (apart > DIFFERENT * spread), 1).otherwise(0)
-    branches = nodes.withColumns({"m0": m, "b0": b}).withColumn("new", breaks).withColumn("branch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    overall = branches.agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled")).select(F.lit(1).alias("one"), F.when(F.col("all_labelled") > 0, F.col("all_blocked") / F.col("all_labelled")).otherwise(F.lit(0.0)).alias("base"))
-    merged = branches.groupBy("host", "family", "branch").agg(*sums).withColumn("one", F.lit(1)).join(overall, "one")
-    merged = merged.select("host", "family", "branch", ((F.col("blocked") + PRIOR * F.col("base")) / (F.col("labelled") + PRIOR)).alias("purity"), (F.col("labelled") > 0).alias("known"))
-    judged = branches.select("host", *_TEMPLATE, "family", "branch").join(merged, ["host", "family", "branch"])
-    back = found.select("host", *_SEGMENTS, *_TEMPLATE).join(judged, ["host", *_TEMPLATE])
-    return back.select("host", *_SEGMENTS, F.rtrim(F.concat_ws("/", F.lit(""), *_TEMPLATE), F.lit("/")).alias("template"), "purity", ((F.col("purity") >= REJECT) & F.col("known")).alias("rejected"))
+    """(host, shape, template, purity, rejected) for every shape of rows (host, shape, label: allow, block or null)."""
+    shapes = materialize(rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked")), "url-shapes")
+    found = materialize(templates(shapes), "url-templates")
+    own = found.groupBy("host", "template").agg(*_sums()).withColumns({"family": F.regexp_replace("template", _LAST_FIXED, "+$1"), "share": (F.col("blocked") + 1) / (F.col("labelled") + 2)})
+    order = W.partitionBy("host", "family").orderBy("share", "template")
+    near = own.filter("labelled > 0").withColumns({"m0": F.lag("labelled").over(order), "b0": F.lag("blocked").over(order)})
+    new = F.when(F.col("m0").isNotNull() & differ(F.col("blocked"), F.col("labelled"), F.col("b0"), F.col("m0")), 1).otherwise(0)
+    told = near.withColumn("new", new).withColumn("branch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    branches = told.drop("m0", "b0", "new").unionByName(own.filter("labelled = 0").withColumn("branch", F.lit(None).cast("long")))
+    merged = told.groupBy("host", "family", "branch").agg(*(F.sum(c).alias(f"branch_{c}") for c in ("n", "labelled", "blocked")))
+    everywhere = own.groupBy("template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")))
+    counted = shapes.agg(F.sum("blocked"), F.sum("labelled")).first()
+    base = counted[0] / counted[1] if counted[1] else 0.0
+    judged = branches.join(merged, ["host", "family", "branch"], "left").join(everywhere, "template").withColumns({c: F.coalesce(f"branch_{c}", c) for c in ("n", "labelled", "blocked")})
+    prior = (F.col("all_blocked") + F.lit(PRIOR * base)) / (F.col("all_labelled") + PRIOR)
+    supported = (F.col("labelled") * 100 >= SUPPORT * F.col("n")) | (F.col("all_labelled") * 100 >= SUPPORT * F.col("all_n"))
+    judged = judged.withColumn("purity", (F.col("blocked") + PRIOR * prior) / (F.col("labelled") + PRIOR))
+    verdicts = judged.select("host", "template", "purity", ((F.col("purity") >= REJECT) & supported).alias("rejected"))
+    return materialize(found.select("host", "shape", "template").join(verdicts, ["host", "template"]), "url-verdicts").select("host", "shape", "template", "purity", "rejected")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -101,7 +129,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, label = rule_of("host", "path", rules)
     rows = materialize(shaped(rows.withColumns({"rule": rule, "label": label})), "url-rows")
-    judged = rows.join(template_verdicts(rows), ["host", *_SEGMENTS], "left")
+    judged = rows.join(template_verdicts(rows), ["host", "shape"], "left")
     return judged.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("label", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
@@ -114,36 +142,35 @@ def _fit_sql(text: str) -> str:
     return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')"
 
 
-def _segment_sql(d: int) -> str:
-    plain = f"CASE WHEN regexp_matches(coalesce(seg[{d}], ''), '[0-9]') THEN '*' ELSE coalesce(seg[{d}], '') END"
-    return f"CASE WHEN len(seg) > {DEPTH} THEN '**' ELSE {plain} END" if d == DEPTH else plain
-
-
-def _level_sql(d: int) -> str:
-    node = ["host", *_TEMPLATE[: d - 1]]
-    on, keys, s = " AND ".join(f"a.{c} = w.{c}" for c in node), ", ".join(node), f"s{d}"
-    return f"""l{d} AS (SELECT a.*, CASE WHEN w.host IS NOT NULL AND {s} <> '' THEN '*' ELSE {s} END AS t{d} FROM l{d - 1} a
-      LEFT JOIN (SELECT {keys} FROM l{d - 1} WHERE {s} <> '' GROUP BY {keys} HAVING count(DISTINCT {s}) > {FANOUT}) w ON {on})"""
+def _differ_sql(b: str, n: str, other_b: str, other_n: str) -> str:
+    p, q = f"(({b} + 1) / ({n} + 2))", f"(({other_b} + 1) / ({other_n} + 2))"
+    return f"(({p} - {q}) * ({p} - {q}) > {DIFFERENT}::DOUBLE * ({p} * (1 - {p}) / ({n} + 2) + {q} * (1 - {q}) / ({other_n} + 2)))"
 
 
-_S, _T = ", ".join(_SEGMENTS), ", ".join(_TEMPLATE)
-_FIXED = [f"{t} NOT IN ('', '*', '**')" for t in _TEMPLATE]
+_OWN_SQL = "segment <> '*' AND {0} >= 2 AND {0} * 100 >= " + str(SHARE) + " * {1}"
 ORACLE_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parsed AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(rest, '') AS rest FROM cut)),
-ruled AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg, CASE {" ".join(f"WHEN {_fit_sql(t)} THEN '{t}'" for t, _ in _longest_first(RULES))} END AS rule,
-  CASE {" ".join(f"WHEN {_fit_sql(t)} THEN '{v}'" for t, v in _longest_first(RULES))} END AS label FROM parsed),
-shaped AS (SELECT page_id, host, path, rule, label, {", ".join(f"{_segment_sql(d)} AS s{d}" for d in range(1, DEPTH + 1))} FROM ruled),
-l0 AS (SELECT host, {_S}, count(*) AS n, count(label) AS labelled, count(*) FILTER (label = 'block') AS blocked FROM shaped GROUP BY host, {_S}),
-{", ".join(_level_sql(d) for d in range(1, DEPTH + 1))},
-nodes AS (SELECT *, concat_ws('/', {", ".join(f"CASE WHEN last = {d} THEN '+' ELSE t{d} END" for d in range(1, DEPTH + 1))}) AS family FROM
-  (SELECT host, {_T}, CASE {" ".join(f"WHEN {_FIXED[d - 1]} THEN {d}" for d in range(DEPTH, 0, -1))} ELSE 0 END AS last, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, sum(blocked) / sum(n) AS share FROM l{DEPTH} GROUP BY host, {_T})),
-near AS (SELECT *, lag(n) OVER o AS m0, lag(blocked) OVER o AS b0 FROM nodes WINDOW o AS (PARTITION BY host, family ORDER BY share, {_T})),
-broken AS (SELECT *, CASE WHEN m0 IS NOT NULL AND (share - b0 / m0) * (share - b0 / m0) > {DIFFERENT} * (((b0 + blocked) / (m0 + n)) * (1 - (b0 + blocked) / (m0 + n)) * (1.0::DOUBLE / m0 + 1.0::DOUBLE / n)) THEN 1 ELSE 0 END AS new FROM near),
-branches AS (SELECT *, sum(new) OVER (PARTITION BY host, family ORDER BY share, {_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM broken),
-base AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS base FROM branches),
-merged AS (SELECT host, family, branch, (sum(blocked) + {PRIOR} * any_value(base)) / (sum(labelled) + {PRIOR}) AS purity, sum(labelled) > 0 AS known FROM branches, base GROUP BY host, family, branch),
-judged AS (SELECT host, {_S}, purity, known FROM l{DEPTH} JOIN branches USING (host, {_T}) JOIN merged USING (host, family, branch))
-SELECT page_id, shaped.host, path, rule, coalesce(label, CASE WHEN purity >= {REJECT} AND known THEN 'block' ELSE 'allow' END) AS verdict
-FROM shaped LEFT JOIN judged ON judged.host = shaped.host AND {" AND ".join(f"judged.{s} = shaped.{s}" for s in _SEGMENTS)}
+ruled AS (SELECT *, CASE {" ".join(f"WHEN {_fit_sql(t)} THEN '{t}'" for t, _ in _longest_first(RULES))} END AS rule, CASE {" ".join(f"WHEN {_fit_sql(t)} THEN '{v}'" for t, v in _longest_first(RULES))} END AS label,
+  array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END), '/') AS shape FROM parsed),
+shapes AS (SELECT host, shape, count(*) AS n, count(label) AS labelled, count(*) FILTER (label = 'block') AS blocked FROM ruled GROUP BY host, shape),
+each AS (SELECT host, shape, n, labelled, blocked, unnest(string_split(shape, '/')) AS segment, unnest(range(len(string_split(shape, '/')))) AS d FROM shapes WHERE shape <> ''),
+often AS (SELECT host, d, segment FROM (SELECT host, d, segment, sum(n) AS c FROM each GROUP BY host, d, segment) JOIN (SELECT host, d, sum(n) AS total FROM each GROUP BY host, d) USING (host, d) WHERE {_OWN_SQL.format("c", "total")}),
+nodes AS (SELECT each.*, coalesce(string_agg(CASE WHEN often.host IS NULL THEN '*' ELSE segment END, '/') OVER (PARTITION BY host, shape ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS node FROM each LEFT JOIN often USING (host, d, segment)),
+sums AS (SELECT host, d, node, segment, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM nodes GROUP BY host, d, node, segment),
+children AS (SELECT *, {_OWN_SQL.format("n", "(sum(n) OVER (PARTITION BY host, d, node))")} AS own FROM sums),
+pools AS (SELECT host, d, node, sum(labelled) AS pool_n, sum(blocked) AS pool_b FROM children WHERE NOT own GROUP BY host, d, node),
+fixed AS (SELECT host, d, node, segment FROM children WHERE own UNION ALL SELECT host, d, node, segment FROM children JOIN pools USING (host, d, node)
+  WHERE NOT own AND segment <> '*' AND labelled > 0 AND pool_n > labelled AND {_differ_sql("blocked", "labelled", "(pool_b - blocked)", "(pool_n - labelled)")}),
+made AS (SELECT host, shape, string_agg(CASE WHEN fixed.host IS NULL THEN '*' ELSE segment END, '/' ORDER BY d) AS made FROM nodes LEFT JOIN fixed USING (host, d, node, segment) GROUP BY host, shape),
+found AS (SELECT host, shape, '/' || coalesce(made, '') AS template, n, labelled, blocked FROM shapes LEFT JOIN made USING (host, shape)),
+owns AS (SELECT *, regexp_replace(template, '{_LAST_FIXED}', '+\1') AS family, (blocked + 1) / (labelled + 2) AS share FROM (SELECT host, template, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM found GROUP BY host, template)),
+near AS (SELECT *, lag(labelled) OVER o AS m0, lag(blocked) OVER o AS b0 FROM owns WHERE labelled > 0 WINDOW o AS (PARTITION BY host, family ORDER BY share, template)),
+told AS (SELECT *, sum(CASE WHEN m0 IS NOT NULL AND {_differ_sql("blocked", "labelled", "b0", "m0")} THEN 1 ELSE 0 END) OVER (PARTITION BY host, family ORDER BY share, template ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM near),
+merged AS (SELECT host, template, sum(n) OVER b AS n, sum(labelled) OVER b AS labelled, sum(blocked) OVER b AS blocked FROM told WINDOW b AS (PARTITION BY host, family, branch) UNION ALL SELECT host, template, n, labelled, blocked FROM owns WHERE labelled = 0),
+everywhere AS (SELECT template, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM owns GROUP BY template),
+base AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS base FROM shapes),
+judged AS (SELECT host, template, (blocked + {PRIOR} * ((all_blocked + {PRIOR} * base) / (all_labelled + {PRIOR}))) / (labelled + {PRIOR}) >= {REJECT}::DOUBLE AND (labelled * 100 >= {SUPPORT} * n OR all_labelled * 100 >= {SUPPORT} * all_n) AS rejected FROM merged JOIN everywhere USING (template), base)
+SELECT page_id, ruled.host, path, rule, coalesce(label, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN found ON found.host = ruled.host AND found.shape = ruled.shape LEFT JOIN judged ON judged.host = ruled.host AND judged.template = found.template
 """
