@@ -4,8 +4,12 @@ A window is the WINDOW consecutive words of a benchmark item (all words of a sho
 window are ordered by rarity in the documents; a document can only contain the window where it contains
 the rarest of them, so that word alone is joined (the prefix for full containment).  The word's place in
 the window gives the place of the window in the document; a candidate passes if the window fits there (the
-positional and length bound) and all its words agree.  The windows are broadcast if there are at most
-BROADCAST_WINDOWS of them, else Spark chooses the join.
+positional and length bound) and all its words agree.
+
+Up to BROADCAST_WINDOWS windows are broadcast and held against each document's words where they are.  More are
+joined by shuffle: only (document, place, token) is dealt out by token, tokens with at least 1 in HOT words of
+all documents (of which there are HOT at most) under SALTS salts; the candidates go back to their documents,
+where the words are cut out, and their hash, then they themselves, are held against the window's.
 
 Cases.  Null and empty texts have no words, so no hits; items without words have no window.  Equal items,
 and windows that occur in several items, count for each item id.  Rows that repeat a doc_id are judged by
@@ -17,12 +21,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from recordloom.llm.storage import documents, materialize
 
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
+HOT, SALTS = 10_000, 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,27 +43,32 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", wind
     return found.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).distinct()
 
 
-def prefixes(found: DataFrame, docs_words: DataFrame) -> DataFrame:
-    """(token, place, words, item_ids) for each distinct window: its rarest word in the documents and where it stands."""
-    merged = materialize(found.groupBy("words").agg(F.array_compact(F.array_sort(F.collect_set("item_id"))).alias("item_ids")).withColumn("window", F.xxhash64("words")), "decontaminate-windows")
-    tokens = merged.select("window", F.posexplode("words").alias("place", "token"))
-    vocabulary = _small(tokens.select("token").distinct(), merged)
-    seen = docs_words.select(F.explode("w").alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = W.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "token", "place")
-    chosen = tokens.join(seen, "token", "left").withColumn("rank", F.row_number().over(rarest)).filter("rank = 1 AND n > 0")
-    return materialize(merged.join(chosen.select("window", "token", "place"), "window").select("token", "place", "words", "item_ids"), "decontaminate-prefixes")
+def distinct_windows(found: DataFrame) -> DataFrame:
+    """(words, item_ids, window) of windows (item_id, words)."""
+    return materialize(found.groupBy("words").agg(F.array_compact(F.array_sort(F.collect_set("item_id"))).alias("item_ids")).withColumn("window", F.xxhash64("words")), "decontaminate-windows")
 
 
-def _small(df: DataFrame, counted: DataFrame) -> DataFrame:
-    """df broadcast, if the windows that it comes from are few enough."""
-    return F.broadcast(df) if counted.count() <= BROADCAST_WINDOWS else df
+def prefixes(merged: DataFrame, docs_words: DataFrame, few: bool) -> DataFrame:
+    """(token, n, place, window, words, item_ids) for each window that documents may hold: its rarest word in them, that word's count and place."""
+    small = F.broadcast if few else lambda df: df
+    tokens = merged.select("window", F.posexplode("words").alias("place", "token"))
+    vocabulary = materialize(tokens.select("token").distinct(), "decontaminate-vocabulary")
+    seen = materialize(docs_words.select(F.explode("w").alias("token")).join(small(vocabulary), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")), "decontaminate-counts")
+    # a window with a word that no document has can't occur
+    rarest = F.min(F.struct("n", "token", "place"))
+    chosen = tokens.join(small(seen), "token", "left").groupBy("window").agg(rarest.alias("r"), F.count_if(F.col("n").isNull()).alias("absent")).filter("absent = 0")
+    return materialize(merged.join(chosen.select("window", "r.token", "r.n", "r.place"), "window").select("token", "n", "place", "window", "words", "item_ids"), "decontaminate-prefixes")
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, text_key (of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), words(F.col(text)).alias("w"))
-    rare = prefixes(windows(items, text=text, window=window), base)
-    hits = materialize(_hits(base, rare), "decontaminate-hits")
+    merged = distinct_windows(windows(items, text=text, window=window))
+    few = merged.count() <= BROADCAST_WINDOWS
+    if not few:
+        base = materialize(base, "decontaminate-words")  # read in several places
+    rare = prefixes(merged, base, few)
+    hits = materialize(_hits(base, rare) if few else _dealt_hits(base, rare), "decontaminate-hits")
     key = ["doc_id", "text_key"]
     spots = hits.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("spot")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
     item = hits.select(*key, F.explode("item_ids").alias("item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list(F.col("item").cast("string"))).alias("listed"))
@@ -79,11 +88,25 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def _hits(base: DataFrame, rare: DataFrame) -> DataFrame:
     """(doc_id, text_key, start, n, item_ids): the occurrences of windows, start counted from 1."""
     tokens = base.select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "token"))
-    pairs = tokens.join(_small(rare.withColumnRenamed("words", "wanted"), rare), "token")
+    pairs = tokens.join(F.broadcast(rare.withColumnRenamed("words", "wanted")), "token")
     start = F.col("at") - F.col("place") + 1
     return pairs.filter((start >= 1) & (start + F.size("wanted") - 1 <= F.size("w"))).filter(F.slice("w", start, F.size("wanted")) == F.col("wanted")).select("doc_id", "text_key", start.alias("start"), F.size("wanted").alias("n"), "item_ids")
 
 
+def _dealt_hits(base: DataFrame, rare: DataFrame) -> DataFrame:
+    """The same rows by shuffled joins: no array is dealt out by token."""
+    total = base.agg(F.sum(F.size("w"))).first()[0] or 0
+    hot = materialize(rare.filter(F.col("n") * HOT >= total).select("token", F.lit(True).alias("hot")).distinct(), "decontaminate-hot")
+    wanted = rare.join(F.broadcast(hot), "token", "left").select("token", "place", "window", F.size("words").alias("n"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    tokens = base.select("doc_id", "text_key", F.size("w").alias("size"), F.posexplode("w").alias("at", "token")).join(F.broadcast(hot), "token", "left")
+    tokens = tokens.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "text_key", "at"), F.lit(SALTS))).otherwise(0).cast("int"))
+    start = F.col("at") - F.col("place") + 1
+    met = tokens.join(wanted, ["token", "salt"]).filter((start >= 1) & (start + F.col("n") - 1 <= F.col("size")))
+    candidates = met.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), start.alias("start"), "n", "window")
+    cut = base.join(candidates, [base.doc_id.eqNullSafe(F.col("__doc")), base.text_key == F.col("__key")]).select("doc_id", "text_key", "start", "n", "window", F.slice("w", F.col("start"), F.col("n")).alias("said"))
+    return cut.filter(F.xxhash64("said") == F.col("window")).join(rare.select("window", "words", "item_ids"), "window").filter("said = words").select("doc_id", "text_key", "start", "n", "item_ids")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without any benchmark window, with their own columns."""
     bad = materialize(contamination(docs, items, doc_id, text).filter("contaminated").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct(), "decontaminate-bad")
