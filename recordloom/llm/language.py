@@ -2,13 +2,18 @@
 
 Features are the 1- to 3-grams of lower-cased letters, with each run of other characters as one mark,
 hashed to BUCKETS.  Document frequencies are counted over all labelled training rows.  The weights are
-fitted by follow-the-regularised-leader with elastic-net penalties on a sample of about SAMPLE rows for each
-language, chosen by a hash of the id; a fifth of the sample is kept apart and sets the temperature.
+fitted by follow-the-regularised-leader with elastic-net penalties, a fifth of the sample is kept apart and sets
+the temperature.  The sample is bounded by SAMPLE texts a language and SAMPLE_OF_ALL in all: of each language's
+distinct texts those with the lowest hashes, so it doesn't depend on ids, their type or their repetition.  The
+model keeps only the buckets that have a weight; more than LANGUAGES languages are refused, which bounds what is
+broadcast.
 
 Cases.  Null text, or text without a letter: `und` with score 0.  Empty and very long texts: as any other,
 whole.  Null labels aren't learned from; neither are rows that the caller holds out.  Without any labelled
-row every text is `und`.  Repeated rows are each returned; an empty table gives an empty result.  identify()
-keeps all columns of its input, and replaces any named lang_pred or score.
+row every text is `und`.  Of equal scores the first language by name wins.  Ids may be null, repeated or of any
+type: rows are learned from by their text, so repeated rows count once in the sample and each in the document
+frequencies.  Repeated rows are each returned; an empty table gives an empty result.  identify() keeps all
+columns of its input, and replaces any named lang_pred or score.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from recordloom.llm.storage import documents, map_arrow
 
 BUCKETS = 1 << 15
-SAMPLE = 1000
+SAMPLE, SAMPLE_OF_ALL = 1000, 16_000
+LANGUAGES = 500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.01
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -34,9 +41,21 @@ _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], n
 class Model(NamedTuple):
     langs: list[str]
     idf: np.ndarray
-    weights: np.ndarray  #: bucket x language, sparse in its values
+    row: np.ndarray  #: bucket -> row of weights; 0 for buckets without a weight
+    weights: np.ndarray  #: row x language; the first row is 0
     temperature: float
 
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights[self.row[at]]
+
+
+def sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Model.row and Model.weights of a table of bucket x language."""
+    kept = np.flatnonzero(weights.any(1))
+    row = np.zeros(len(weights), np.int32)
+    row[kept] = np.arange(1, len(kept) + 1)
+    return row, np.concatenate([np.zeros((1, weights.shape[1])), weights[kept]])
+
 
 @cache
 def _letters() -> np.ndarray:
@@ -128,46 +147,56 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
     return df
 
 
-def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows; null labels are left out."""
-    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counted = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counted)
+def sampled(rows: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
+    """(lang, draw, text): of rows (text, lang) the texts of each language with the lowest hashes, each once; sizes: distinct texts, about."""
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    # about four times as many as wanted leave their tasks; the hashes of any of them come before those of all others
+    most = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, (2**63 - 1) * min(n, 4 * sample + 50) // n))), F.col("lang"))
+    near = rows.withColumn("draw", draw).filter(F.col("draw") <= most).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    return near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).filter(F.col("n") <= sample).drop("n")
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """A model of the labelled rows; null labels and texts are left out."""
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    langs = sorted(r.lang for r in found)
     if not langs:
-        return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
+        return Model([], np.zeros(BUCKETS), np.zeros(BUCKETS, np.int32), np.zeros((1, 0)), 1.0)
     df = document_frequencies(rows, "text")
-    idf = np.log((1 + sum(counted.values())) / (1 + df)) + 1
-    share = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, min(10**6, 10**6 * sample // counted[k])))), F.col("lang"))
-    draw = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(10**6))
-    picked = rows.filter(draw < share).select("id", "text", "lang", (F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0).alias("apart"))
+    idf = np.log((1 + sum(r.n for r in found)) / (1 + df)) + 1
+    picked = sampled(rows.filter("text IS NOT NULL"), {r.lang: max(r.texts, 1) for r in found}, min(sample, max(SAMPLE_OF_ALL // len(langs), 1)))
+    picked = picked.select("lang", "draw", (F.pmod(F.xxhash64("draw"), F.lit(5)) == 0).alias("apart"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [term_counts(t.as_py()) for t in batch.column(1)]
+            terms = [term_counts(t.as_py()) for t in batch.column(3)]
             at = pa.array([None if t is None else t[0].astype(np.int32) for t in terms], pa.list_(pa.int32()))
             n = pa.array([None if t is None else t[1].astype(np.int32) for t in terms], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), at, n, batch.column(2), batch.column(3)], names=["id", "at", "n", "lang", "apart"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], at, n], names=["lang", "draw", "apart", "at", "n"])
 
-    got = map_arrow(picked, run, "id long, at array<int>, n array<int>, lang string, apart boolean").toArrow().to_pylist()
-    got = sorted((r for r in got if r["at"]), key=lambda r: (r["id"] is None, r["id"], r["lang"], len(r["at"])))
+    got = map_arrow(picked, run, "lang string, draw long, apart boolean, at array<int>, n array<int>").toArrow().to_pylist()
+    got = sorted((r for r in got if r["at"]), key=lambda r: (r["lang"], r["draw"]))
     made = [(a := np.array(r["at"]), weigh((a, np.array(r["n"])), idf), langs.index(r["lang"]), r["apart"]) for r in got]
-    weights = ftrl([m[:3] for m in made if not m[3]], len(langs))
+    model = Model(langs, idf, *sparse(ftrl([m[:3] for m in made if not m[3]], len(langs))), 1.0)
     apart = [m for m in made if m[3]]
-    logits = np.array([x @ weights[at] for at, x, _, _ in apart]).reshape(len(apart), len(langs))
-    return Model(langs, idf, weights, calibrate(logits, np.array([y for *_, y, _ in apart], np.int64)))
+    logits = np.array([model.logits(at, x) for at, x, _, _ in apart]).reshape(len(apart), len(langs))
+    return model._replace(temperature=calibrate(logits, np.array([y for *_, y, _ in apart], np.int64)))
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
     terms = term_counts(text) if model.langs else None
     if terms is None:
         return "und", 0.0
-    p = softmax(weigh(terms, model.idf) @ model.weights[terms[0]] / model.temperature)
+    p = softmax(model.logits(terms[0], weigh(terms, model.idf)) / model.temperature)
     best = int(p.argmax())
     return model.langs[best], float(p[best])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score.  The model's size is bounded by BUCKETS and the languages, so it is broadcast."""
+    """docs with lang_pred and score.  The model's size is bounded by BUCKETS and LANGUAGES, so it is broadcast."""
     kept = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
     at = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
