@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.storage import map_arrow, materialize
+from recordloom.llm.storage import map_arrow, materialize, release
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,5 +54,6 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
+        state, before = now, edges
         edges = materialize(_small_star(_large_star(edges)), "links")
+        release(before)

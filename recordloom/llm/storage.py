@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +20,38 @@ from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (as in tests) a new temporary folder is set."""
+    """spark.checkpoint.dir of the session; where it is unset a new temporary folder is set, on a local master only, as in tests."""
     own = spark.sparkContext.getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or own
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="recordloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Where the tables of materialize() are.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the checkpoint folder and read it back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows in one Arrow batch of texts: a task's Python and JVM hold a few of them at a time.
