@@ -2,9 +2,12 @@
 
 1. A text's set is its distinct N-word shingles as 64-bit hashes; equal sets are one class, whose id is a
    hash of the set, so copies collapse before anything is joined.
-2. Shingles are dealt to shards by hash, packed in binary columns.  A shard counts in how many classes each
-   shingle occurs and returns those in two or more to their classes.  A shingle in one class only can't be
-   shared, so a class is dropped if its prefix, taken in order of rarity, has no other kind.
+2. Shingles are dealt to shards by hash, packed in binary columns; a task deals a class once.  There is a shard
+   for each SHARD_SHINGLES shingles.  A shard counts in how many classes each shingle occurs and returns those in
+   two or more to their classes.  A shingle in one class only can't be shared, so a class is dropped if its
+   prefix, taken in order of rarity, has no other kind.  Shingles of very many texts, found by a lossy count in
+   every task while the texts are described, aren't counted: they are the least rare ones, of which there are
+   HOT_SHINGLES at most, and their occurrences are dealt out by class as well.
 3. Classes with the same prefix and size are one group.  Classes that share a first or last prefix shingle
    are compared in bounded chunks; that links most copies at little cost, and components of it are taken.
    Then, for each prefix shingle, the most central classes of its components are compared with one hub.
@@ -12,9 +15,7 @@
    component; pairs within the size and positional bounds are expanded to members and all are verified.
    A pair within one component needs no comparison: the result is the components.
 
-Every comparison is of the whole sets.  No group or component is gathered in one task.  The counts of step 2
-hold one shard in a task, with every class that has one of its shingles: a shingle of very many different
-texts makes its shard as large.
+Every comparison is of the whole sets.  No group or component is gathered in one task, nor any shingle's classes.
 
 Cases.  Null and empty text, or text without words: an empty set, linked with nothing, its own component.
 Fewer than N words: one shingle.  Repeated rows, also of one doc_id, are each returned and are copies of
@@ -25,6 +26,7 @@ table gives an empty result; other columns of the input are ignored, whatever th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,17 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import wordhash as wh
 from recordloom.llm.components import components
-from recordloom.llm.storage import documents, map_arrow, materialize
+from recordloom.llm.storage import documents, map_arrow, materialize, release
 
 N = 5
 PERCENT = 80
 #: Classes that are compared with each other in one chunk of step 3, about, and the clusters of it that a class is compared with.
 CHUNK, LOOKBACK = 256, 16
 HUB_ROUNDS = 2
-_LOW = np.uint64((1 << 48) - 1)
+#: Shingles that a task counts, about.
+SHARD_SHINGLES = 1 << 20
+#: A shingle is dealt out by class if it is in so many texts at least, and in a HOT_SHINGLES-th of all shingles.
+HOT_TEXTS, HOT_SHINGLES = 1 << 18, 1 << 16
 
 
 def class_sets(part: wh.Slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,92 +71,182 @@ def _joined(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[s
     return {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in found.items()}
 
 
+def _equal(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the runs of equal values."""
+    bounds = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
+    yield from pairwise(bounds)
+
+
 def _rows(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
 
 
-def describe(docs: DataFrame, keep: list[str], text: str, n: int) -> DataFrame:
-    """The kept columns, n_shingles and cls (null for an empty set)."""
+class _Fresh:
+    """The classes that a task has met."""
+
+    def __init__(self) -> None:
+        self._seen: set[int] = set()
+
+    def first(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which texts are the first of their class."""
+        found = np.zeros(len(ids), bool)
+        for i, (n, c) in enumerate(zip(sizes.tolist(), ids.tolist(), strict=True)):
+            if n and c not in self._seen:
+                self._seen.add(c)
+                found[i] = True
+        return found
+
+
+class _Frequent:
+    """A lossy count of shingles: those in more texts than there were slices are kept, counted too low by as many at most."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.since, self.slices = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, h: np.ndarray) -> None:
+        self.slices += 1
+        h, n = np.unique(h, return_counts=True)
+        at = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == h[inside]
+        self.counts[at[known]] += n[known]
+        new = ~known & (n > 1)
+        keys = np.concatenate([self.keys, h[new]])
+        counts = np.concatenate([self.counts, n[new]])
+        since = np.concatenate([self.since, np.full(int(new.sum()), self.slices - 1)])
+        kept = np.flatnonzero(counts + since > self.slices)
+        kept = kept[np.argsort(keys[kept], kind="stable")]
+        self.keys, self.counts, self.since = keys[kept], counts[kept], since[kept]
+
+    def most(self) -> tuple[np.ndarray, np.ndarray]:
+        often = self.counts > self.slices
+        return self.keys[often], self.counts[often]
+
+
+def describe(docs: DataFrame, keep: list[str], text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The kept columns, n_shingles and cls (null for an empty set) of each row; and (shingle, n) of shingles that are frequent within tasks."""
     source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), "n_shingles long, cls long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), "n_shingles long, cls long, shingle long, n long"])
+    names = [*keep, "n_shingles", "cls", "shingle", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, frequent, kinds = _Fresh(), _Frequent(), []
         for batch in batches:
-            found = [class_sets(p, n)[2:] for p in wh.slices(batch.column(len(keep)))]
+            found, kinds = [], [c.type for c in batch.columns[: len(keep)]]
+            for part in wh.slices(batch.column(len(keep))):
+                h, owner, sizes, ids = class_sets(part, n)
+                frequent.add(h[fresh.first(sizes, ids)[owner]])
+                found.append((sizes, ids))
             sizes = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
             ids = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64), mask=sizes == 0)], names=[*keep, "n_shingles", "cls"])
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes.astype(np.int64)), pa.array(ids.view(np.int64), mask=sizes == 0), none, none], names=names)
+        keys, counts = frequent.most()
+        if len(keys):
+            none = [pa.nulls(len(keys), t) for t in (*kinds, pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(keys.view(np.int64)), pa.array(counts)], names=names)
+
+    described = materialize(map_arrow(source, run, schema), "jaccard-rows")
+    return described.filter("shingle IS NULL").drop("shingle", "n"), described.filter("shingle IS NOT NULL").select("shingle", "n")
+
 
-    return map_arrow(source, run, schema)
+def hot_shingles(frequent: DataFrame, total: int) -> np.ndarray:
+    """The shingles of (shingle, n) that are in very many of all texts, in order; HOT_SHINGLES at most."""
+    least = max(HOT_TEXTS, -(-total // HOT_SHINGLES))
+    return np.sort(np.array([r.shingle for r in frequent.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()], np.int64).view(np.uint64))
 
 
-_SHARDED = {"shard": pa.int32(), "cls": pa.binary(), "size": pa.binary(), "cnt": pa.binary(), "lo": pa.binary(), "hi": pa.binary()}
+_SHARDED = {"shard": pa.int32(), "hot": pa.bool_(), "cls": pa.binary(), "size": pa.binary(), "cnt": pa.binary(), "lo": pa.binary(), "hi": pa.binary()}
 _SHARED = {"home": pa.int32(), "cls": pa.binary(), "size": pa.binary(), "cnt": pa.binary(), "tok": pa.binary(), "code": pa.binary()}
 
 
 def _ddl(names: dict[str, pa.DataType]) -> str:
-    return ", ".join(f"{c} {'int' if t == pa.int32() else 'binary'}" for c, t in names.items())
+    return ", ".join(f"{c} {({pa.int32(): 'int', pa.bool_(): 'boolean'}).get(t, 'binary')}" for c, t in names.items())
 
 
-def shared_shingles(docs: DataFrame, text: str, n: int, shards: int) -> DataFrame:
-    """Packed rows by home (a class's partition) of the shingles that occur in two or more classes, with a rarity code."""
+def shared_shingles(docs: DataFrame, text: str, n: int, shards: int, hot: np.ndarray) -> DataFrame:
+    """Packed rows by home (a class's partition) of the shingles that occur in two or more classes, with a rarity code.
+
+    A shingle's token is its shard and the low bits of its hash; of a hot one, the number of shards and its place among the hot ones.
+    """
+    kind = np.uint16 if shards < 1 << 16 else np.uint32  # short ones sort faster
+    low = np.uint64(min(48, 64 - shards.bit_length()))
+    mask = (np.uint64(1) << low) - np.uint64(1)
+
+    def rows_of(h: np.ndarray, owner: np.ndarray, shard: np.ndarray, sizes: np.ndarray, ids: np.ndarray, is_hot: bool) -> Iterator[tuple]:
+        order = np.argsort(shard, kind="stable")
+        h, owner, shard = h[order], owner[order], shard[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (shard[1:] != shard[:-1]) | (owner[1:] != owner[:-1])
+        runs = np.flatnonzero(first)
+        counts = np.diff(np.append(runs, len(h)))
+        for a, b in _equal(shard):
+            r, q = np.searchsorted(runs, (a, b))
+            own = owner[runs[r:q]]
+            yield int(shard[a]), is_hot, _blob(ids[own], np.uint64), _blob(sizes[own], np.uint32), _blob(counts[r:q], np.uint32), _blob(h[a:b] & np.uint64(0xFFFFFFFF), np.uint32), _blob(h[a:b] >> np.uint64(32), np.uint16)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
         for batch in batches:
             for part in wh.slices(batch.column(0)):
                 h, owner, sizes, ids = class_sets(part, n)
-                shard = ((h >> np.uint64(48)) % np.uint64(shards)).astype(np.uint16)
-                order = np.argsort(shard, kind="stable")
-                h, owner, shard = h[order] & _LOW, owner[order], shard[order]
-                first = np.ones(len(h), bool)
-                first[1:] = (shard[1:] != shard[:-1]) | (owner[1:] != owner[:-1])
-                runs = np.flatnonzero(first)
-                counts = np.diff(np.append(runs, len(h)))
-                at, in_runs = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[runs], np.arange(shards + 1))
+                kept = fresh.first(sizes, ids)[owner]
+                h, owner = h[kept], owner[kept]
+                shard = (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(kind)
                 out = []
-                for s in np.flatnonzero(np.diff(at)):
-                    a, b, r, q = at[s], at[s + 1], in_runs[s], in_runs[s + 1]
-                    own = owner[runs[r:q]]
-                    out.append((int(s), _blob(ids[own], np.uint64), _blob(sizes[own], np.uint32), _blob(counts[r:q], np.uint32), _blob(h[a:b], np.uint32), _blob(h[a:b] >> np.uint64(32), np.uint16)))
+                if len(hot):
+                    place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    often = hot[place] == h
+                    by_class = (wh.mix(h[often] ^ ids[owner[often]]) % np.uint64(shards)).astype(kind)
+                    out += rows_of(place[often].astype(np.uint64), owner[often], by_class, sizes, ids, True)
+                    h, owner, shard = h[~often], owner[~often], shard[~often]
+                out += rows_of(h & mask, owner, shard, sizes, ids, False)
                 yield _rows(_SHARDED, out)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, counts, tokens = [], [], [], []
-        for batch in batches:
-            for s, c, z, k, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                ids.append(np.frombuffer(c, np.uint64))
-                sizes.append(np.frombuffer(z, np.uint32))
-                counts.append(np.frombuffer(k, np.uint32))
-                tokens.append(np.frombuffer(lo, np.uint32) | (np.frombuffer(hi, np.uint16).astype(np.uint64) << np.uint64(32)) | np.uint64(s << 48))
-        if not ids:
-            return
-        run = np.repeat(np.arange(sum(map(len, ids)), dtype=np.uint32), np.concatenate(counts))
-        ids, sizes, tokens, counts = np.concatenate(ids), np.concatenate(sizes), np.concatenate(tokens), None
+    def postings(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """token, class and size of a shard's rows, each pair of token and class once, in order."""
+        if not rows:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        ids, sizes, counts = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((1, np.uint64), (2, np.uint32), (3, np.uint32)))
+        tokens = np.concatenate([np.frombuffer(r[4], np.uint32) | (np.frombuffer(r[5], np.uint16).astype(np.uint64) << np.uint64(32)) | (np.uint64(r[0]) << low) for r in rows])
+        rows.clear()
+        run = np.repeat(np.arange(len(ids), dtype=np.uint32), counts)
         own = ids[run]
         order = np.lexsort((own, tokens))
         tokens, own, run, order = tokens[order], own[order], run[order], None
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (own[1:] != own[:-1])
-        tokens, own, run = tokens[fresh], own[fresh], run[fresh]
+        return tokens[fresh], own[fresh], sizes[run[fresh]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, often = [], []
+        for batch in batches:
+            for s, is_hot, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                (often if is_hot else plain).append((shards if is_hot else s, *rest))
+        tokens, own, size = postings(plain)
         first = np.ones(len(tokens), bool)
         first[1:] = tokens[1:] != tokens[:-1]
         df = np.diff(np.append(np.flatnonzero(first), len(tokens)))
         df = np.repeat(df, df)
         many = df > 1
-        tokens, own, run, df = tokens[many], own[many], run[many], df[many]
-        code = np.minimum(255, 4 * np.log2(df)).astype(np.uint8)
-        home = (own % np.uint64(shards)).astype(np.uint16)
+        tokens, own, size, df = tokens[many], own[many], size[many], df[many]
+        code = np.minimum(254, 4 * np.log2(df)).astype(np.uint8)
+        if often:
+            hot_tokens, hot_own, hot_size = postings(often)
+            tokens, own, size = np.concatenate([tokens, hot_tokens]), np.concatenate([own, hot_own]), np.concatenate([size, hot_size])
+            code = np.concatenate([code, np.full(len(hot_tokens), 255, np.uint8)])
+        home = (own % np.uint64(shards)).astype(kind)
         order = np.lexsort((own, home))
-        tokens, own, code, home, size = tokens[order], own[order], code[order], home[order], sizes[run[order]]
+        tokens, own, code, home, size = tokens[order], own[order], code[order], home[order], size[order]
         first = np.ones(len(own), bool)
         first[1:] = own[1:] != own[:-1]
         runs = np.flatnonzero(first)
         counts = np.diff(np.append(runs, len(own)))
-        at, in_runs = np.searchsorted(home, np.arange(shards + 1)), np.searchsorted(home[runs], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(at)):
-            a, b, r, q = at[s], at[s + 1], in_runs[s], in_runs[s + 1]
-            yield _rows(_SHARED, [(int(s), _blob(own[runs[r:q]], np.uint64), _blob(size[runs[r:q]], np.uint32), _blob(counts[r:q], np.uint32), _blob(tokens[a:b], np.uint64), _blob(code[a:b], np.uint8))])
+        for a, b in _equal(home):
+            r, q = np.searchsorted(runs, (a, b))
+            yield _rows(_SHARED, [(int(home[a]), _blob(own[runs[r:q]], np.uint64), _blob(size[runs[r:q]], np.uint32), _blob(counts[r:q], np.uint32), _blob(tokens[a:b], np.uint64), _blob(code[a:b], np.uint8))])
 
     dealt = map_arrow(docs.select(text), deal, _ddl(_SHARDED))
     return map_arrow(dealt.repartitionById(shards, F.col("shard")), count, _ddl(_SHARED)).repartitionById(shards, F.col("home"))
@@ -182,7 +277,7 @@ def candidate_classes(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
             a, b, k = starts[i], starts[i] + held[i], int(taken[i])
             head = tok[a : a + k].view(np.int64)
             gid = own[a : a + 1] if single[i] else wh.mix(wh.mix(tok[a : a + k] + np.arange(k, dtype=np.uint64)).sum(dtype=np.uint64, keepdims=True) + size[a : a + 1].astype(np.uint64))
-            ends = [{"token": int(head[j]), "df": int(2 ** ((int(code[a + j]) + 1) / 4))} for j in {0, k - 1}]
+            ends = [{"token": int(head[j]), "df": int(2 ** (min(int(code[a + j]) + 1, 160) / 4))} for j in {0, k - 1}]
             out.append((int(own[a : a + 1].view(np.int64)[0]), int(size[a]), int(single[i]), int(held[i]), int(gid.view(np.int64)[0]), head.tolist(), ends, np.sort(tok[a:b]).tobytes()))
             if len(out) == 500:
                 yield _rows(names, out)
@@ -252,12 +347,12 @@ def mixed_postings(placed: DataFrame) -> DataFrame:
     return materialize(posted.join(mixed, "token"), "jaccard-mixed")
 
 
-def hub_pairs(posted: DataFrame) -> DataFrame:
+def hub_pairs(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each shingle, the most central class of its largest component with that of every other one (central: fewest shingles of its own)."""
     member = F.struct("single", "cls", "comp", "size", "shared", "at")
     centers = posted.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(member).alias("c")).select("token", "n", "c")
     hubs = centers.groupBy("token").agg(F.max(F.struct("n", "c")).alias("h")).select("token", F.col("h.c").alias("c"))
-    return centers.select("token", "c.*").alias("a").join(hubs.select("token", "c.*").alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _bounds(PERCENT)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+    return centers.select("token", "c.*").alias("a").join(hubs.select("token", "c.*").alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & _bounds(percent)).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 def remaining_pairs(placed: DataFrame, posted: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -289,27 +384,29 @@ def linked_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     for last in (*[False] * HUB_ROUNDS, True):
         placed = placed_classes(classes, roots)
         posted = mixed_postings(placed)
-        pairs = materialize(remaining_pairs(placed, posted, percent) if last else hub_pairs(posted), "jaccard-pairs")
+        pairs = materialize(remaining_pairs(placed, posted, percent) if last else hub_pairs(posted, percent), "jaccard-pairs")
         found = materialize(verified(pairs, classes, percent), "jaccard-links")
         if not found.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        release(placed, posted, pairs, found)
     return roots
 
 
 def placed_rows(docs: DataFrame, keep: list[str], text: str, n: int, percent: int) -> DataFrame:
     """The kept columns, n_shingles, cls and comp (a class of the row's component; null for an empty set) of each row."""
-    spark = docs.sparkSession
-    shards = max(8, min(1 << 15, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = materialize(describe(docs.select(*keep, F.col(text).alias("text")), keep, "text", n), "jaccard-rows")
-    classes = materialize(candidate_classes(shared_shingles(docs, text, n, shards), percent), "jaccard-classes")
+    rows, frequent = describe(docs.select(*keep, F.col(text).alias("text")), keep, "text", n)
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    shards = max(8, -(-total // SHARD_SHINGLES))
+    classes = materialize(candidate_classes(shared_shingles(docs, text, n, shards, hot_shingles(frequent, total)), percent), "jaccard-classes")
     roots = linked_components(classes, percent)
+    release(classes)
     return rows.join(roots, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "cls")).drop("node", "root")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, cls and component_id of each row."""
     keyed = placed_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n, percent)
-    ids = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    ids = materialize(keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least")), "jaccard-ids")
     return keyed.join(ids, "comp", "left").select("doc_id", "n_shingles", "cls", F.coalesce("least", "doc_id").alias("component_id"))
 
 
