@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "chat_attachments": chat.chat_attachments,
 }
 ORACLE_SQL = {
     "op2_chat_formatting": chat.ORACLE_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "chat_attachments": chat.ATTACHMENTS_SQL,
 }
