@@ -96,7 +96,7 @@ def test_token_counts_of_all_characters():
 
 def test_chat_round_trip(spark):
     texts = ["plain", "", None, "<|im_end|>", "<\\|x|>", "<\\\\|", "<<|im_start|>user", "a\nb", "<|im_end|>\n<|im_start|>assistant ok", "<", "|"]
-    rows = [(i % 3, i, ["user", "assistant", "sys\n\\n<|tem", None][i % 4], t) for i, t in enumerate(texts)] + [(9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (None, 1, "user", "x")]
+    rows = [(i % 3, i, ["user", "assistant", "sys\n\\n<|tem", None][i % 4], t) for i, t in enumerate(texts)] + [(9, 0, "assistant", "same"), (9, 0, "assistant", "same"), (9, 3, "assistant", "long <|im_end|> " * 4000), (None, 1, "user", "x")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.text_parts(table))).collect()}
     for conv in {r[0] for r in rows}:
@@ -104,6 +104,9 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in got[conv].turns] == [x[1:] for x in want]
         assert got[conv].loss_text == "".join(x[2] for x in want if x[1] == "assistant")
     assert chat.format_chats(chat.text_parts(table.limit(0))).count() == 0
+    alone = table.withColumns({"conv_id": F.lit(None).cast("long"), "formatted": F.lit(1), "turns": F.lit(2), "blocks": F.lit(3), "spans": F.lit(4)})
+    got = chat.read_back(chat.format_chats(chat.text_parts(alone))).collect()
+    assert sorted((t.role, t.text) for r in got for t in r.turns) == sorted((role or "", text or "") for _, _, role, text in rows) and {len(r.turns) for r in got} == {1}
 
 
 def test_chat_parts(spark):
@@ -160,10 +163,50 @@ def test_quality_method_decides_on_the_drivers_tables(spark, sf_dir):
 
 def test_license_lines(spark, empty):
     rows = [(1, "x\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0"), (2, "released UNDER the mit-license"), (3, "The MIT License was released under protest by many people there"), (4, None), (5, ""), (6, "Released under the MIT License.")]
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    extra = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("w", "said", "license", "template", "start", "first", "place", "b", "dice")})
+    got = {r.doc_id: r for r in licenses.scan(extra).collect()}
     assert (got[1].n_license_lines, got[1].licenses, got[1].best_license, got[1].best_dice) == (2, "apache-2.0,mit", "apache-2.0", 1.0)
     assert got[2].licenses == "mit" and [got[i].n_license_lines for i in (3, 4, 5)] == [0, 0, 0]
-    assert licenses.scan(empty).count() == 0
+    assert licenses.scan(empty).count() == 0 and licenses.scan(extra, templates={}).filter("licenses <> ''").count() == 0
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_license_texts_over_line_breaks(spark, few, monkeypatch):
+    monkeypatch.setattr(licenses, "FEW", few)
+    rnd = random.Random(12)
+    prose_of = lambda n: " ".join(rnd.choice(["theron", "in", "the", "license", "of", "erst", "hand"]) for _ in range(n))
+    wrap = lambda text, mark, n: "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    every = [(name, text) for name, texts in sorted(licenses.TEMPLATES.items()) for text in texts]
+    rows = [(i, prose_of(30) + "\n" + wrap(text, rnd.choice(["# ", "// ", " * ", ""]), rnd.randint(3, 9)) + "\n" + prose_of(40)) for i, (_, text) in enumerate(every)]
+    changed = licenses.TEMPLATES["mit"][-1].split()
+    for k in range(5, len(changed), 19):
+        changed[k] = "theron"
+    rows += [(900, "This project is released under the MIT License."), (901, "We say that it is licensed under the MIT License, more or less."), (902, prose_of(20_000) + " ".join(changed) + prose_of(500)), (903, prose_of(3000)), (904, "Permission to use, copy,\nmodify, and/or distribute this software for any\npurpose with or without fee is hereby granted."), (905, "free software " * 40)]
+    edge = licenses.TEMPLATES["mit"][-1]
+    rows += [(1000 + k, prose_of(licenses.PART - k) + " " + edge) for k in (1, 2, 60, len(edge.split()), 200)] + [(1100, edge * 60)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(r.best_dice == 1.0 and "mit" in r.licenses for i, r in got.items() if i >= 1000)
+    for i, (name, _) in enumerate(every):
+        assert name in got[i].licenses.split(",") and got[i].best_dice == 1.0, (i, name, got[i])
+    assert [got[i].licenses for i in (900, 901, 902, 903, 904, 905)] == ["mit", "mit", "mit", "", "isc", ""] and 0.8 <= got[902].best_dice < 1
+
+
+def test_license_anchors_lose_no_line(spark):
+    """Against every pair of a line and a template, without anchors or bounds."""
+    rnd = random.Random(13)
+    texts = {"a": ["one two three four five six seven", "two three"], "b": ["three four five six one two three four", "seven six five four three two one"]}
+    numbers = "one two three four five six seven".split()
+    lines = [" ".join(w if rnd.random() < 0.8 else rnd.choice(numbers) for w in rnd.choice([x for ts in texts.values() for x in ts]).split()[rnd.randint(0, 2) :]) for _ in range(400)]
+    pairs_of = lambda w: set(zip(w, w[1:], strict=False))
+    want = {}
+    for i, line in enumerate(lines):
+        b = pairs_of(line.split())
+        scored = [(-2 * len(b & pairs_of(t.split())) / (len(b) + len(pairs_of(t.split()))), name) for name, ts in texts.items() for t in ts if b]
+        hit = min((s for s in scored if s[0] <= -0.5), default=None)
+        if hit:
+            want[i] = (hit[1], -hit[0])
+    found = licenses.license_matches(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), templates=texts, percent=50).filter("kind = 'line'").collect()
+    assert {r.doc_id: (r.license, r.dice) for r in found} == want and len(want) > 100
 
 
 def test_license_bounds_lose_nothing():
@@ -363,7 +406,10 @@ def brute_components(texts):
     return [root(i) for i in range(len(texts))], list(map(len, sets))
 
 
-def test_jaccard_components(docs, texts, empty):
+@pytest.mark.parametrize("hot, shard", [(1 << 18, 1 << 20), (2, 700)])
+def test_jaccard_components(docs, texts, empty, monkeypatch, hot, shard):
+    monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
+    monkeypatch.setattr(jaccard, "SHARD_SHINGLES", shard)
     want, sizes = brute_components(texts)
     got = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
     assert [got[i].component_id for i in range(len(texts))] == want and [got[i].n_shingles for i in range(len(texts))] == sizes
@@ -372,6 +418,25 @@ def test_jaccard_components(docs, texts, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_hot_shingles_are_found(docs):
+    rows, frequent = jaccard.describe(docs.repartition(1), ["doc_id"], "text", 5)
+    assert rows.count() == docs.count() and rows.columns == ["doc_id", "n_shingles", "cls"]
+    counted = Counter(x for s in {frozenset(s) for s in sets_of([r.text for r in docs.collect()])} for x in s)
+    got = {r.shingle: r.n for r in frequent.collect()}
+    assert sorted(got.values()) == sorted(n for n in counted.values() if n > 1)
+    assert len(jaccard.hot_shingles(frequent, jaccard.HOT_SHINGLES * 8)) == 0
+
+
+def test_frequent_counts_are_low_by_the_slices_at_most():
+    rng = np.random.default_rng(4)
+    slices = [np.concatenate([rng.integers(0, 20, 30), rng.integers(100, 10**6, 200)]).astype(np.uint64) for _ in range(50)]
+    counted, count = jaccard._Frequent(), Counter(x for s in slices for x in s.tolist())
+    for s in slices:
+        counted.add(s)
+    got = dict(zip(*(a.tolist() for a in counted.most()), strict=True))
+    assert all(n - 50 <= got[k] <= n for k, n in count.items() if n > 100) and all(got[k] <= count[k] for k in got)
+
+
 def test_jaccard_near_the_border(spark):
     """Many near copies of one base that link with it but seldom with each other, and chains."""
     rnd = random.Random(9)
