@@ -38,10 +38,20 @@ def sequence_ratio_lite(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def lengths_within(n: Column, band: float) -> Column:
+    """The lengths that differ from n by at most the band, as a share of the longer: a key to join by instead of comparing all pairs."""
+    lengths = F.sequence(F.floor(n * (1 - band)).cast("int"), F.ceil(n / (1 - band)).cast("int"))
+    return F.filter(lengths, lambda m: F.abs(m - n) / F.greatest(m, n) <= band)
+
+
 def length_gate(a: Column, b: Column, threshold: float) -> Column:
     """Whether the lengths are close enough for the pair to reach the threshold."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.abs(F.length(a) - F.length(b)) / longest <= 1 - max(0.4, threshold - 0.2)
+    return F.abs(F.length(a) - F.length(b)) / longest <= gate_band(threshold)
+
+
+def gate_band(threshold: float) -> float:
+    return 1 - max(0.4, threshold - 0.2)
 
 
 def composite(status: Column, factor: Column, modality: Column, full: Column, tech: Column, core: Column) -> Column:

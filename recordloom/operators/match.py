@@ -2,6 +2,9 @@
 
 Sources have (q, name), targets (idx, code, name); q and idx order their rows.  Targets are one catalog:
 link_catalogs links to two by linking twice, and catalogs stacked in targets share one exact hit and one top 50.
+
+Rows with one clean name are alike to every step, so each distinct name is taken apart, met and scored once: a
+name that many rows share is one row.
 """
 
 from __future__ import annotations
@@ -63,17 +66,38 @@ def _weighed(probes: Column, weight: int) -> Column:
     return F.transform(probes, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
 
 
-def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int = TOP) -> DataFrame:
-    """(q, idx, weight, rank): the targets that share the most weight with each source; ties by first contact."""
+def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int = TOP, members: DataFrame | None = None) -> DataFrame:
+    """(q, idx, weight, rank): the targets that share the most weight with each source; ties by first contact.
+
+    members (idx, members): where index has one target for several alike, all that it stands for, in order.
+    """
     weighed = F.concat(*(_weighed(a, WEIGHTS[kind]) for kind, a in _tags(sources, tags)))
     probes = sources.select("q", F.posexplode(weighed).alias("pos", "p")).select("q", "pos", "p.token", "p.w")
     # a repeated token weighs as often as it stands, at its first place
     merged = probes.groupBy("q", "token").agg(F.sum("w").alias("w"), F.min("pos").alias("pos"))
     met = merged.join(index, "token").groupBy("q", "idx").agg(F.sum("w").alias("weight"), F.min("pos").alias("pos"))
+    if members is not None:
+        # a name counts if the names that come before it have too few targets
+        named = met.join(members, "idx").withColumn("n", F.size("members"))
+        upto = W.partitionBy("q").orderBy(F.desc("weight"), "pos").rangeBetween(W.unboundedPreceding, 0)
+        before = F.sum("n").over(upto) - F.sum("n").over(W.partitionBy("q", "weight", "pos"))
+        met = named.withColumn("before", before).filter(F.col("before") < top).select("q", "weight", "pos", F.explode("members").alias("idx"))
     order = W.partitionBy("q").orderBy(F.desc("weight"), "pos", "idx")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("q", "idx", "weight", "rank")
 
 
+def distinct_names(rows: DataFrame, order: str) -> DataFrame:
+    """One row of each clean name, the first in order."""
+    first = rows.groupBy("clean").agg(F.min(order).alias(order))
+    return rows.join(first, ["clean", order], "left_semi")
+
+
+def members_of(targets: DataFrame, top: int = TOP) -> DataFrame:
+    """(idx, members): of each clean name the first target and the first ones that can count."""
+    ranked = targets.withColumn("__n", F.row_number().over(W.partitionBy("clean").orderBy("idx"))).filter(F.col("__n") <= top)
+    return ranked.groupBy("clean").agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("idx")).alias("members")).drop("clean")
+
+
 def length_band(sources: DataFrame, targets: DataFrame, top: int = FALLBACK, band: float = BAND) -> DataFrame:
     """(q, idx, rank): the first targets whose length differs by at most the band.
 
@@ -82,8 +106,7 @@ def length_band(sources: DataFrame, targets: DataFrame, top: int = FALLBACK, ban
     """
     n = F.length("clean")
     short = targets.select("idx", n.alias("n")).withColumn("k", F.row_number().over(W.partitionBy("n").orderBy("idx"))).filter(F.col("k") <= top).select("idx", "n")
-    lengths = F.filter(F.sequence(F.floor(n * (1 - band)).cast("int"), F.ceil(n / (1 - band)).cast("int")), lambda m: F.abs(m - n) / F.greatest(m, n) <= band)
-    near = sources.filter(n > 0).select("q", F.explode(lengths).alias("n")).join(short, "n")
+    near = sources.filter(n > 0).select("q", F.explode(S.lengths_within(n, band)).alias("n")).join(short, "n")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("idx"))).filter(F.col("rank") <= top).select("q", "idx", "rank")
 
 
@@ -116,26 +139,38 @@ def pick(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("q", "idx", "score")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder, where there is one, else cached."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
     """(q, name, match_code, match_name, match_score): one row a source; unmatched is empty with score 0."""
-    tags = tags and vocab is not None
     # each is read in several places: names are taken apart once
-    src, tgt = prepared(sources, vocab).persist(), prepared(targets, vocab).persist()
+    return link_prepared(kept(prepared(sources, vocab)), kept(prepared(targets, vocab)), vocab, threshold, tags, sequences)
+
+
+def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
+    """link() of prepared sources and targets."""
+    tags = tags and vocab is not None
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti")
-    near = candidates(left, postings(tgt, tags), tags).select("q", "idx", "rank")
-    alone = left.join(near.select("q").distinct(), "q", "left_anti")
-    pairs = near.unionByName(length_band(alone, tgt))
-    best = pick(scored(pairs, left, tgt, vocab, threshold, sequences)).filter(F.col("score") >= threshold)
-    found = exact.withColumn("score", F.lit(1.0)).unionByName(best)
+    asked, heads = distinct_names(left, "q"), distinct_names(tgt, "idx")
+    near = candidates(asked, postings(heads, tags), tags, members=members_of(tgt)).select("q", "idx", "rank")
+    alone = asked.join(near.select("q").distinct(), "q", "left_anti")
+    # of targets alike the first has the best rank, and all have one score
+    pairs = near.unionByName(length_band(alone, tgt)).join(heads.select("idx"), "idx", "left_semi")
+    best = pick(scored(pairs, asked, heads, vocab, threshold, sequences)).filter(F.col("score") >= threshold)
+    answered = asked.select("q", "clean").join(best, "q").drop("q")
+    found = exact.withColumn("score", F.lit(1.0)).unionByName(left.select("q", "clean").join(answered, "clean").select("q", "idx", "score"))
     named = found.join(tgt.select("idx", F.col("code").alias("match_code"), F.col("name").alias("match_name")), "idx")
-    return sources.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(one_decimal(F.col("score")), F.lit(0.0)).alias("match_score"))
+    return src.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(one_decimal(F.col("score")), F.lit(0.0)).alias("match_score"))
 
 
 def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, threshold: float = 0.7, tags: bool = True) -> DataFrame:
     """The light profile: lite cleaning, targets distinct by clean name, weights of tokens, anatomy and category only, sequence ratios with their popularity heuristic, anatomy as the only barrier."""
     parts = lambda rows: D.decompose(rows.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
-    src, tgt = parts(sources).persist(), dedupe_first(parts(targets)).persist()
+    src, tgt = kept(parts(sources)), kept(dedupe_first(parts(targets)))
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
     plain = {"modality": F.lit(None).cast("string"), "core": F.lit("")}
@@ -178,6 +213,13 @@ def with_locks(fresh: DataFrame, locked: DataFrame, code: str = "code", name: st
     return joined.select(order, code, name, *(F.when(F.col("__held"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in results), F.coalesce("__held", F.lit(False)).alias("is_locked"))
 
 
+def run_shares(stats: DataFrame) -> DataFrame:
+    """The statistics of a run with each count's percentage of all rows, to one decimal; 0 of no rows."""
+    counts = [c for c in stats.columns if c != "total"]
+    share = lambda c: F.when(F.col("total") > 0, F.bround(F.col(c) * 100 / F.col("total"), 1)).otherwise(0.0)
+    return stats.select("total", *counts, *(share(c).alias(f"{c}_pct") for c in counts))
+
+
 def run_stats(results: DataFrame) -> DataFrame:
     """One row: total, matched in either catalog (by code or name), in both, in none."""
     one = (F.col("code_1") != "") | (F.col("name_1") != "")

@@ -1,4 +1,10 @@
-"""Ranked search of a catalog: tiers of code, equality, prefix, substring, words, then fuzzy matches."""
+"""Ranked search of a catalog: tiers of code, equality, prefix, substring, words, then fuzzy matches.
+
+Whatever can score has a part of the query in it: the first word, where queries of several words are gated by
+it; else one of the words; or the query in its code.  So items are met by equality on grams of up to GRAM characters: of each
+part its first gram.  Only the fuzzy matches of queries that aren't gated, and queries of nothing but punctuation, are
+looked for in all items.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,7 @@ from recordloom.functions.text import clean_lite, normalize, unaccent
 from recordloom.vocab import Vocabulary
 
 TOP = 15
+GRAM = 3
 
 
 def _index(rows: DataFrame, text: str, vocab: Vocabulary | None) -> DataFrame:
@@ -26,20 +33,24 @@ def _place(tokens: Column, bare: Column, t: Column, b: Column) -> Column:
 
 
 def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabulary | None = None, fuzzy: bool = True) -> DataFrame:
-    """(query_id, rank, idx, code, name, score, match_type) for queries (query_id, query) over items (idx, code, name).
-
-    Queries are few and typed by people: they are broadcast if at most 10,000, and each is held against every item.
-    """
-    q = _index(queries, "query", vocab).select("query_id", *(F.col(c).alias(f"q_{c}") for c in ("low", "clean", "bare", "toks", "bare_toks")))
-    if q.limit(10_001).count() <= 10_000:
-        q = F.broadcast(q)
-    i = _index(items, "name", vocab).withColumn("low_code", F.lower(F.coalesce("code", F.lit(""))))
+    """(query_id, rank, idx, code, name, score, match_type) for queries (query_id, query) over items (idx, code, name)."""
     c = F.col
+    q = _index(queries, "query", vocab).select("query_id", *(F.col(x).alias(f"q_{x}") for x in ("low", "clean", "bare", "toks", "bare_toks")))
+    i = _index(items, "name", vocab).withColumn("low_code", F.lower(F.coalesce("code", F.lit(""))))
     first = F.substring_index(c("q_low"), " ", 1)
     gated = (F.length(first) >= 3) & (F.size("q_toks") >= 2)
-    passes = ~gated | F.contains("low", first) | F.contains(unaccent(c("low")), unaccent(first)) | F.contains("low_code", c("q_low"))
-    pairs = i.join(q, passes, "inner")
     blank = c("q_low") == ""
+    asked, browsing = q.filter(~blank), q.filter(blank)
+    met = _met(asked.withColumns({"first": first, "gated": gated}), i)
+    loose = c("q_clean") == ""
+    if fuzzy:
+        loose |= ~gated & (F.length("q_clean") >= 4)
+    near = (c("q_clean") == "") | (F.length("clean") <= 2.2 * F.length("q_clean"))
+    every = i.select("idx", "clean").join(asked.filter(loose).select("query_id", "q_clean"), near).select("query_id", "idx")
+    met = met.unionByName(every).distinct()
+    pairs = met.join(i, "idx").join(asked, "query_id")
+    passes = ~gated | F.contains("low", first) | F.contains(unaccent(c("low")), unaccent(first)) | F.contains("low_code", c("q_low"))
+    pairs = pairs.filter(passes)
     share = F.least(F.length("q_clean") / F.greatest(F.length("clean"), F.lit(1)), F.lit(1.0))
     code = F.when(c("low_code") == c("q_low"), 100.0).when((c("low_code") != "") & F.startswith("low_code", c("q_low")), 98.0).when((c("low_code") != "") & F.contains("low_code", c("q_low")), 92.0).otherwise(0.0)
     places = F.transform(F.arrays_zip(c("q_toks").alias("t"), c("q_bare_toks").alias("b")), lambda z: _place(c("toks"), c("bare_toks"), z["t"], z["b"]))
@@ -63,7 +74,7 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
         F.when(some.isNotNull(), F.struct(some.alias("s"), F.lit("FUZZY").alias("m"))),
         F.when(single.isNotNull(), F.struct(single.alias("s"), F.lit("SUBSTRING").alias("m"))),
     )
-    pairs = pairs.withColumn("tier", F.when(blank, F.struct(F.lit(100.0).alias("s"), F.lit("EXACT").alias("m"))).when(c("s0") < 99, tier))
+    pairs = pairs.withColumn("tier", F.when(c("s0") < 99, tier))
     pairs = pairs.withColumns({"s": F.greatest(c("s0"), F.coalesce("tier.s", F.lit(0.0))), "m": F.coalesce("tier.m", F.when(c("s0") > 0, "CODE"), F.lit("FUZZY"))})
     if fuzzy:
         slow = (c("s") < 40) & (F.length("q_clean") >= 4) & (F.length("clean") <= 2.2 * F.length("q_clean"))
@@ -72,6 +83,29 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
         pairs = pairs.filter(~slow).unionByName(far)
     kept = pairs.filter((c("s") >= 25) | (c("m") == "CODE")).withColumn("score", F.floor(c("s") * 10 + 0.5) / 10)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.length("name"), "idx")
-    plain = W.partitionBy("query_id").orderBy("idx")
-    kept = kept.withColumn("rank", F.when(blank, F.row_number().over(plain)).otherwise(F.row_number().over(order)))
-    return kept.filter(c("rank") <= top).select("query_id", "rank", "idx", "code", "name", "score", c("m").alias("match_type"))
+    found = kept.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= top).select("query_id", "rank", "idx", "code", "name", "score", c("m").alias("match_type"))
+    # a blank query shows the catalog's beginning
+    start = items.select("idx", "code", "name").orderBy("idx").limit(top).withColumn("rank", F.row_number().over(W.orderBy("idx")))
+    shown = browsing.select("query_id").join(F.broadcast(start)).select("query_id", "rank", "idx", "code", "name", F.lit(100.0).alias("score"), F.lit("EXACT").alias("match_type"))
+    return found.unionByName(shown)
+
+
+def _grams(text: Column) -> Column:
+    """All grams of GRAM characters and less."""
+    found, letters = [F.split(text, "")], F.split(text, "")
+    for n in range(2, GRAM + 1):
+        found.append(F.array_compact(F.zip_with(found[-1], F.slice(letters, n, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))))
+    return F.array_distinct(F.concat(*found))
+
+
+def _met(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, idx): items with the first gram of one of a query's parts, in the name or the code."""
+    head = lambda t: F.substring(t, 1, GRAM)
+    in_name = F.when(F.col("gated"), F.array(head(unaccent(F.col("first"))))).otherwise(F.concat(F.transform("q_bare_toks", head), F.transform("q_toks", lambda t: head(unaccent(t))), F.array(head("q_bare"))))
+    wanted = asked.select("query_id", F.explode(F.array_distinct(F.concat(F.transform(in_name, lambda g: F.struct(F.lit("name").alias("part"), g.alias("gram"))), F.array(F.struct(F.lit("code").alias("part"), head("q_low").alias("gram")))))).alias("g")).select("query_id", "g.part", "g.gram").filter("gram <> ''")
+    # grams that no query has aren't listed
+    listed = wanted.select("part", "gram").distinct()
+    said = items.select("idx", F.explode(_grams(unaccent(F.concat_ws("\n", "low", "bare")))).alias("gram"), F.lit("name").alias("part"))
+    coded = items.select("idx", F.explode(_grams(F.col("low_code"))).alias("gram"), F.lit("code").alias("part"))
+    posted = said.unionByName(coded).join(listed, ["part", "gram"], "left_semi")
+    return wanted.join(posted, ["part", "gram"]).select("query_id", "idx").distinct()

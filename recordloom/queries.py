@@ -17,7 +17,6 @@ from recordloom.operators.search import search
 from recordloom.sources import samples
 from recordloom.vocab import DEFAULT, spellings
 
-TITLE = 80
 #: Source and matched names of the inline fixture (row_id, source, match in the first catalog, match in the second, scores).
 PAIRS = [
     (1, "Chăm sóc ống thông bàng quang", "Mở thông bàng quang", "Chăm sóc ống dẫn lưu", 71.0, 90.0),
@@ -53,15 +52,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, TITLE).alias("title"), "lang", "source")
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts by type and name (id, name)."""
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents by parity as sources (q, name) and targets (idx, code, name)."""
-    t = _titles(spark, sf_dir)
-    src = t.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("q"), F.col("title").alias("name"))
-    return src, t.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("idx"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("code"), F.col("title").alias("name"))
+    """Parts by parity as sources (q, name) and targets (idx, code, name); larger sources are spelled in another way, with their size."""
+    p = _table(spark, sf_dir, "part")
+    other = F.concat_ws(" ", "p_name", F.concat(F.lit("("), "p_type", F.lit("), size")), F.col("p_size").cast("string"))
+    src = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("q"), F.when(F.col("p_size") <= 10, F.concat_ws(" ", "p_type", "p_name")).otherwise(other).alias("name"))
+    return src, p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("idx"), F.concat(F.lit("D"), F.col("p_partkey").cast("string")).alias("code"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,9 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LITE_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[*+\-,.\[\]():;/\\_\"''`~!?@#$%^&=]', ' ', 'g'), '\s+', ' ', 'g'))"
 TOKENS_SQL = "CASE WHEN len(list_filter(string_split({0}, ' '), lambda t: length(t) >= 2)) > 0 THEN list_filter(string_split({0}, ' '), lambda t: length(t) >= 2) ELSE list_filter(string_split({0}, ' '), lambda t: t <> '') END"
-_HALVES_SQL = f"""src AS (SELECT doc_id AS q, substr(text, 1, {TITLE}) AS name, {LITE_SQL.format(f"substr(text, 1, {TITLE})")} AS clean FROM documents WHERE doc_id % 2 = 0),
-tgt AS (SELECT doc_id AS idx, substr(text, 1, {TITLE}) AS name, {LITE_SQL.format(f"substr(text, 1, {TITLE})")} AS clean FROM documents WHERE doc_id % 2 = 1)"""
+_NAMES_SQL = "names AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS name FROM part)"
+_HALVES_SQL = f"""src AS (SELECT q, name, {LITE_SQL.format("name")} AS clean FROM (SELECT p_partkey AS q, CASE WHEN p_size <= 10 THEN p_type || ' ' || p_name ELSE p_name || ' (' || p_type || '), size ' || p_size END AS name FROM part WHERE p_partkey % 2 = 0)),
+tgt AS (SELECT id AS idx, name, {LITE_SQL.format("name")} AS clean FROM (SELECT p_partkey AS id, p_type || ' ' || p_name AS name FROM part WHERE p_partkey % 2 = 1))"""
 _CANDIDATES_SQL = f"""{_HALVES_SQL},
 exact AS (SELECT q, min(idx) AS idx FROM src JOIN tgt ON tgt.clean = src.clean AND src.clean <> '' GROUP BY q),
 rest AS (SELECT * FROM src WHERE q NOT IN (SELECT q FROM exact)),
@@ -96,20 +98,20 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query(f"SELECT doc_id, {LITE_SQL.format(f'substr(text, 1, {TITLE})')} AS clean FROM documents")
+@query(f"WITH {_NAMES_SQL} SELECT id, {LITE_SQL.format('name')} AS clean FROM names")
 def clean_text_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", T.clean_lite(F.col("title")).alias("clean"))
+    return _names(spark, sf_dir).select("id", T.clean_lite(F.col("name")).alias("clean"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(replace(strip_accents(lower(substr(text, 1, {TITLE}))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS keyword FROM documents")
+@query(f"WITH {_NAMES_SQL} SELECT id, trim(regexp_replace(replace(strip_accents(lower(name)), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g')) AS keyword FROM names")
 def unaccent_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _titles(spark, sf_dir).select("doc_id", T.keyword(F.col("title")).alias("keyword"))
+    return _names(spark, sf_dir).select("id", T.keyword(F.col("name")).alias("keyword"))
 
 
-@query(f"SELECT doc_id, array_to_string({TOKENS_SQL.format('clean')}, '|') AS tokens FROM (SELECT doc_id, {LITE_SQL.format(f'substr(text, 1, {TITLE})')} AS clean FROM documents)")
+@query(f"WITH {_NAMES_SQL} SELECT id, array_to_string({TOKENS_SQL.format('clean')}, '|') AS tokens FROM (SELECT id, {LITE_SQL.format('name')} AS clean FROM names)")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _titles(spark, sf_dir).select("doc_id", T.clean_lite(F.col("title")).alias("clean"))
-    return clean.select("doc_id", F.array_join(T.tokens(F.col("clean")), "|").alias("tokens"))
+    clean = _names(spark, sf_dir).select("id", T.clean_lite(F.col("name")).alias("clean"))
+    return clean.select("id", F.array_join(T.tokens(F.col("clean")), "|").alias("tokens"))
 
 
 @query()
@@ -134,10 +136,10 @@ def exact_link_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("q").join(M.exact_link(a, b), "q", "left").select("q", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
-@query(f"SELECT min(doc_id) AS doc_id, clean FROM (SELECT doc_id, {LITE_SQL.format(f'substr(text, 1, {TITLE})')} AS clean FROM documents) GROUP BY clean")
+@query(f"WITH {_NAMES_SQL} SELECT min(id) AS id, clean FROM (SELECT id, {LITE_SQL.format('name')} AS clean FROM names) GROUP BY clean")
 def target_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _titles(spark, sf_dir).select("doc_id", T.clean_lite(F.col("title")).alias("clean"))
-    return M.dedupe_first(clean, order="doc_id")
+    clean = _names(spark, sf_dir).select("id", T.clean_lite(F.col("name")).alias("clean"))
+    return M.dedupe_first(clean, order="id")
 
 
 @query(f"WITH {_HALVES_SQL} SELECT DISTINCT idx, unnest({TOKENS_SQL.format('clean')}) AS token FROM tgt")
@@ -190,7 +192,10 @@ def candidate_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, tgt = _halves(spark, sf_dir)
     a, b = M.prepared(src), M.prepared(tgt)
     left = a.join(M.exact_link(a, b), "q", "left_anti")
-    return M.candidates(left, M.postings(b, False), False).select("q", "idx", F.col("weight").cast("long").alias("weight"), F.col("rank").cast("long").alias("rank"))
+    asked = M.distinct_names(left, "q")
+    near = M.candidates(asked, M.postings(M.distinct_names(b, "idx"), False), False, members=M.members_of(b))
+    met = left.select("q", "clean").join(asked.select("clean", F.col("q").alias("__q")), "clean").join(near.withColumnRenamed("q", "__q"), "__q")
+    return met.select("q", "idx", F.col("weight").cast("long").alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_HALVES_SQL} SELECT q, idx, row_number() OVER (PARTITION BY q ORDER BY idx)::BIGINT AS rank FROM src JOIN tgt ON length(src.clean) > 0 AND abs(length(src.clean) - length(tgt.clean)) / greatest(length(src.clean), length(tgt.clean)) <= {M.BAND} QUALIFY rank <= {M.FALLBACK}")
@@ -204,22 +209,30 @@ _PARTS_SQL = "parts AS (SELECT p_name AS name, min(p_partkey) AS idx FROM part G
 
 @query(f"WITH {_PARTS_SQL} SELECT a.idx AS a, b.idx AS b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS ratio FROM parts a JOIN parts b ON a.idx < b.idx WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.5")
 def levenshtein_ratio_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    pairs = p.alias("a").join(p.alias("b"), F.col("a.idx") < F.col("b.idx"))
-    return pairs.select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.round(S.levenshtein_ratio(F.col("a.name"), F.col("b.name")), 6).alias("ratio")).filter("ratio >= 0.5")
+    pairs = _near_parts(spark, sf_dir, 0.5).filter("a < b")
+    return pairs.select("a", "b", F.round(S.levenshtein_ratio(F.col("name_a"), F.col("name_b")), 6).alias("ratio")).filter("ratio >= 0.5")
+
+
+def _near_parts(spark: SparkSession, sf_dir: str, band: float) -> DataFrame:
+    """(a, b, name_a, name_b): pairs of distinct names whose lengths are within the band, joined by length."""
+    p = _parts(spark, sf_dir).select("idx", "name", F.length("name").alias("n"))
+    near = p.select(F.col("idx").alias("a"), F.col("name").alias("name_a"), F.explode(S.lengths_within(F.col("n"), band)).alias("n"))
+    return near.join(p.select(F.col("idx").alias("b"), F.col("name").alias("name_b"), "n"), "n")
 
 
 @query(f"WITH {_PARTS_SQL} SELECT a.idx AS idx, count(*)::BIGINT AS n FROM parts a JOIN parts b ON abs(length(a.name) - length(b.name)) / greatest(length(a.name), length(b.name)) <= 0.5 GROUP BY a.idx")
 def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    return p.alias("a").join(p.alias("b"), S.length_gate(F.col("a.name"), F.col("b.name"), 0.7)).groupBy(F.col("a.idx").alias("idx")).agg(F.count("*").alias("n"))
+    """How many names each passes the gate with: by lengths, no pairs."""
+    p = _parts(spark, sf_dir).withColumn("length", F.length("name"))
+    counted = p.groupBy("length").agg(F.count("*").alias("n"))
+    passing = counted.select("length", F.explode(S.lengths_within(F.col("length"), S.gate_band(0.7))).alias("other")).join(counted.select(F.col("length").alias("other"), "n"), "other").groupBy("length").agg(F.sum("n").alias("n"))
+    return p.join(passing, "length").select("idx", "n")
 
 
 @query()
 def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir)
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.idx") < F.col("b.idx")) & S.length_gate(F.col("a.name"), F.col("b.name"), 0.9))
-    return pairs.select(F.col("a.idx").alias("a"), F.col("b.idx").alias("b"), F.round(S.sequence_ratio(F.col("a.name"), F.col("b.name")), 6).alias("ratio"))
+    pairs = _near_parts(spark, sf_dir, S.gate_band(0.9)).filter("a < b")
+    return pairs.select("a", "b", F.round(S.sequence_ratio(F.col("name_a"), F.col("name_b")), 6).alias("ratio"))
 
 
 _LEV_SQL = "CASE WHEN 1 - levenshtein(a.clean, b.clean) / greatest(length(a.clean), length(b.clean)) >= {0} THEN 1 - levenshtein(a.clean, b.clean) / greatest(length(a.clean), length(b.clean)) ELSE 0 END"
@@ -235,15 +248,7 @@ def link_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("q").join(M.exact_link(a, b), "q", "left").select("q", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
-def _ascii_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The halves with unaccented names."""
-    return tuple(t.withColumn("name", T.keyword(F.col("name"))) for t in _halves(spark, sf_dir))
-
-
-_ASCII_SQL = _CANDIDATES_SQL.replace(LITE_SQL.format(f"substr(text, 1, {TITLE})"), f"trim(regexp_replace(replace(strip_accents(lower(substr(text, 1, {TITLE}))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))")
-
-
-@query(f"""WITH {_ASCII_SQL},
+@query(f"""WITH {_CANDIDATES_SQL},
 alone AS (SELECT * FROM rest WHERE q NOT IN (SELECT q FROM ranked)),
 band AS (SELECT q, idx, row_number() OVER (PARTITION BY q ORDER BY idx) AS rank FROM alone JOIN tgt ON length(alone.clean) > 0 AND abs(length(alone.clean) - length(tgt.clean)) / greatest(length(alone.clean), length(tgt.clean)) <= {M.BAND} QUALIFY rank <= {M.FALLBACK}),
 pairs AS (SELECT q, idx, rank FROM ranked UNION ALL SELECT * FROM band),
@@ -254,8 +259,8 @@ won AS (SELECT q, idx, s FROM scored WHERE s > 0 QUALIFY row_number() OVER (PART
 found AS (SELECT q, idx, 1.0 AS s FROM exact UNION ALL SELECT * FROM won WHERE s >= 0.6)
 SELECT src.q, coalesce('D' || idx, '') AS match_code, coalesce(floor(s * 1000 + 0.5) / 10, 0)::DOUBLE AS match_score FROM src LEFT JOIN found ON found.q = src.q""")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every source title linked to its best target, or unmatched, by edit distance."""
-    src, tgt = _ascii_halves(spark, sf_dir)
+    """The flagship: every source name linked to its best target, or unmatched, by edit distance."""
+    src, tgt = _halves(spark, sf_dir)
     return M.link(src, tgt, threshold=0.6, sequences=False).select("q", "match_code", "match_score")
 
 
@@ -276,7 +281,7 @@ def link_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The titles linked under the light profile."""
+    """The names linked under the light profile."""
     src, tgt = _halves(spark, sf_dir)
     return M.link_lite(src, tgt, DEFAULT, 0.6).select("q", "match_code", "match_score")
 
@@ -406,12 +411,38 @@ def service_rules_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.service_audit_first(_pairs(spark).select("row_id", "name", "name_1", "name_2"), "name", "name_1", "name_2").select("row_id", "warning", "type", "severity", "rules", "flag")
 
 
-@query()
+#: Queries as people type them (id, query).
+TYPED = [(1, "ring"), (2, "RED bolt"), (3, "bolt red"), (4, "brand#1"), (5, "Brand#12"), (6, "bo"), (7, "economy hot gear"), (8, "eco"), (9, "ring, small"), (10, "no such thing"), (11, "small ri"), (12, "in ring"), (13, "***"), (14, "widget economy xyz")]
+_TIER_SQL = "CASE WHEN low = q_low OR clean = q_clean THEN {'s': 100.0, 'm': 'EXACT'} WHEN starts_with(clean, q_clean) THEN {'s': 95 + 4 * r, 'm': 'PREFIX'} WHEN contains(clean, q_clean) THEN {'s': 90 + 5 * r, 'm': 'SUBSTRING'} WHEN n >= 2 AND hit = n THEN {'s': 84 + CASE WHEN falls = 0 THEN 4 ELSE 0 END + 4 * r, 'm': 'ALL_WORDS'} WHEN n >= 2 AND hit < n AND hit * 2 >= n THEN {'s': 35.0 * hit / n, 'm': 'FUZZY'} WHEN n = 1 AND hit = 1 THEN {'s': 80 + 8 * r, 'm': 'SUBSTRING'} END"
+
+
+@query(f"""WITH typed AS (SELECT id::BIGINT AS query_id, query FROM {_values(TYPED)} v(id, query) UNION ALL SELECT 100 + min(p_partkey), p_name FROM part GROUP BY p_name),
+q AS (SELECT query_id, lower(trim(query)) AS q_low, {LITE_SQL.format("query")} AS q_clean, string_split(lower(trim(query)), ' ')[1] AS first FROM typed),
+qs AS (SELECT *, list_filter(string_split(q_clean, ' '), lambda t: t <> '') AS q_toks FROM q),
+i AS (SELECT id AS idx, name, lower(p_brand) AS low_code, lower(trim(name)) AS low, {LITE_SQL.format("name")} AS clean FROM (SELECT p_partkey AS id, p_type || ' ' || p_name AS name, p_brand FROM part)),
+p AS (SELECT *, len(q_toks) AS n, least(length(q_clean) / greatest(length(clean), 1), 1.0) AS r, list_transform(q_toks, lambda t: coalesce(list_position(list_transform(list_filter(string_split(clean, ' '), lambda x: x <> ''), lambda x: starts_with(x, t)), true), 0) - 1) AS places,
+  CASE WHEN low_code = q_low THEN 100.0 WHEN low_code <> '' AND starts_with(low_code, q_low) THEN 98.0 WHEN low_code <> '' AND contains(low_code, q_low) THEN 92.0 ELSE 0.0 END AS s0 FROM i JOIN qs ON NOT (length(first) >= 3 AND len(q_toks) >= 2) OR contains(low, first) OR contains(low_code, q_low)),
+h AS (SELECT *, len(list_filter(places, lambda x: x >= 0)) AS hit, len(list_filter(range(2, len(places) + 1), lambda k: places[k] < places[k - 1])) AS falls FROM p),
+t AS (SELECT *, CASE WHEN s0 < 99 THEN {_TIER_SQL} END AS tier FROM h),
+scored AS (SELECT query_id, idx, name, greatest(s0, coalesce(tier.s, 0)) AS s, coalesce(tier.m, CASE WHEN s0 > 0 THEN 'CODE' ELSE 'FUZZY' END) AS m FROM t)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY floor(s * 10 + 0.5) / 10 DESC, length(name), idx)::INT AS rank, idx, (floor(s * 10 + 0.5) / 10)::DOUBLE AS score, m AS match_type FROM scored WHERE s >= 25 OR m = 'CODE' QUALIFY rank <= 15""")
 def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each benchmark item searched in the titles of documents."""
-    q = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("query"))
-    items = _titles(spark, sf_dir).select(F.col("doc_id").alias("idx"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("code"), F.col("title").alias("name"))
-    return search(q, items).select("query_id", "rank", "idx", "score", "match_type")
+    """Typed queries and all names of parts searched in types and names, brands as codes: the tiers without fuzzy matches."""
+    part = _table(spark, sf_dir, "part")
+    named = part.groupBy("p_name").agg((F.min("p_partkey") + 100).alias("query_id")).select("query_id", F.col("p_name").alias("query"))
+    typed = spark.createDataFrame(TYPED, "query_id long, query string").unionByName(named)
+    return search(typed, _searched(part), fuzzy=False).select("query_id", "rank", "idx", "score", "match_type")
+
+
+def _searched(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_partkey").alias("idx"), F.col("p_brand").alias("code"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
+
+
+@query()
+def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt one-word queries, held against every name."""
+    q = spark.createDataFrame([(1, "economy smal ring"), (2, "econommy"), (3, "rign"), (4, "")], "query_id long, query string")
+    return search(q, _searched(_table(spark, sf_dir, "part"))).select("query_id", "rank", "idx", "score", "match_type")
 
 
 @query("""WITH q AS (SELECT DISTINCT p_brand AS query FROM part), i AS (SELECT p_partkey AS idx, lower(p_brand) AS code FROM part)
