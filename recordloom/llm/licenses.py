@@ -6,10 +6,11 @@ longest template, and windows of as many words as the
 template over the whole text, whatever its line breaks.  A template can only reach the least coefficient D with
 a unit of between D / (2 - D) and (2 - D) / D times as many bigrams, so it is dropped for lines beyond these
 bounds.  Within them a unit must have at least D / (2 - D) of the template's bigrams, and so one of its anchors,
-which are so many of its bigrams that no fewer could be left out, those of the longest words first.  Only where
+which are so many of its bigrams that no fewer could be left out, those with the longest words first.  Only where
 an anchor stands is a line compared; and there a window is cut so that the anchor stands at its place in the template.
 
-Up to FEW anchors are broadcast and met where the words are; of a longer list only (unit, place, bigram) is dealt out.
+One pass over all texts finds those with an anchor; the units are made of these only.  Up to FEW anchors are broadcast
+and met where the words are, by their longer word; of a longer list only (unit, place, bigram) is dealt out.
 
 Cases.  Null and empty texts and lines of fewer than two words have no bigrams and match nothing.  Of equal
 coefficients the first licence by name wins.  Windows that begin before the text begin with it; they may end with
@@ -54,10 +55,14 @@ def size_bounds(least: int, most: int, percent: int = PERCENT) -> tuple[int, int
 
 
 def anchors(spark: SparkSession, templates: dict[str, list[str]], percent: int = PERCENT) -> DataFrame:
-    """(license, template, n_words, bigrams, first, second, place): the anchors of each template; place counts from 0."""
+    """(license, template, n_words, bigrams, first, second, place, word, other, step): the anchors of each template.
+
+    place counts from 0; word is the longer one of first and second, and the other stands a step from it.
+    """
     listed = [(name, f"{name}/{i}", text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
     made = spark.createDataFrame(listed, "license string, template string, text string").withColumn("w", words(F.col("text"))).withColumn("bigrams", bigrams(F.col("w"))).filter(F.size("bigrams") > 0)
-    ranked = F.array_sort(F.transform("bigrams", lambda b: F.struct((-F.length(b)).alias("minus"), b.alias("bigram"))))
+    longest = lambda b: F.greatest(F.length(F.substring_index(b, " ", 1)), F.length(F.substring_index(b, " ", -1)))
+    ranked = F.array_sort(F.transform("bigrams", lambda b: F.struct((-longest(b)).alias("minus"), b.alias("bigram"))))
     needed = F.size("bigrams") - F.ceil(F.size("bigrams") * percent / (200 - percent)) + 1
     each = made.select("license", "template", F.size("w").alias("n_words"), "bigrams", "w", F.explode(F.slice(ranked, 1, needed.cast("int"))["bigram"]).alias("bigram"))
     second = F.substring_index("bigram", " ", -1)
@@ -65,17 +70,37 @@ def anchors(spark: SparkSession, templates: dict[str, list[str]], percent: int =
     # an anchor that stands twice in its template is met at its first place
     places = F.sequence(F.lit(0), F.size("w") - 2)
     place = F.filter(places, lambda i: (F.get("w", i) == F.col("first")) & (F.get("w", i + 1) == F.col("second")))[0]
-    return found.select("license", "template", "n_words", "bigrams", "first", "second", place.alias("place"))
+    ahead = F.length("first") >= F.length("second")
+    met = {"word": F.when(ahead, F.col("first")).otherwise(F.col("second")), "other": F.when(ahead, F.col("second")).otherwise(F.col("first")), "step": F.when(ahead, 1).otherwise(-1)}
+    return found.withColumn("place", place).withColumns(met).select("license", "template", "n_words", "bigrams", "first", "second", "place", "word", "other", "step")
+
+
+def _at(w: str, i: Column) -> Column:
+    """The word at a place counted from 0; null outside."""
+    return F.when(i >= 0, F.get(w, i))
+
+
+def _pairs() -> Column:
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    return F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+
+
+def anchored(texts: DataFrame, key: list[str], wanted: DataFrame, few: bool) -> DataFrame:
+    """The keys of the texts (key, w) that have an anchor."""
+    if few:
+        met = texts.select(*key, "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(wanted.select("word", "other", "step").distinct()), "word")
+        return met.filter(_at("w", F.col("at") + F.col("step")) == F.col("other")).select(*key).distinct()
+    return texts.select(*key, F.explode(_pairs()).alias("b")).select(*key, "b.first", "b.second").join(wanted.select("first", "second").distinct(), ["first", "second"], "left_semi").select(*key).distinct()
 
 
 def _met(units: DataFrame, key: list[str], wanted: DataFrame, few: bool) -> DataFrame:
     """(key, w, at, license, template, n_words, bigrams, place) where an anchor stands in a unit (key, w), at counted from 0."""
     kept = ["license", "template", "n_words", "bigrams", "place"]
     if few:
-        pairs = units.select(*key, "w", F.posexplode("w").alias("at", "first")).join(F.broadcast(wanted), "first")
-        return pairs.filter(F.get("w", F.col("at") + 1) == F.col("second")).select(*key, "w", "at", *kept)
-    n = F.greatest(F.size("w") - 1, F.lit(0))
-    every = units.select(*key, F.posexplode(F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.struct(a.alias("first"), b.alias("second")))).alias("at", "b"))
+        pairs = units.select(*key, "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(wanted), "word")
+        begin = F.least(F.col("at"), F.col("at") + F.col("step"))
+        return pairs.filter(_at("w", F.col("at") + F.col("step")) == F.col("other")).withColumn("at", begin).select(*key, "w", "at", *kept)
+    every = units.select(*key, F.posexplode(_pairs()).alias("at", "b"))
     slim = every.select(*(F.col(k).alias(f"__{k}") for k in key), "at", "b.first", "b.second").join(wanted.select("first", "second", "template", "place"), ["first", "second"]).drop("first", "second")
     same = [units[k].eqNullSafe(slim[f"__{k}"]) for k in key]
     whole = wanted.select("license", "template", "n_words", "bigrams").dropDuplicates(["template"])
@@ -94,7 +119,9 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = materialize(anchors(docs.sparkSession, TEMPLATES if templates is None else templates, percent), "license-anchors")
     counted = wanted.agg(F.count("*").alias("n"), F.min(F.size("bigrams")).alias("least"), F.max(F.size("bigrams")).alias("most"), F.max("n_words").alias("longest")).first()
     few, (low, high) = counted.n <= FEW, size_bounds(counted.least or 0, counted.most or 0, percent)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("said"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("said"))
+    some = materialize(anchored(every.select("doc_id", "text_key", words(F.col("said")).alias("w")), ["doc_id", "text_key"], wanted, few), "license-anchored").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    texts = every.join(some, [every.doc_id.eqNullSafe(some["__doc"]), every.text_key == some["__key"]], "left_semi")
     lines = texts.select("doc_id", "text_key", F.posexplode(F.split("said", "\n")).alias("line", "said"))
     reach = counted.longest or 1
     # a line of so many bigrams has one word more, each of a character and a separator but for the last
@@ -147,7 +174,7 @@ lines AS (SELECT r, i, {_BIGRAMS.format("w")} AS b FROM (SELECT r, i, {_WORDS.fo
 templates AS (SELECT row_number() OVER () AS template, license, tw, {_BIGRAMS.format("tw")} AS t FROM (SELECT license, {_WORDS.format("text")} AS tw FROM (VALUES {_LISTED}) v(license, text))),
 pairs AS (SELECT r, i, license, b, t FROM lines JOIN templates ON {PERCENT} * len(b) <= {200 - PERCENT} * len(t) AND {PERCENT} * len(t) <= {200 - PERCENT} * len(b)),
 on_lines AS (SELECT r, 'line' AS kind, license, len(list_intersect(b, t)) * 2 / (len(b) + len(t)) AS dice FROM pairs WHERE {_SCORED} QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY len(list_intersect(b, t)) * 2 / (len(b) + len(t)) DESC, license) = 1),
-ranked AS (SELECT template, license, tw, t, g, row_number() OVER (PARTITION BY template ORDER BY length(g) DESC, g) AS k FROM (SELECT *, unnest(t) AS g FROM templates)),
+ranked AS (SELECT template, license, tw, t, g, row_number() OVER (PARTITION BY template ORDER BY greatest(length(string_split(g, ' ')[1]), length(string_split(g, ' ')[2])) DESC, g) AS k FROM (SELECT *, unnest(t) AS g FROM templates)),
 anchors AS (SELECT template, license, len(tw) AS m, t, g, list_position(list_transform(range(1, len(tw)), lambda i: tw[i] || ' ' || tw[i + 1]), g) AS place FROM ranked WHERE k <= len(t) - ceil(len(t) * {PERCENT} / {200 - PERCENT}) + 1),
 texts AS (SELECT r, {_WORDS.format("text")} AS w FROM docs),
 spots AS (SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g, unnest(range(1, len(w))) AS spot FROM texts WHERE len(w) > 1),
