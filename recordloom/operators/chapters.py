@@ -1,21 +1,27 @@
 """Order-dependent columns of a catalog: running ordinals and chapters filled forward.
 
-A window over all rows would run in one task.  Instead rows are dealt to blocks of their order column, each
-block is summed up in one row, the blocks' running state is taken over those few rows, and rows are
-completed within their block.
+A window over all rows would run in one task.  Instead rows are dealt to blocks of about BLOCK rows by quantiles
+of their order column, however sparse its numbers are; each block is summed up in one row, the blocks' running
+state is taken over those few rows, BLOCKS at most, and rows are completed within their block.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 10_000
+BLOCK, BLOCKS = 10_000, 4096
 
 
 def _blocked(rows: DataFrame, order: str, block: int) -> DataFrame:
-    return rows.withColumn("__block", F.floor(F.col(order) / block))
+    n = min(-(-rows.count() // block), BLOCKS)
+    cuts = sorted(set(rows.approxQuantile(order, [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    if not cuts:
+        return rows.withColumn("__block", F.lit(0.0))
+    splits = [-float("inf"), *cuts, float("inf")]
+    return Bucketizer(splits=splits, inputCol="__order", outputCol="__block", handleInvalid="keep").transform(rows.withColumn("__order", F.col(order).cast("double"))).drop("__order")
 
 
 def running_count(rows: DataFrame, flag: Column, order: str = "row_no", out: str = "ordinal", block: int = BLOCK) -> DataFrame:

@@ -196,6 +196,23 @@ def link_catalogs(sources: DataFrame, first: DataFrame, second: DataFrame, vocab
     return sources.select("q", "name").join(one, "q").join(two, "q")
 
 
+def close_match(sources: DataFrame, targets: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(q, match_code, match_name, match_score): the exact target, else the one with the highest sequence ratio from the threshold on, of equal ones the last by name; no barriers.
+
+    A ratio bounds the lengths' ratio, so names are joined by length.
+    """
+    src, tgt = kept(sources.withColumn("clean", clean_lite(F.col("name")))), kept(dedupe_first(targets.withColumn("clean", clean_lite(F.col("name")))))
+    exact = exact_link(src, tgt).withColumn("score", F.lit(1.0))
+    left = src.join(exact, "q", "left_anti").filter("clean <> ''")
+    asked = distinct_names(left, "q").select("q", F.col("clean").alias("wanted"), F.explode(S.lengths_within(F.length("clean"), 1 - threshold / (2 - threshold))).alias("n"))
+    near = asked.join(tgt.select("idx", "clean", F.length("clean").alias("n")), "n").withColumn("score", S.sequence_ratio_lite(F.col("clean"), F.col("wanted"))).filter(F.col("score") >= threshold)
+    best = near.groupBy("wanted").agg(F.max(F.struct("score", "clean", "idx")).alias("b")).withColumn("score", S.sequence_ratio_lite(F.col("wanted"), F.col("b.clean")))
+    best = best.filter(F.col("score") >= threshold).select(F.col("wanted").alias("clean"), "b.idx", "score")
+    found = exact.unionByName(left.join(best, "clean").select("q", "idx", "score"))
+    named = found.join(tgt.select("idx", F.col("code").alias("match_code"), F.col("name").alias("match_name")), "idx")
+    return sources.select("q").join(named.drop("idx"), "q", "left").select("q", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(F.bround(F.col("score") * 100, 1), F.lit(0.0)).alias("match_score"))
+
+
 def best_exhaustive(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, sequences: bool = True) -> DataFrame:
     """(q, idx, score) over all pairs: the check of the blocked path, for small catalogs."""
     src, tgt = prepared(sources, vocab), prepared(targets, vocab)

@@ -6,6 +6,10 @@ an audit struct, as far as an operator needs them.
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +67,12 @@ def page(rows: DataFrame, number: int, size: int = 25, order: str = "row_id") ->
     return rows.orderBy(order).offset((min(max(number, 1), last) - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, after: int | None, size: int = 25, order: str = "row_id") -> DataFrame:
+    """The rows that follow the last one of a page, by its key: each task keeps a page at most, and nothing is counted."""
+    left = rows if after is None else rows.filter(F.col(order) > after)
+    return left.orderBy(order).limit(size)
+
+
 def facet_specialties(rows: DataFrame, column: str = "specialty") -> DataFrame:
     """(facet, n): rows by their specialty and, where it differs, by its last segment."""
     whole = F.trim(F.coalesce(F.col(column), F.lit("")))
@@ -161,9 +171,35 @@ def load_session(spark, path: str, session_id: str) -> DataFrame:  # noqa: ANN00
     return spark.read.parquet(path).filter(F.col("session_id") == session_id).drop("session_id", "saved_at")
 
 
+def snapshot(rows: DataFrame, path: str) -> str:
+    """Write the rows as a session of their own; its id."""
+    session_id = f"snapshot_{uuid.uuid4().hex}"
+    save_session(rows, path, session_id)
+    return session_id
+
+
+def restored(current: dict, saved: dict) -> dict:
+    """The settings after a session is restored: its threshold if it has one other than 0, its other settings if they are given."""
+    given = {k: v for k, v in saved.items() if v is not None}
+    return current | {k: v for k, v in given.items() if k != "threshold" or v}
+
+
+def export_json(rows: DataFrame, path: str, settings: dict | None = None) -> None:
+    """Write a session as JSON that load_json reads: results, one a line, and settings; refused without results."""
+    if rows.isEmpty():
+        raise ValueError("there are no results")
+    rows.write.mode("overwrite").json(f"{path}/results")
+    if settings is not None:
+        rows.sparkSession.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
 def load_json(spark, path: str, schema: str) -> DataFrame:  # noqa: ANN001
-    """Results of an exported session document; a document without a list of results is refused."""
-    found = spark.read.option("multiLine", True).schema(f"results array<{schema}>").json(path)
+    """Results of an exported session: a folder of export_json, or one document with a list of results; others are refused."""
+    row = spark.createDataFrame([], f"r {schema}").schema["r"].dataType
+    try:
+        return spark.read.schema(row).json(f"{path}/results")
+    except AnalysisException:
+        found = spark.read.option("multiLine", True).schema(f"results array<{schema}>").json(path)
     if not found.filter("results IS NOT NULL").limit(1).count():
         raise ValueError("the document has no results")
     return found.select(F.inline("results"))

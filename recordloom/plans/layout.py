@@ -50,3 +50,21 @@ def add_extra(layout: list[dict], title: str) -> list[dict]:
     used = {c["id"] for c in layout}
     n = next(n for n in range(1, len(layout) + 2) if f"extra_{n}" not in used)
     return [*layout, {"id": f"extra_{n}", "title": title, "order": max((c["order"] for c in layout), default=0) + 1, "selected": True}]
+
+
+def rename_extra(layout: list[dict], column: str, title: str) -> list[dict]:
+    """The title of an extra column changed; other columns keep theirs."""
+    return [c | {"title": title} if c["id"] == column and column.startswith("extra_") else c for c in layout]
+
+
+def remove_extra(layout: list[dict], column: str) -> list[dict]:
+    """An extra column taken out, the gap closed; other columns stay."""
+    return normalize([c for c in layout if c["id"] != column or not column.startswith("extra_")])
+
+
+#: The titles of the ten-column export.
+EXPORT = normalize([{"id": i, "title": t, "order": n, "selected": True} for n, (i, t) in enumerate((
+    ("stt1", "Stt 1"), ("stt2", "Stt 2"), ("code", "Mã TT 43, 21"), ("code_1", "Mã TT 23 (PL1)"), ("code_2", "Mã TT 23 (PL2)"),
+    ("name", "Tên Danh mục kỹ thuật theo Thông tư 32/2023/TT-BYT"), ("name_1", "Tên DMKT theo Phụ lục 1 Thông tư 23/2024/TT-BYT"), ("name_2", "Tên DMKT theo Phụ lục 2 Thông tư 23/2024/TT-BYT"),
+    ("procedure", "QTKT tương ứng tại Bệnh viện"), ("units", "Số Đơn vị thực hiện"),
+), 1)])

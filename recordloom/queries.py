@@ -13,6 +13,7 @@ from recordloom.operators import audit as A
 from recordloom.operators import chapters as C
 from recordloom.operators import match as M
 from recordloom.operators import results as R
+from recordloom.operators import review as V
 from recordloom.operators.search import search
 from recordloom.sources import samples
 from recordloom.vocab import DEFAULT, spellings
@@ -513,10 +514,14 @@ def facet_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.facet_specialties(spark.createDataFrame(SPECIALTIES, "id long, specialty string"))
 
 
-@query("SELECT facet, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([lang, source]) AS facet FROM documents) GROUP BY facet")
+#: A dimension whose keys stand for several members.
+GROUPS = [("western", ["en", "fr", "de"]), ("southern", ["es", "fr"]), ("early", ["src0", "src1", "src2"]), ("none", ["xx"])]
+
+
+@query(f"WITH g AS (SELECT key, unnest(string_split(members, ',')) AS member FROM {_values([(k, ','.join(m)) for k, m in GROUPS])} v(key, members)) SELECT key, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest([lang, source]) AS member FROM documents) d JOIN g USING (member) GROUP BY key")
 def facet_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.array("lang", "source"))).alias("facet"))
-    return d.groupBy("facet").agg(F.count("*").alias("n"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array("lang", "source")).alias("member"))
+    return R.facet_members(d, spark.createDataFrame(GROUPS, "key string, members array<string>"), "key", "members")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS warnings, count(*) FILTER (o_orderkey % 10 = 0) AS locked FROM orders")
@@ -561,3 +566,120 @@ def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "supplier")
     return s.select("s_suppkey", R.report_text(s, [("Name", F.col("s_name")), ("State", F.when(F.col("s_acctbal") > 0, "solvent")), ("Note", F.lit(""))]).alias("report"))
+
+
+_N = len(PAIRS)
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as linked rows, their names those of the inline pairs in turn, audited."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % _N + 1).alias("row_id"), (F.col("o_orderkey") % 10 == 0).alias("is_locked"))
+    p = o.join(F.broadcast(_pairs(spark)), "row_id").drop("row_id").withColumnRenamed("id", "row_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    code = lambda n: F.when(F.col(f"name_{n}") != "", F.concat(F.lit(f"C{n}-"), (F.col("row_id") % _N).cast("string"))).otherwise("").alias(f"code_{n}")
+    rows = p.select("row_id", F.concat(F.lit("S"), F.col("row_id").cast("string")).alias("code"), "name", code(1), "name_1", "score_1", none("string").alias("anatomy_1"), code(2), "name_2", "score_2", none("string").alias("anatomy_2"), "is_locked", F.lit(False).alias("is_manual_override"), none("string").alias("manual_note"), none("timestamp").alias("locked_at"))
+    return V.audit_rows(rows)
+
+
+_LINKED_SQL = f"""{_PAIRS_SQL}, o AS (SELECT o_orderkey AS id, o_orderkey % {_N} + 1 AS p, o_orderkey % 10 = 0 AS is_locked FROM orders),
+l AS (SELECT id, p, is_locked, name, CASE WHEN name_1 <> '' THEN 'C1-' || id % {_N} ELSE '' END AS code_1, name_1, score_1, CASE WHEN name_2 <> '' THEN 'C2-' || id % {_N} ELSE '' END AS code_2, name_2, score_2 FROM o JOIN pairs ON pairs.row_id = o.p),
+none AS (SELECT row_id, FALSE AS warning, 'NONE' AS type, 'SAFE' AS severity, '' AS rules FROM pairs)"""
+_BOTH_SQL = "CASE WHEN x.warning AND y.warning THEN CASE WHEN x.severity = 'HIGH' OR y.severity = 'HIGH' THEN 'HIGH' ELSE 'MEDIUM' END WHEN x.warning THEN x.severity WHEN y.warning THEN y.severity ELSE 'SAFE' END AS severity, CASE WHEN x.warning AND y.warning THEN 'BOTH' WHEN x.warning THEN 'PL1' WHEN y.warning THEN 'PL2' ELSE 'NONE' END AS flag"
+_SHOWN = ["row_id", "code_1", "name_1", "score_1", "code_2", "name_2", "score_2", "is_locked", "is_manual_override", "manual_note"]
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(*_SHOWN, F.col("audit.severity").alias("severity"), F.col("audit.flag").alias("flag"))
+
+
+@query(f"""WITH {_LINKED_SQL}, {_audit_sql('a', 'name_1', 'score_1')}, {_audit_sql('b', 'name_2', 'score_2')}, {_audit_sql('c', 'name_2', '88.0')},
+r AS (SELECT *, id % 5 = 0 AS pick, id % 7 = 0 AS clear FROM l),
+x AS (SELECT 'a' AS k, * FROM a UNION ALL SELECT 'c', * FROM c), y AS (SELECT 'b' AS k, * FROM b UNION ALL SELECT 'n', row_id, warning, type, severity, rules FROM none)
+SELECT id AS row_id, CASE WHEN pick THEN 'N' || id ELSE code_1 END AS code_1, CASE WHEN pick THEN name_2 ELSE name_1 END AS name_1, CASE WHEN pick THEN 88.0 ELSE score_1 END::DOUBLE AS score_1, CASE WHEN clear THEN '' ELSE code_2 END AS code_2, CASE WHEN clear THEN '' ELSE name_2 END AS name_2, CASE WHEN clear THEN 0.0 ELSE score_2 END::DOUBLE AS score_2,
+  is_locked OR pick OR clear AS is_locked, pick OR clear AS is_manual_override, CASE WHEN clear THEN 'Match taken away by hand [PL2]' WHEN pick THEN 'Match picked by hand [PL1]' END AS manual_note, {_BOTH_SQL}
+FROM r JOIN x ON x.row_id = p AND x.k = CASE WHEN pick THEN 'c' ELSE 'a' END JOIN y ON y.row_id = p AND y.k = CASE WHEN clear THEN 'n' ELSE 'b' END""")
+def review_inline_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row gets its second match as its first, after another pick; every seventh loses its second."""
+    rows = _linked(spark, sf_dir)
+    blank = lambda seq, side: (F.lit(seq).alias("seq"), F.lit(side).alias("side"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("anatomy"))
+    fifth, seventh = rows.filter("row_id % 5 = 0"), rows.filter("row_id % 7 = 0")
+    picked = fifth.select("row_id", F.lit(2).alias("seq"), F.lit("PL1").alias("side"), F.concat(F.lit("N"), F.col("row_id").cast("string")).alias("code"), F.col("name_2").alias("name"), F.lit(88.0).alias("score"), F.lit("x").alias("anatomy"))
+    return _shown(V.pick_inline(rows, picked.unionByName(fifth.select("row_id", *blank(1, "PL1"))).unionByName(seventh.select("row_id", *blank(3, "PL2")))))
+
+
+@query(f"""WITH {_LINKED_SQL}, {_audit_sql('a', 'name_1', 'score_1')}, {_audit_sql('b', 'name_2', 'score_2')},
+r AS (SELECT *, id % 3 = 0 AS one, id % 4 = 0 AS two FROM l),
+x AS (SELECT 'a' AS k, * FROM a UNION ALL SELECT 'n', row_id, warning, type, severity, rules FROM none), y AS (SELECT 'b' AS k, * FROM b UNION ALL SELECT 'n', row_id, warning, type, severity, rules FROM none)
+SELECT id AS row_id, CASE WHEN one THEN '' ELSE code_1 END AS code_1, CASE WHEN one THEN '' ELSE name_1 END AS name_1, CASE WHEN one THEN 0.0 ELSE score_1 END::DOUBLE AS score_1, CASE WHEN two THEN '' ELSE code_2 END AS code_2, CASE WHEN two THEN '' ELSE name_2 END AS name_2, CASE WHEN two THEN 0.0 ELSE score_2 END::DOUBLE AS score_2,
+  is_locked, FALSE AS is_manual_override, NULL::VARCHAR AS manual_note, {_BOTH_SQL}
+FROM r JOIN x ON x.row_id = p AND x.k = CASE WHEN one THEN 'n' ELSE 'a' END JOIN y ON y.row_id = p AND y.k = CASE WHEN two THEN 'n' ELSE 'b' END""")
+def review_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches taken away, and the rows audited anew."""
+    rows = _linked(spark, sf_dir)
+    side = F.when((F.col("row_id") % 3 == 0) & (F.col("row_id") % 4 == 0), "BOTH").when(F.col("row_id") % 3 == 0, "PL1").when(F.col("row_id") % 4 == 0, "PL2")
+    return _shown(V.clear_and_audit(rows, rows.select("row_id", side.alias("side")).filter("side IS NOT NULL")))
+
+
+@query(f"""WITH {_LINKED_SQL}, {_audit_sql('a', 'name_1', 'score_1')}, {_audit_sql('b', 'name_2', 'score_2')}, {_audit_sql('c', 'name_2', '100.0')},
+r AS (SELECT *, id % 4 = 1 AS edit FROM l), x AS (SELECT 'a' AS k, * FROM a UNION ALL SELECT 'c', * FROM c), y AS (SELECT * FROM b)
+SELECT id AS row_id, CASE WHEN edit THEN code_2 ELSE code_1 END AS code_1, CASE WHEN edit THEN name_2 ELSE name_1 END AS name_1, CASE WHEN NOT edit OR (code_1 = code_2 AND name_1 = name_2) THEN score_1 WHEN code_2 = '' AND name_2 = '' THEN 0.0 ELSE 100.0 END::DOUBLE AS score_1, code_2, name_2, score_2,
+  CASE WHEN edit THEN id % 8 = 1 ELSE is_locked END AS is_locked, edit AND (id % 8 = 1 OR is_locked OR code_1 <> code_2 OR name_1 <> name_2 OR id % 3 <> 0) AS is_manual_override, CASE WHEN edit AND id % 3 = 1 THEN 'seen' END AS manual_note, {_BOTH_SQL}, edit AND id % 8 = 1 AS timed
+FROM r JOIN x ON x.row_id = p AND x.k = CASE WHEN edit THEN 'c' ELSE 'a' END JOIN y ON y.row_id = p""")
+def review_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth row gets its second match as its first, some of them a lock and a note."""
+    rows = _linked(spark, sf_dir)
+    k = F.col("row_id")
+    edits = rows.filter("row_id % 4 = 1").select("row_id", F.col("code_2").alias("code_1"), F.col("name_2").alias("name_1"), "code_2", "name_2", (k % 8 == 1).alias("is_locked"), F.when(k % 3 == 1, " seen ").when(k % 3 == 2, "  ").alias("manual_note"))
+    done = V.save_override(rows, edits)
+    return done.select(*_SHOWN, F.col("audit.severity").alias("severity"), F.col("audit.flag").alias("flag"), F.col("locked_at").isNotNull().alias("timed"))
+
+
+@query(f"""WITH {_LINKED_SQL}, {_audit_sql('a', 'name_1', 'score_1')}, {_audit_sql('b', 'name_2', 'score_2')}
+SELECT count(*) FILTER (name_1 <> '' OR name_2 <> '') AS audited, count(*) FILTER (a.warning OR b.warning) AS warnings, count(*) FILTER (name_1 <> '' OR name_2 <> '') - count(*) FILTER (a.warning OR b.warning) AS safe FROM l JOIN a ON a.row_id = p JOIN b ON b.row_id = p""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.audit_summary(_linked(spark, sf_dir))
+
+
+@query(f"WITH {_MAPPING_SQL}, s AS (SELECT count(*) AS total, count(*) FILTER (name_1 <> '') AS matched_1, count(*) FILTER (name_2 <> '') AS matched_2, count(*) FILTER (name_1 <> '' AND name_2 <> '') AS matched_both, count(*) FILTER (name_1 = '' AND name_2 = '') AS unmatched FROM m) SELECT *, {', '.join(f'round_even({c} * 100 / total, 1)::DOUBLE AS {c}_pct' for c in ('matched_1', 'matched_2', 'matched_both', 'unmatched'))} FROM s")
+def run_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_shares(M.run_stats(_mapping(spark, sf_dir)))
+
+
+_NAMED = "map {" + ", ".join(f"'{c}': '{shown}'" for c, (shown, _) in DEFAULT.ontology.items()) + "}"
+
+
+@query(f"""WITH n AS (SELECT id, list_filter(c, lambda x, i: list_position(c, x) = i) AS terms, cat FROM (SELECT id, {_ANAT_SQL.removeprefix("list_distinct(").removesuffix(")")} AS c, {_CAT_SQL} AS cat FROM {_values(_LOWER_NAMES)} v(id, clean))),
+o AS (SELECT o_orderkey AS row_id, o_orderkey % {len(NAMES)} + 1 AS id, CASE WHEN o_orderstatus = 'F' THEN 'Chapter ' || o_orderpriority WHEN o_orderstatus = 'O' THEN '' END AS chapter FROM orders)
+SELECT row_id, coalesce(nullif(trim(chapter), ''), {_NAMED}[cat], 'Unclassified') AS specialty_label, CASE WHEN len(terms) > 0 THEN array_to_string(terms, ', ') END AS anatomy_label FROM o JOIN n USING (id)""")
+def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, their names those of the inline catalog in turn, with the labels of specialty and anatomy."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % len(NAMES) + 1).alias("id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Chapter "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", "").alias("chapter"))
+    names = D.decompose(spark.createDataFrame(_LOWER_NAMES, "id long, clean string"), "clean", DEFAULT).select("id", "anatomy", "category")
+    return V.labels(o.join(F.broadcast(names), "id"), DEFAULT).select("row_id", "specialty_label", "anatomy_label")
+
+
+@query("SELECT o_orderkey AS row_id, trim(o_orderpriority) AS extra_1, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 0 THEN o_orderstatus ELSE '' END AS extra_2, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0 THEN 'b' ELSE '' END AS extra_3, '' AS extra_4 FROM orders")
+def extras_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rows = o.select(k.alias("row_id"), F.array(F.concat(F.lit(" "), "o_orderpriority")).alias("cells"), F.array("o_orderstatus").alias("cells_1"), F.array(F.lit("a"), F.lit(" b ")).alias("cells_2"), F.when(k % 3 != 0, "n").otherwise("").alias("name_1"), F.when(k % 4 != 0, "n").alias("name_2"), (k % 10 == 0).alias("is_locked"))
+    return V.extras(rows, [("extra_1", "source", 0), ("extra_2", "PL1", 0), ("extra_3", "PL2", 1), ("extra_4", "source", 7)]).select("row_id", "extra_1", "extra_2", "extra_3", "extra_4")
+
+
+@query()
+def audit_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders audited with the vocabulary: kinds of procedure and organs that exclude each other come first."""
+    rows = V.audit_rows(_linked(spark, sf_dir).drop("audit").filter("row_id >= 0"), DEFAULT)
+    return rows.select("row_id", "audit.warning", "audit.type", "audit.severity", "audit.flag", F.array_join("audit.details.rule", "|").alias("rules"))
+
+
+@query()
+def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.audit_report(_linked(spark, sf_dir))
+
+
+@query()
+def close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts linked by sequence ratio alone."""
+    src, tgt = _halves(spark, sf_dir)
+    return M.close_match(src, tgt, 0.6).select("q", "match_code", "match_score")

@@ -6,6 +6,7 @@ DataFrame operations.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from recordloom.functions.text import chapter_header, clean_lite, is_ordinal, keyword, parse_ordinal
-from recordloom.operators.chapters import fill_chapters, ordinals
+from recordloom.functions.text import NOISE_LITE, chapter_header, clean_lite, is_ordinal, keyword, parse_ordinal
+from recordloom.operators.chapters import fill_chapters, ordinals, running_count
 from recordloom.vocab import Vocabulary, bare
 
 PROBE = 30
@@ -35,6 +36,23 @@ class Inspection:
     name_col: int
     code_col: int
     ordinal_col: int
+    specialty_col: int = -1
+
+
+@dataclass(frozen=True)
+class Kind:
+    """What tells a kind of sheet: words of its header, the header's row and the columns of name, code and ordinal without them; whether it is a target."""
+
+    words: tuple[str, ...]
+    header: int
+    columns: tuple[int, int, int]
+    target: bool = False
+
+
+#: The three kinds of catalogs.
+SOURCE = Kind(("danh muc ky thuat", "ten ky thuat", "ten danh muc"), 1, (2, 1, 0))
+FIRST = Kind(("ten ky thuat", "ten ky thuat cot 4", "ma ky thuat"), 3, (3, 1, 0), True)
+SECOND = Kind(("ten ky thuat", "ma lien ket", "ten ky thuat cot 5", "ma tuong duong"), 1, (4, 3, 0), True)
 
 
 def _key(cell: str) -> str:
@@ -52,12 +70,18 @@ def header_by_ordinal(rows: list[list[str]], is_key) -> int:  # noqa: ANN001
     return 0
 
 
+#: Numbers of decrees, and the shapes of ordinal headers: whole, at the beginning, at the end, within.
+DECREES = ("43", "21", "23", "32")
+ORDINAL_HEADERS = ("stt", "tt", "so tt", "so thu tu", "thu tu")
+ORDINAL_STARTS, ORDINAL_ENDS, ORDINAL_PARTS = ("stt ", "tt ", "so tt "), (" stt", " tt"), ("stt cot", "tt cot", "so tt cot")
+
+
 def is_ordinal_header(header: str) -> bool:
     """Whether a header names an ordinal column and not the code of a decree."""
     k = _key(header)
-    if not k or any(n in k for n in ("43", "21", "23", "32")):
+    if not k or any(n in k for n in DECREES):
         return False
-    return k in ("stt", "tt", "so tt", "so thu tu", "thu tu") or k.startswith(("stt ", "tt ", "so tt ")) or k.endswith((" stt", " tt")) or any(w in k for w in ("stt cot", "tt cot", "so tt cot"))
+    return k in ORDINAL_HEADERS or k.startswith(ORDINAL_STARTS) or k.endswith(ORDINAL_ENDS) or any(w in k for w in ORDINAL_PARTS)
 
 
 def ordinal_column(headers: list[str], rows: list[list[str]], name_col: int, code_col: int) -> int:
@@ -100,6 +124,13 @@ def header_by_keyword(rows: list[list[str]], words: list[str], fallback: int = 0
     return max(0, min(best, len(rows) - 1))
 
 
+def header_by_clean_text(rows: list[list[str]], words: list[str], fallback: int = 1) -> int:
+    """The first of 20 rows with a keyword in a cell, both cleaned of punctuation; else the fallback."""
+    clean = lambda c: " ".join(re.sub(NOISE_LITE, " ", (c or "").lower()).split())
+    wanted = [clean(w) for w in words]
+    return next((i for i, row in enumerate(rows[:20]) if any(w in clean(c) for c in row if c for w in wanted)), fallback)
+
+
 def resolve_column(headers: list[str], words: list[str], fallback: int = -1) -> int:
     """The column of the first keyword that a header contains; else of the first whose words a header has; else the fallback."""
     keys = [_key(h) for h in headers]
@@ -115,30 +146,37 @@ def resolve_column(headers: list[str], words: list[str], fallback: int = -1) ->
 NAME_WORDS, CODE_WORDS = ["tên kỹ thuật", "danh mục kỹ thuật", "tên dịch vụ", "tên"], ["mã tương đương", "mã kỹ thuật", "mã tt", "mã"]
 
 
-def inspect(sheet: DataFrame, fallback: tuple[int, int, int] = (2, 1, 0)) -> Inspection:
+def inspect(sheet: DataFrame, kind: Kind | None = None) -> Inspection:
+    """Header and columns of a sheet: of a kind by its words, else by an ordinal header, as for a preview."""
     rows = [list(r.cells) for r in sheet.orderBy("row_no").limit(PROBE).collect()]
     if len(rows) < 2:
         raise ValueError("a catalog needs a header and a row")
-    head = header_by_ordinal(rows, is_ordinal_header)
+    fallback = (kind or SOURCE).columns
+    head = header_by_keyword(rows, list(kind.words), kind.header) if kind else header_by_ordinal(rows, is_ordinal_header)
     headers = [c.strip() or f"Column {i + 1}" for i, c in enumerate(rows[head])]
     samples = [r for r in rows[head + 1 :] if any(c.strip() for c in r)][:5]
     name, code = resolve_column(headers, NAME_WORDS, fallback[0]), resolve_column(headers, CODE_WORDS, fallback[1])
-    return Inspection(head, headers, samples, name, code, ordinal_column(headers, rows[head + 1 :], name, code))
+    return Inspection(head, headers, samples, name, code, ordinal_column(headers, rows[head + 1 :], name, code), specialty_column(headers))
+
 
+def catalog(sheet: DataFrame, spec: Inspection, vocab: Vocabulary, target: bool = False) -> DataFrame:
+    """(idx, id, code, name, clean, ordinal_text, ordinal, chapter, cells): the rows below the header that are no chapters and have a name.
 
-def catalog(sheet: DataFrame, spec: Inspection, vocab: Vocabulary, specialty_col: int = -1) -> DataFrame:
-    """(idx, code, name, clean, ordinal_text, ordinal, chapter, cells): the rows below the header that are no chapters and have a name."""
+    idx is the row in the sheet, id counts the rows kept.  A target's ordinals don't tell its chapters.  Refused without rows.
+    """
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))) if i >= 0 else F.lit("")
     body = sheet.filter(F.col("row_no") > spec.header_row).withColumns({"name": nfc(cell(spec.name_col)), "code": cell(spec.code_col), "ordinal_text": cell(spec.ordinal_col)})
     after = F.size(F.filter(F.slice("cells", spec.name_col + 2, 10_000), lambda c: F.trim(c) != "")) == 0
-    head = chapter_header(F.col("name"), F.col("ordinal_text"), F.col("code"), after, vocab.specialties)
+    head = chapter_header(F.col("name"), F.lit("") if target else F.col("ordinal_text"), F.col("code"), after, vocab.specialties)
     marked = body.withColumn("head", head)
     major = F.col("head").rlike(r"(?i)^([IVXLCDM]+[.:]|chương|chuong|phần|phan)")
     filled = fill_chapters(marked, F.when(major, F.col("head")), F.when(~major, F.col("head")))
     kept = filled.filter(F.col("head").isNull() & (F.col("name") != ""))
-    counted = ordinals(kept, is_ordinal(F.col("ordinal_text")))
-    own = cell(specialty_col)
-    return counted.select(F.col("row_no").alias("idx"), "code", "name", clean_lite(F.col("name")).alias("clean"), parse_ordinal(F.col("ordinal_text")).alias("ordinal_text"), "ordinal", F.when(own != "", own).otherwise(F.col("chapter")).alias("chapter"), "cells")
+    if kept.isEmpty():
+        raise ValueError("the catalog has no rows")
+    counted = running_count(ordinals(kept, is_ordinal(F.col("ordinal_text"))), F.lit(True), out="id")
+    own = cell(spec.specialty_col)
+    return counted.select(F.col("row_no").alias("idx"), "id", "code", "name", clean_lite(F.col("name")).alias("clean"), parse_ordinal(F.col("ordinal_text")).alias("ordinal_text"), "ordinal", F.when(own != "", own).otherwise(F.col("chapter")).alias("chapter"), "cells")
 
 
 def keyword_column(df: DataFrame, column: str, out: str) -> DataFrame:

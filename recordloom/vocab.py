@@ -1,7 +1,9 @@
 """Vocabularies: what the normaliser, the decomposition and the barriers know, injected as values.
 
 DEFAULT is a compact vocabulary of medical procedure names.  Phrases are listed with their accents; the
-unaccented spellings follow by rule.  A site's own tables go in the same shape.
+unaccented spellings follow by rule.  A site's own tables go in the same shape.  Fixed values in DEFAULT are the
+number and precedence of categories and modalities and the pairs of modalities that exclude each other; the
+phrases are a selection of common terms of the trade.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from recordloom.operators import audit as A
 from recordloom.operators import chapters as C
 from recordloom.operators import match as M
 from recordloom.operators import results as R
+from recordloom.operators import review as V
 from recordloom.operators.search import search
 from recordloom.plans import layout as L
 from recordloom.sources import ingest as I
@@ -24,11 +26,24 @@ def tables(spark, n=60, m=80, seed=3):
 
 
 def test_blocked_path_agrees_with_all_pairs(spark):
-    src, tgt = tables(spark)
-    best = {r.q: r.score for r in M.best_exhaustive(src, tgt, sequences=False).collect() if r.score >= 0.7}
-    for r in M.link(src, tgt, sequences=False).collect():
-        if r.match_code:
-            assert r.match_score >= int(best[r.q] * 1000 - 20) / 10 or r.match_score >= 98
+    """Fewer targets than can be candidates: the best of all that share a token, or of all within the length band, is found."""
+    src, tgt = tables(spark, m=40)
+    a, b = M.prepared(src), M.prepared(tgt)
+    pairs = a.select("q").crossJoin(b.select("idx", F.lit(1).alias("rank")))
+    scores = {(r.q, r.idx): r.score for r in M.scored(pairs, a, b, None, 0.7, sequences=False).collect()}
+    sources, targets = {r.q: r.clean for r in a.collect()}, {r.idx: r.clean for r in b.collect()}
+    got = {r.q: r for r in M.link(src, tgt, sequences=False).collect()}
+    assert len(got) == len(sources)
+    for q, name in sources.items():
+        near = [i for i, t in targets.items() if set(name.split()) & set(t.split())]
+        near = near or [i for i, t in targets.items() if abs(len(name) - len(t)) <= M.BAND * max(len(name), len(t))]
+        best = max((scores.get((q, i), 0) for i in near), default=0)
+        if name in targets.values():
+            assert got[q].match_score == 100
+        elif best >= 0.7:
+            assert got[q].match_code and (abs(got[q].match_score - best * 100) <= 0.051 or got[q].match_score >= 98)
+        else:
+            assert (got[q].match_code, got[q].match_score) == ("", 0.0)
 
 
 @pytest.mark.parametrize("parts", [1, 4, 16])
@@ -168,7 +183,7 @@ def test_samples_and_export(spark, tmp_path):
 
 
 def test_columns_are_told_apart():
-    assert I.ordinal_column(["STT", "TT 43", "Tên"], [["1", "5", "a"]], 2, -1) == 1 if I.is_ordinal_header("TT 43") else True
+    assert not I.is_ordinal_header("TT 43") and I.ordinal_column(["STT", "TT 43", "Tên"], [["1", "5", "a"]], 2, -1) == 0
     assert I.ordinal_column(["STT", "STT cột 2", "Tên"], [["1", "", "a"]], 2, -1) == 1
     assert I.ordinal_column(["STT", "STT cột b", "Tên"], [["1", "2", "a"]], 2, -1) == 0
     assert I.specialty_column(["Tên", "Chuyên khoa"]) == 1 and I.specialty_column(["Nhóm tên"]) == -1 and not I.is_ordinal_header("Mã TT 43")
@@ -184,3 +199,89 @@ def test_dismiss_pick_and_import(spark, tmp_path):
     assert R.load_json(spark, str(tmp_path / "s.json"), "struct<row_id: long>").first().row_id == 1
     with pytest.raises(ValueError):
         R.load_json(spark, str(tmp_path / "bad.json"), "struct<row_id: long>")
+
+
+def test_kinds_of_sheets(spark):
+    pl1 = [["Title"], [], [""], ["Stt (cột 1)", "Mã kỹ thuật (cột 2)", "Phân loại (cột 3)", "Tên kỹ thuật (cột 4)"], ["I", "", "", "A. Nội khoa"], ["1", "23.PL1.1", "Loại 1", "Siêu âm tim"], ["2", "23.PL1.2", "Loại 2", "Điện tim"], ["3", "", "", ""]]
+    sheet = spark.createDataFrame(list(enumerate(pl1)), "row_no long, cells array<string>")
+    spec = I.inspect(sheet, I.FIRST)
+    assert (spec.header_row, spec.name_col, spec.code_col, spec.ordinal_col, spec.specialty_col) == (3, 3, 1, 0, -1)
+    got = I.catalog(sheet, spec, DEFAULT, target=True).orderBy("idx").collect()
+    assert [(r.id, r.code, r.name, r.chapter) for r in got] == [(1, "23.PL1.1", "Siêu âm tim", "A. Nội khoa"), (2, "23.PL1.2", "Điện tim", "A. Nội khoa")]
+    with pytest.raises(ValueError):
+        I.catalog(sheet.filter("row_no < 5"), spec, DEFAULT, target=True)
+    assert I.header_by_keyword(pl1, ["no such"], 1) == 3 and I.header_by_keyword([["a"]], ["b"], 3) == 0
+    assert I.header_by_clean_text(pl1, ["tên kỹ thuật"]) == 3 and I.header_by_clean_text(pl1, ["zz"]) == 1
+    assert I.header_by_clean_text([["x"], ["Mã (kỹ-thuật)"]], ["kỹ thuật"], 0) == 1
+
+
+def test_close_matches_are_difflibs(spark):
+    rnd = random.Random(3)
+    words = ["gan", "tim", "phoi", "ruot", "cat", "noi", "soi"]
+    names = lambda n: [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
+    src, tgt = names(60), names(60)
+    got = {r.q: (r.match_name, r.match_score) for r in M.close_match(spark.createDataFrame(list(enumerate(src)), "q long, name string"), spark.createDataFrame([(i, f"C{i}", n) for i, n in enumerate(tgt)], "idx long, code string, name string"), 0.6).collect()}
+    for i, name in enumerate(src):
+        if name in tgt:
+            want = (name, 100.0)
+        else:
+            found = difflib.get_close_matches(name, list(dict.fromkeys(tgt)), n=1, cutoff=0.6)
+            ratio = difflib.SequenceMatcher(None, name, found[0]).ratio() if found else 0
+            want = (found[0], round(ratio * 100, 1)) if ratio >= 0.6 else ("", 0.0)
+        assert got[i] == want
+
+
+def test_sessions_go_out_and_in(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", True), (2, "b", None)], "row_id long, name string, is_locked boolean")
+    R.export_json(rows, str(tmp_path / "s"), {"threshold": 0.8})
+    back = R.load_json(spark, str(tmp_path / "s"), "struct<row_id: bigint, name: string, is_locked: boolean>")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    with pytest.raises(ValueError):
+        R.export_json(rows.limit(0), str(tmp_path / "none"))
+    assert R.restored({"threshold": 0.7, "filter": True}, {"threshold": 0, "filter": False, "x": None}) == {"threshold": 0.7, "filter": False}
+    one, two = R.snapshot(rows, str(tmp_path / "store")), R.snapshot(rows.limit(1), str(tmp_path / "store"))
+    assert one != two and R.load_session(spark, str(tmp_path / "store"), one).count() == 2 and R.load_session(spark, str(tmp_path / "store"), two).count() == 1
+    items = spark.createDataFrame([(i,) for i in range(9)], "row_id long")
+    assert [r.row_id for r in R.page_after(items, 3, 2).collect()] == [4, 5] and [r.row_id for r in R.page_after(items, None, 2).collect()] == [0, 1]
+
+
+def test_auditors_are_asked_in_order(spark):
+    rows = spark.createDataFrame([(i, "x") for i in range(5)], "row_id long, name string")
+
+    def fails(pdf):
+        raise OSError("busy")
+
+    got = A.external_audit(rows, [fails, lambda pdf: pdf.assign(audit="second")[["row_id", "audit"]]], "row_id long, audit string", chunk=2, wait=0.01)
+    assert {r.audit for r in got.collect()} == {"second"} and got.count() == 5
+    merged = A.merge_verdicts(rows.withColumn("audit", F.lit("rules")), got.filter("row_id < 2"))
+    assert {(r.row_id < 2, r.audit, r.audited_by) for r in merged.collect()} == {(True, "second", "service"), (False, "rules", "rules")}
+    with pytest.raises(ValueError):
+        A.require_items(rows.limit(0))
+
+
+def test_semantic_rules_come_first(spark):
+    rows = spark.createDataFrame([(1, "Đặt ống thông bàng quang", "Định lượng glucose", "", 90.0, 0.0), (2, "Khâu phục hồi rách âm hộ", "Khâu phục hồi bờ mi", "Khâu rách âm hộ", 90.0, 95.0)], "row_id long, name string, name_1 string, name_2 string, score_1 double, score_2 double")
+    got = {r.row_id: r.audit for r in V.audit_rows(rows, DEFAULT).collect()}
+    assert got[1].details[0].rule == "modality" and got[1].severity == "HIGH" and got[1].flag == "PL1"
+    assert got[2].details[0].rule == "anatomy" and got[2].flag == "PL1"
+    report = {r.row_id: r.report for r in V.audit_report(V.audit_rows(rows.withColumns({c: F.lit("c") for c in ("code", "code_1", "code_2")}), DEFAULT)).collect()}
+    assert "Verdict: serious conflict" in report[1] and "1. MISMATCH_INTERVENTION (HIGH)" in report[1]
+
+
+def test_extra_columns_of_a_layout():
+    cols = L.add_extra(L.add_extra(L.EXPORT, "One"), "Two")
+    assert [c["title"] for c in L.rename_extra(cols, "extra_1", "New")][-2:] == ["New", "Two"] and L.rename_extra(cols, "name", "x") == cols
+    left = L.remove_extra(cols, "extra_1")
+    assert [c["order"] for c in left] == [*range(1, 12)] and left[-1]["id"] == "extra_2" and len(L.remove_extra(cols, "name")) == len(cols)
+
+
+def test_blocks_of_sparse_numbers(spark):
+    rnd = random.Random(6)
+    numbers = sorted(rnd.sample(range(10**9), 500))
+    rows = spark.createDataFrame([(n, n % 3 == 0) for n in numbers], "row_no long, flag boolean").repartition(6)
+    got = {r.row_no: r.ordinal for r in C.running_count(rows, F.col("flag"), block=40).collect()}
+    count = 0
+    for n in numbers:
+        count += n % 3 == 0
+        assert got[n] == count
+    assert C._blocked(rows, "row_no", 40).groupBy("__block").count().agg(F.max("count")).first()[0] < 80
