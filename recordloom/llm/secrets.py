@@ -15,10 +15,9 @@ input are ignored by find_secrets and kept by redact.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
-from re import _constants as op
-from re import _parser
 from typing import NamedTuple
 
 import numpy as np
@@ -67,6 +66,56 @@ class Automaton(NamedTuple):
         return (self.moves.reshape(-1, self.width) == 0).all(0)[self.classes]
 
 
+def _byte(p: str, i: int) -> tuple[int, int]:
+    """The byte that stands at i, plain or after a backslash, and the place after it."""
+    if p.startswith("\\x", i):
+        return int(p[i + 2 : i + 4], 16), i + 4
+    i += p[i] == "\\"
+    return ord(p[i]), i + 1
+
+
+def _set(p: str, i: int) -> tuple[frozenset[int], int]:
+    """The class of bytes whose bracket opens at i."""
+    found, i = set(), i + 1
+    while p[i] != "]":
+        first, i = _byte(p, i)
+        last = first
+        if p[i] == "-" and p[i + 1] != "]":
+            last, i = _byte(p, i + 1)
+        found |= set(range(first, last + 1))
+    return frozenset(found), i + 1
+
+
+def parse(p: str, i: int = 0) -> tuple[list[list[tuple]], int]:
+    """A rule's expression from i on, to its end or a closing bracket: alternatives of items (what, least, most).
+
+    Known are bytes, classes, groups, alternatives and the repeats ? * + {n} {n,m}.
+    """
+    found: list[list[tuple]] = [[]]
+    while i < len(p) and p[i] != ")":
+        if p[i] == "|":
+            found.append([])
+            i += 1
+            continue
+        if p[i] == "(":
+            what, i = parse(p, i + 3 if p.startswith("(?:", i) else i + 1)
+            i += 1
+        elif p[i] == "[":
+            what, i = _set(p, i)
+        else:
+            one, i = _byte(p, i)
+            what = frozenset({one})
+        least, most = 1, 1
+        if i < len(p) and p[i] == "{":
+            end = p.index("}", i)
+            numbers = [int(n) for n in p[i + 1 : end].split(",")]
+            (least, most), i = (numbers[0], numbers[-1]), end + 1
+        elif i < len(p) and p[i] in "?*+":
+            (least, most), i = {"?": (0, 1), "*": (0, None), "+": (1, None)}[p[i]], i + 1
+        found[-1].append((what, least, most))
+    return found, i
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.steps: list[list[tuple[frozenset[int], int]]] = []
@@ -77,39 +126,36 @@ class _Nfa:
         self.free.append([])
         return len(self.steps) - 1
 
-    def add(self, parsed: object, at: int, any_case: bool) -> int:
-        """Append the parsed expression to the state at; its end state."""
-        for code, arg in parsed:
-            if code in (op.LITERAL, op.IN):
-                wanted = {arg} if code is op.LITERAL else set().union(*({a} if c is op.LITERAL else range(a[0], a[1] + 1) for c, a in arg))
-                if any_case:
-                    wanted |= {ord(f(chr(b))) for b in wanted for f in (str.lower, str.upper) if chr(b).isalpha()}
-                self.steps[at].append((frozenset(wanted), to := self.state()))
-            elif code is op.SUBPATTERN:
-                to = self.add(arg[3], at, any_case)
-            elif code is op.BRANCH:
-                to = self.state()
-                for branch in arg[1]:
-                    self.free[at].append(first := self.state())
-                    self.free[self.add(branch, first, any_case)].append(to)
-            elif code is op.MAX_REPEAT:
-                least, most, inner = arg
-                for _ in range(least):
-                    at = self.add(inner, at, any_case)
-                to = self.state()
-                self.free[at].append(to)
-                if most is op.MAXREPEAT:
-                    self.free[to].append(loop := self.state())
-                    self.free[self.add(inner, loop, any_case)].append(to)
-                else:
-                    for _ in range(most - least):
-                        at = self.add(inner, at, any_case)
-                        self.free[at].append(to)
+    def add(self, items: list[tuple], at: int, any_case: bool) -> int:
+        """Append items (what, least, most), one after another, to the state at; their end state."""
+        for what, least, most in items:
+            for _ in range(least):
+                at = self.once(what, at, any_case)
+            if most == least:
+                continue
+            self.free[at].append(to := self.state())
+            if most is None:
+                self.free[to].append(loop := self.state())
+                self.free[self.once(what, loop, any_case)].append(to)
             else:
-                raise ValueError(f"not in rules: {code}")
+                for _ in range(most - least):
+                    at = self.once(what, at, any_case)
+                    self.free[at].append(to)
             at = to
         return at
 
+    def once(self, what: frozenset[int] | list[list[tuple]], at: int, any_case: bool) -> int:
+        """Append one byte of a set, or one of some alternatives."""
+        to = self.state()
+        if isinstance(what, frozenset):
+            letters = {b for b in what if chr(b).isalpha()} if any_case else set()
+            self.steps[at].append((what | {ord(f(chr(b))) for b in letters for f in (str.lower, str.upper)}, to))
+        else:
+            for branch in what:
+                self.free[at].append(first := self.state())
+                self.free[self.add(branch, first, any_case)].append(to)
+        return to
+
     def closure(self, states: set[int]) -> frozenset[int]:
         found, todo = set(states), list(states)
         while todo:
@@ -127,7 +173,7 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool) -> Automaton
     ends = {}
     for i, (pattern, any_case) in enumerate(patterns):
         nfa.free[start].append(first := nfa.state())
-        ends[nfa.add(_parser.parse(pattern), first, any_case)] = 1 << i
+        ends[nfa.once(parse(pattern)[0], first, any_case)] = 1 << i
     sets = sorted({wanted for step in nfa.steps for wanted, _ in step}, key=sorted)
     kinds: dict[tuple[bool, ...], int] = {}
     classes = np.array([kinds.setdefault(tuple(b in wanted for wanted in sets), len(kinds)) for b in range(256)])
@@ -164,16 +210,10 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool) -> Automaton
 def automata(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, frozenset[int]]]]:
     """The shared automaton, and each rule's lead with its body bytes."""
     look = [(f"{r.lead}{r.body}{{{r.least if not r.lead else min(r.least, LOOK)}}}", r.any_case) for r in rules]
-    bodies = [frozenset(b for wanted, _ in _body(r.body) for b in wanted) for r in rules]
+    bodies = [parse(r.body)[0][0][0][0] for r in rules]
     return compile_rules(look, True), [(compile_rules([(r.lead, r.any_case)], False), body) for r, body in zip(rules, bodies, strict=True)]
 
 
-def _body(pattern: str) -> list[tuple[frozenset[int], int]]:
-    nfa = _Nfa()
-    nfa.add(_parser.parse(pattern), nfa.state(), False)
-    return nfa.steps[0]
-
-
 def lanes(part: wh.Slice, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces of about LANE bytes that end at a cutting byte or a text's end."""
     spots = np.flatnonzero(cuts[part.data]) + 1
@@ -290,14 +330,29 @@ def replace_spans(docs: DataFrame, text: str, spans: Callable[[wh.Slice], dict[i
     return map_arrow(docs, run, docs.schema)
 
 
+#: What ends a private key; without it, the characters of which its material consists.
+_KEY_END, _KEY_BODY = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-{0,5}"), re.compile(rb"[A-Za-z0-9+/=\s-]*")
+
+
+def _whole_key(raw: bytes, end: int) -> int:
+    """Where a private key ends whose opening line ends at end."""
+    closed = _KEY_END.search(raw, end)
+    opened = raw.find(b"-----BEGIN ", end)
+    if closed and (opened < 0 or closed.start() < opened):
+        return closed.end()
+    return _KEY_BODY.match(raw, end, opened if opened >= 0 else len(raw)).end()
+
+
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret replaced by its kind in brackets; overlapping secrets are replaced together, under the first one's kind."""
+    """docs with every secret replaced by its kind in brackets, private keys with their material and closing line; overlapping secrets are replaced together, under the first one's kind."""
 
     def spans(part: wh.Slice) -> dict[int, list[tuple[int, int, bytes]]]:
         out = {}
         for t, found in scan(part, rules).items():
             joined: list[list] = []
             for a, k, b in found:
+                if rules[k].kind == "private_key" and not (joined and a < joined[-1][1]):
+                    b = _whole_key(part.data[part.offsets[t] : part.offsets[t + 1]].tobytes(), b)
                 if joined and a < joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
