@@ -25,8 +25,10 @@ from recordloom.llm.storage import documents, map_arrow
 
 #: Fixed values of this tokenizer's file format: the visible characters that stand for themselves among the 256 byte symbols.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-MEMO = 300_000
+MEMO, MEMO_LENGTH = 300_000, 64
 OVER = 2048
+#: Characters from which on a text's pre-tokens aren't listed all at once.
+LONG = 1 << 20
 #: Characters that the library treats by newer Unicode tables than Python's (found by trying all of them): texts with one are counted by the library.
 NEWER = regex.compile("[\ua7cb\ua7dc\U00032808\U0003285c\U00032988\U0003d808\U0003d85c\U0003d988\U0003e808\U0003e85c\U0003e988\U0003f808\U0003f85c\U0003f988]")
 
@@ -88,21 +90,23 @@ class Counter:
             if NEWER.search(text):
                 return len(self._library.encode(text, add_special_tokens=False).ids)
             text = unicodedata.normalize("NFC", text)
-        n = sum(map(self._memo.__getitem__, self._pieces.findall(lower(text))))
-        if len(self._memo) > MEMO + len(self.whole):
-            self._memo = _Memo(self)
-        return n
+        return sum(self._memo[m[0]] for m in self._pieces.finditer(lower(text))) if len(text) > LONG else sum(map(self._memo.__getitem__, self._pieces.findall(lower(text))))
 
 
 class _Memo(dict):
-    """Pre-token -> tokens; whole tokens are there from the start."""
+    """Pre-token -> tokens; whole tokens are there from the start, and at most MEMO short others."""
 
     def __init__(self, counter: Counter) -> None:
         super().__init__(dict.fromkeys(counter.whole, 1))
-        self._merged = counter.merged
+        self._counter = counter
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = self._merged(piece)
+        n = self._counter.merged(piece)
+        if len(piece) <= MEMO_LENGTH:
+            if len(self) >= MEMO + len(self._counter.whole):
+                self.clear()
+                self.update(dict.fromkeys(self._counter.whole, 1))
+            self[piece] = n
         return n
 
 
