@@ -541,6 +541,24 @@ def test_decontamination(spark, empty, monkeypatch, broadcast):
     assert {r.n_hit for r in decontaminate.contamination(table, bench.limit(0)).collect()} == {0}
 
 
+def test_private_keys_are_redacted_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/AAA=\nabc123\n"
+    end = "-----END RSA PRIVATE KEY-----"
+    rows = [(1, f"a {key}{end} b"), (2, f"a {key}. b"), (3, f"é {key}{key}{end}!"), (4, f"{key}{end}{key}{end}")]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "a [private_key] b", 2: "a [private_key]. b", 3: "é [private_key][private_key]!", 4: "[private_key][private_key]"}
+
+
+def test_token_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "MEMO", 50)
+    monkeypatch.setattr(token_counts, "LONG", 1000)
+    own = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(2)
+    text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([5, 9, 90]))) for _ in range(3000))
+    assert own.count(text) == len(own._library.encode(text, add_special_tokens=False).ids)
+    assert len(own._memo) <= 50 + len(own.whole) and max(map(len, set(own._memo) - own.whole)) <= token_counts.MEMO_LENGTH
+
+
 def test_decontamination_deals_no_words_by_token(spark, docs, capsys):
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), decontaminate.words(F.col("text")).alias("w"))
     rare = decontaminate.prefixes(decontaminate.distinct_windows(decontaminate.windows(docs.withColumnRenamed("doc_id", "item_id"))), base, False)
