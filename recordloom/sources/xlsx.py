@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -64,9 +65,8 @@ def read_rows(path: str) -> Iterator[tuple[int, list[str]]]:
                 row.clear()
 
 
-def write_rows(path: str, rows: list[list[str]], sheet: str = "Sheet1") -> None:
-    """A plain workbook of text cells, for exports of a size that a spreadsheet can hold."""
-    body = "".join(f'<row r="{i}">' + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in row) + "</row>" for i, row in enumerate(rows, 1))
+def write_rows(path: str, rows: Iterable[list[str]], sheet: str = "Sheet1") -> None:
+    """A plain workbook of text cells, written row by row, for exports of a size that a spreadsheet can hold."""
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     main, rels, types = _NS[1:-1], _RELS[1:-1], "http://schemas.openxmlformats.org/package/2006"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
@@ -74,7 +74,12 @@ def write_rows(path: str, rows: list[list[str]], sheet: str = "Sheet1") -> None:
         book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{types}/relationships"><Relationship Id="rId1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rels}"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{types}/relationships"><Relationship Id="rId1" Type="{rels}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        book.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+            for i, row in enumerate(rows, 1):
+                cells = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for v in row)
+                out.write(f'<row r="{i}">{cells}</row>'.encode())
+            out.write(b"</sheetData></worksheet>")
 
 
 #: Rows that a sheet can hold.
@@ -82,11 +87,11 @@ SHEET_ROWS = 1 << 20
 
 
 def export(df: DataFrame, path: str) -> None:
-    """Write a result as a workbook; larger results than a sheet go to Parquet or CSV by Spark's own writers."""
+    """Write a small result as a workbook, one partition of it on the driver at a time; results larger than a sheet go to Parquet or CSV by Spark's own writers."""
     if df.limit(SHEET_ROWS).count() >= SHEET_ROWS:
         raise ValueError("more rows than a sheet can hold")
-    body = [["" if v is None else str(v) for v in row] for row in df.toLocalIterator()]
-    write_rows(path, [df.columns, *body])
+    body = (["" if v is None else str(v) for v in row] for row in df.toLocalIterator())
+    write_rows(path, chain([df.columns], body))
 
 
 class XlsxSource(DataSource):
