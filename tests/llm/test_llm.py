@@ -580,6 +580,47 @@ def test_extra_columns_do_not_clash(spark, docs):
     assert secrets.redact(extra).columns == extra.columns
 
 
+CLASHING = ("n_words", "cls", "comp", "w", "token", "score", "lang_pred", "spans", "kept", "__text", "text_key", "line", "size", "a", "b", "ids", "shingle", "host", "path", "rule", "label", "shape", "formatted", "turns", "start", "window", "n")
+
+
+def edge_table(spark):
+    """Nulls in any column, empty and very long texts, repeated ids; every row twice, with extra columns of clashing names."""
+    rnd = random.Random(14)
+    long = prose(rnd, 40_000, 9000) + " token = abcdefghijklmnop\nReleased under the MIT License."
+    unbroken = "ab1" * 60_000
+    rows = [(1, None, "en", "s1"), (2, "", None, "s1"), (3, long, "en", None), (3, long + " more", "en", "s1"), (None, "only words and nothing else here", None, None), (None, None, None, None), (4, unbroken, "de", "s2"), (5, "\n \t", "de", "s2"), (6, "é" * 9000, "fr", "s2")]
+    table = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string, source string").repartition(3)
+    return table.withColumns({c: F.lit(7) for c in CLASHING})
+
+
+def test_edge_rows_in_every_operator(spark):
+    table = edge_table(spark)
+    bench = spark.createDataFrame([(1, "only words and nothing else here"), (None, "ab1"), (2, None), (2, "")], "item_id long, text string").withColumns({c: F.lit(7) for c in CLASHING})
+    model = language.corpus_model(table)
+    runs = {
+        "1": token_counts.count_tokens, "3": quality.judge, "4": licenses.scan, "5": lambda t: language.identify(t, model), "6": pieces.encode, "8": jaccard.near_duplicates, "9": secrets.find_secrets,
+        "10": lambda t: decontaminate.contamination(t, bench), "redact": secrets.redact, "7": lambda t: urls.judge(t, "doc_id", "text"),
+    }
+    for name, run in runs.items():
+        got = Counter(map(repr, run(table).collect()))
+        assert sum(got.values()) == table.count() and all(n % 2 == 0 for n in got.values()), name
+        assert run(table.limit(0)).count() == 0, name
+    kept = jaccard.keep_one(table)
+    texts = Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in kept.collect() if (r.text or "").strip())
+    assert kept.columns == table.columns and texts == Counter({(r.doc_id, r.text.removesuffix(" more")) for r in table.collect() if (r.text or "").strip()})
+    clean = decontaminate.drop_contaminated(table, bench)
+    assert clean.columns == table.columns and clean.filter("text LIKE 'only words%'").count() == 0
+    chats = chat.format_chats(chat.text_parts(table.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(None).cast("long"), "role": F.col("lang")})))
+    assert sum(len(r.turns) for r in chat.read_back(chats).collect()) == table.count()
+
+
+def test_pipeline_of_no_rows(spark, sf_dir, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("n", [2, 3, 4])
 def test_pipeline_rejects_texts_in_no_learned_language(spark, n):
     pipeline = pytest.importorskip("corpus_pipeline")
