@@ -9,8 +9,8 @@ bounds.  Within them a unit must have at least D / (2 - D) of the template's big
 which are so many of its bigrams that no fewer could be left out, those with the longest words first.  Only where
 an anchor stands is a line compared; and there a window is cut so that the anchor stands at its place in the template.
 
-One pass over all texts finds those with an anchor; the units are made of these only.  Up to FEW anchors are broadcast
-and met where the words are, by their longer word; of a longer list only (unit, place, bigram) is dealt out.
+One pass over all texts keeps those with an anchor; the units are made of these only.  Up to FEW anchors are looked for
+where the words are, first their longer words alone; of a longer list only (unit, place, bigram) is dealt out.
 
 Cases.  Null and empty texts and lines of fewer than two words have no bigrams and match nothing.  Of equal
 coefficients the first licence by name wins.  Windows that begin before the text begin with it; they may end with
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from recordloom.llm.license_texts import TEMPLATES
 from recordloom.llm.storage import documents, materialize
 
-#: Anchors that are broadcast.
-FEW = 50_000
+#: Anchors that are literals and broadcast.
+FEW = 5_000
 #: Words of a text in which anchors are looked for at a time; each part also has the words before and after it that a window may need.
 PART = 4096
 LINE = 2
@@ -86,11 +86,16 @@ def _pairs() -> Column:
 
 
 def anchored(texts: DataFrame, key: list[str], wanted: DataFrame, few: bool) -> DataFrame:
-    """The keys of the texts (key, w) that have an anchor."""
+    """The texts (key, said) that have an anchor."""
+    split = texts.withColumn("w", words(F.col("said")))
     if few:
-        met = texts.select(*key, "w", F.posexplode("w").alias("at", "word")).join(F.broadcast(wanted.select("word", "other", "step").distinct()), "word")
-        return met.filter(_at("w", F.col("at") + F.col("step")) == F.col("other")).select(*key).distinct()
-    return texts.select(*key, F.explode(_pairs()).alias("b")).select(*key, "b.first", "b.second").join(wanted.select("first", "second").distinct(), ["first", "second"], "left_semi").select(*key).distinct()
+        listed = wanted.select("word", F.concat_ws(" ", "first", "second").alias("bigram")).collect()
+        literals = lambda values: F.array(*map(F.lit, sorted(values))).cast("array<string>")
+        near = split.filter(F.arrays_overlap("w", literals({r.word for r in listed})))
+        return near.filter(F.arrays_overlap(bigrams(F.col("w")), literals({r.bigram for r in listed}))).select(*key, "said")
+    each = split.select(*(F.col(k).alias(f"__{k}") for k in key), F.explode(_pairs()).alias("b")).select(*(f"__{k}" for k in key), "b.first", "b.second")
+    some = each.join(wanted.select("first", "second").distinct(), ["first", "second"], "left_semi").drop("first", "second").distinct()
+    return texts.join(some, [texts[k].eqNullSafe(some[f"__{k}"]) for k in key], "left_semi").select(*key, "said")
 
 
 def _met(units: DataFrame, key: list[str], wanted: DataFrame, few: bool) -> DataFrame:
@@ -120,8 +125,7 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counted = wanted.agg(F.count("*").alias("n"), F.min(F.size("bigrams")).alias("least"), F.max(F.size("bigrams")).alias("most"), F.max("n_words").alias("longest")).first()
     few, (low, high) = counted.n <= FEW, size_bounds(counted.least or 0, counted.most or 0, percent)
     every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("said"))
-    some = materialize(anchored(every.select("doc_id", "text_key", words(F.col("said")).alias("w")), ["doc_id", "text_key"], wanted, few), "license-anchored").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
-    texts = every.join(some, [every.doc_id.eqNullSafe(some["__doc"]), every.text_key == some["__key"]], "left_semi")
+    texts = materialize(anchored(every, ["doc_id", "text_key"], wanted, few), "license-texts")
     lines = texts.select("doc_id", "text_key", F.posexplode(F.split("said", "\n")).alias("line", "said"))
     reach = counted.longest or 1
     # a line of so many bigrams has one word more, each of a character and a separator but for the last
