@@ -418,13 +418,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     key = F.xxhash64(text)
     keyed = placed_rows(docs.select(F.col(doc_id).alias("__id"), key.alias("__key"), F.col(text).alias("text")), ["__id", "__key"], "text", N, PERCENT)
-    best = keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best"))
+    best = materialize(keyed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))).alias("best")), "jaccard-best")
     kept = F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__key") == F.col("best.key"))
     found = materialize(keyed.join(best, "comp", "left").select("__id", "__key", (F.col("comp").isNotNull() & ~kept).alias("__drop")), "jaccard-found")
     drop = materialize(found.filter("__drop").select("__id", "__key").distinct(), "jaccard-drop")
     again = materialize(found.filter("NOT __drop").groupBy("__id", "__key").agg(F.count("*").alias("n")).filter("n > 1").select("__id", "__key"), "jaccard-again")
     same = lambda rows, keys: rows[doc_id].eqNullSafe(keys["__id"]) & (F.xxhash64(rows[text]) == keys["__key"])
-    left = docs.join(drop, same(docs, drop), "left_anti")
+    # what is dropped grows with the documents: one plan at every size
+    left = docs.join(drop.hint("shuffle_hash"), same(docs, drop), "left_anti")
     if again.isEmpty():
         return left
     once = left.join(again, same(left, again), "left_anti")
