@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, decontaminate, jaccard, language, licenses, pieces, quality, secrets, token_counts, urls
+from recordloom.llm import chat, decontaminate, filter_audit, jaccard, language, licenses, pieces, quality, secrets, token_counts, urls
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
     "chat_attachments": chat.chat_attachments,
 }
 ORACLE_SQL = {
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op8_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op11_filter_interaction_audit": filter_audit.ORACLE_SQL,
     "chat_attachments": chat.ATTACHMENTS_SQL,
 }
