@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from recordloom.llm import wordhash as wh
+from recordloom.llm.lookup import look_up
 from recordloom.llm.storage import documents, map_arrow, materialize, release
 
 #: The contract's filters and what they fail for.
@@ -35,8 +36,6 @@ FILTERS = "ABCDE"
 UPPER, MARKS = np.zeros(256, bool), np.zeros(256, bool)
 UPPER[0x41:0x5B] = True
 MARKS[list(b"#$%&*|")] = True
-#: A text is hot if it has more than the HOT_TEXTS-th part of all rows, so there are at most so many of them.
-HOT_TEXTS = 10_000
 
 
 def _flags(part: wh.Slice) -> np.ndarray:
@@ -63,18 +62,12 @@ def text_flags(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     return map_arrow(source, run, "doc_id long, part string, digest binary, fails int")
 
 
-def with_copies(rows: DataFrame, bit: int) -> DataFrame:
-    """rows without the digest; the bit is added to fails where a smaller doc_id has the same text.
-
-    Texts of very many rows are looked up in a broadcast table, so no task gets all rows of one text.
-    """
+def with_copies(rows: DataFrame, bit: int) -> tuple[DataFrame, DataFrame]:
+    """rows without the digest, with the bit in fails where a smaller doc_id has the same text; and the table to release after it."""
     firsts = materialize(rows.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "audit-firsts")
-    hot = F.col("n") > rows.count() // HOT_TEXTS
-    known = materialize(rows.join(F.broadcast(firsts.filter(hot).drop("n")), "digest", "left"), "audit-hot")
-    found = known.filter("first IS NOT NULL").unionByName(known.filter("first IS NULL").drop("first").join(firsts.filter(~hot).drop("n"), "digest", "left"))
-    out = materialize(found.select("doc_id", "part", (F.col("fails") + F.when(F.col("doc_id") > F.col("first"), bit).otherwise(0)).alias("fails")), "audit-copies")
-    release(firsts, known)
-    return out
+    found = look_up(rows, firsts, ["digest"], "n", "audit-copies")
+    release(firsts)
+    return found.select("doc_id", "part", (F.col("fails") + F.when(F.col("doc_id") > F.col("first"), bit).otherwise(0)).alias("fails")), found
 
 
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -163,10 +156,11 @@ def interactions(found: DataFrame, filters: Sequence[str]) -> DataFrame:
 def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """The filters A to E over docs: per part, order and step what is kept, removed, redundant and lost."""
     flags = materialize(text_flags(docs, doc_id, text, part), "audit-flags")
-    copies = with_copies(flags, 1 << FILTERS.index("E"))
+    copies, table = with_copies(flags, 1 << FILTERS.index("E"))
     root = materialize(with_labels(copies, labels), "audit-left-0")
+    release(flags, table)
     found = edges(root, len(FILTERS))
-    release(flags, copies, root)
+    release(root)
     return interactions(found, FILTERS)
 
 
