@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordloom.llm import chat, decontaminate, filter_audit, jaccard, language, licenses, pieces, prefix_trie, quality, secrets, token_counts, urls
+from recordloom.llm import chat, decontaminate, filter_audit, html_text, jaccard, language, licenses, pieces, prefix_trie, quality, secrets, token_counts, urls
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_filter_interaction_audit": filter_audit.op11_filter_interaction_audit,
+    "op12_html_extraction": html_text.op12_html_extraction,
     "op13_conversation_prefix_trie": prefix_trie.op13_conversation_prefix_trie,
     "chat_attachments": chat.chat_attachments,
 }
@@ -28,6 +29,7 @@ ORACLE_SQL = {
     "op9_secret_scans": secrets.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op11_filter_interaction_audit": filter_audit.ORACLE_SQL,
+    "op12_html_extraction": html_text.ORACLE_SQL,
     "op13_conversation_prefix_trie": prefix_trie.ORACLE_SQL,
     "chat_attachments": chat.ATTACHMENTS_SQL,
 }
