@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from recordloom.functions import decompose as D
 from recordloom.functions import similarity as S
 from recordloom.functions.text import clean_lite, normalize, one_decimal, tokens
+from recordloom.operators.bounded import meet
+from recordloom.stored import materialize
 from recordloom.vocab import Vocabulary
 
 TOP, FALLBACK, BAND, SURE = 50, 40, 0.35, 0.98
@@ -75,7 +77,8 @@ def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int
     probes = sources.select("q", F.posexplode(weighed).alias("pos", "p")).select("q", "pos", "p.token", "p.w")
     # a repeated token weighs as often as it stands, at its first place
     merged = probes.groupBy("q", "token").agg(F.sum("w").alias("w"), F.min("pos").alias("pos"))
-    met = merged.join(index, "token").groupBy("q", "idx").agg(F.sum("w").alias("weight"), F.min("pos").alias("pos"))
+    sizes = index.select("idx").distinct().withColumn("n", F.lit(1)) if members is None else members.select("idx", F.size("members").alias("n"))
+    met = meet(merged, index, sizes, top)
     if members is not None:
         # a name counts if the names that come before it have too few targets
         named = met.join(members, "idx").withColumn("n", F.size("members"))
@@ -139,15 +142,10 @@ def pick(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("q", "idx", "score")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, where there is one, else cached."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
     """(q, name, match_code, match_name, match_score): one row a source; unmatched is empty with score 0."""
     # each is read in several places: names are taken apart once
-    return link_prepared(kept(prepared(sources, vocab)), kept(prepared(targets, vocab)), vocab, threshold, tags, sequences)
+    return link_prepared(materialize(prepared(sources, vocab), "sources"), materialize(prepared(targets, vocab), "targets"), vocab, threshold, tags, sequences)
 
 
 def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
@@ -170,7 +168,7 @@ def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = Non
 def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, threshold: float = 0.7, tags: bool = True) -> DataFrame:
     """The light profile: lite cleaning, targets distinct by clean name, weights of tokens, anatomy and category only, sequence ratios with their popularity heuristic, anatomy as the only barrier."""
     parts = lambda rows: D.decompose(rows.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
-    src, tgt = kept(parts(sources)), kept(dedupe_first(parts(targets)))
+    src, tgt = materialize(parts(sources), "sources"), materialize(dedupe_first(parts(targets)), "targets")
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
     plain = {"modality": F.lit(None).cast("string"), "core": F.lit("")}
@@ -201,7 +199,7 @@ def close_match(sources: DataFrame, targets: DataFrame, threshold: float = 0.7)
 
     A ratio bounds the lengths' ratio, so names are joined by length.
     """
-    src, tgt = kept(sources.withColumn("clean", clean_lite(F.col("name")))), kept(dedupe_first(targets.withColumn("clean", clean_lite(F.col("name")))))
+    src, tgt = materialize(sources.withColumn("clean", clean_lite(F.col("name"))), "sources"), materialize(dedupe_first(targets.withColumn("clean", clean_lite(F.col("name")))), "targets")
     exact = exact_link(src, tgt).withColumn("score", F.lit(1.0))
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
     asked = distinct_names(left, "q").select("q", F.col("clean").alias("wanted"), F.explode(S.lengths_within(F.length("clean"), 1 - threshold / (2 - threshold))).alias("n"))
