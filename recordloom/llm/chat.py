@@ -4,7 +4,8 @@ A turn is <|im_start|>role NEWLINE text <|im_end|> NEWLINE.  A turn's parts (tex
 are flattened in order: text is escaped, any other part becomes one placeholder, and its reference is
 recorded with the tokens that it expands to.  Escaping puts one backslash more into every `<`, backslashes,
 `|` run of a text or role, so no control string or placeholder can come from a text, and is undone by taking
-one away.  A role's line breaks are escaped as well.
+one away.  Texts that follow each other are escaped as the one text that they make, so no run can be put together
+from parts either.  A role's line breaks are escaped as well.
 
 A span says what the loss is taken on: the turn, and the start and length within it, in code points.  So spans
 are made and read in one pass, however many turns there are.
@@ -57,9 +58,13 @@ def is_text(p: Column) -> Column:
 
 def flatten(parts: Column) -> tuple[Column, Column]:
     """The turn's escaped text with placeholders, and its attachments (type, ref, tokens) in order."""
-    shown = F.transform(parts, lambda p: F.when(is_text(p), escape(p["text"])).otherwise(F.concat(F.lit("<|"), F.regexp_replace(p["type"], "[^A-Za-z0-9_]", "_"), F.lit("_pad|>"))))
+    # placeholders stay marked by NUL until the joined text is escaped; a text's own NUL is marked as such
+    marked = F.transform(parts, lambda p: F.when(is_text(p), F.replace(F.coalesce(p["text"], F.lit("")), F.lit("\x00"), F.lit("\x00\x01"))).otherwise(F.concat(F.lit("\x00\x02"), F.regexp_replace(p["type"], "[^A-Za-z0-9_]", "_"), F.lit("\x03"))))
+    joined = F.replace(F.regexp_replace(escape(F.array_join(marked, "")), "\x00\x02([A-Za-z0-9_]*)\x03", "<|$1_pad|>"), F.lit("\x00\x01"), F.lit("\x00"))
+    only = F.get(parts, F.lit(0))
+    shown = F.when((F.size(parts) == 1) & is_text(only), escape(only["text"])).otherwise(joined)
     kept = F.transform(F.filter(parts, lambda p: ~is_text(p)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), part_tokens(p).alias("tokens")))
-    return F.array_join(shown, ""), kept
+    return shown, kept
 
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:

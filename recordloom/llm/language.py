@@ -5,15 +5,16 @@ hashed to BUCKETS.  Document frequencies are counted over all labelled training
 fitted by follow-the-regularised-leader with elastic-net penalties, a fifth of the sample is kept apart and sets
 the temperature.  The sample is bounded by SAMPLE texts a language and SAMPLE_OF_ALL in all: of each language's
 distinct texts those with the lowest hashes, so it doesn't depend on ids, their type or their repetition.  The
-model keeps only the buckets that have a weight; more than LANGUAGES languages are refused, which bounds what is
-broadcast.
+model keeps only the buckets that have a weight, and at most LANGUAGES languages, which bounds what is broadcast:
+of more labels the most frequent ones are learned (of equally frequent ones the first by name), and the model says
+how many it left out.
 
 Cases.  Null text, or text without a letter: `und` with score 0.  Empty and very long texts: as any other,
 whole.  Null labels aren't learned from; neither are rows that the caller holds out.  Without any labelled
 row every text is `und`.  Of equal scores the first language by name wins.  Ids may be null, repeated or of any
 type: rows are learned from by their text, so repeated rows count once in the sample and each in the document
 frequencies.  Repeated rows are each returned; an empty table gives an empty result.  identify() keeps all
-columns of its input, and replaces any named lang_pred or score.
+columns of its input, and replaces any named as its results.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ class Model(NamedTuple):
     row: np.ndarray  #: bucket -> row of weights; 0 for buckets without a weight
     weights: np.ndarray  #: row x language; the first row is 0
     temperature: float
+    left_out: int = 0  #: labels that weren't learned, beyond the most frequent ones
 
     def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         return x @ self.weights[self.row[at]]
@@ -156,13 +158,15 @@ def sampled(rows: DataFrame, sizes: dict[str, int], sample: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).filter(F.col("n") <= sample).drop("n")
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows; null labels and texts are left out."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """A model of the rows with one of the most frequent labels; null labels and texts are left out."""
     rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts")).limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = sorted(r.lang for r in found)
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("text", 0.02).alias("texts"))
+    found = counted.orderBy(F.desc("n"), "lang").limit(languages + 1).collect()
+    langs, left_out = sorted(r.lang for r in found[:languages]), 0
+    if len(found) > languages:
+        found, left_out = found[:languages], counted.count() - languages
+        rows = rows.filter(F.col("lang").isin(langs))
     if not langs:
         return Model([], np.zeros(BUCKETS), np.zeros(BUCKETS, np.int32), np.zeros((1, 0)), 1.0)
     df = document_frequencies(rows, "text")
@@ -177,13 +181,21 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
             n = pa.array([None if t is None else t[1].astype(np.int32) for t in terms], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], at, n], names=["lang", "draw", "apart", "at", "n"])
 
-    got = map_arrow(picked, run, "lang string, draw long, apart boolean, at array<int>, n array<int>").toArrow().to_pylist()
-    got = sorted((r for r in got if r["at"]), key=lambda r: (r["lang"], r["draw"]))
-    made = [(a := np.array(r["at"]), weigh((a, np.array(r["n"])), idf), langs.index(r["lang"]), r["apart"]) for r in got]
+    got = map_arrow(picked, run, "lang string, draw long, apart boolean, at array<int>, n array<int>").toArrow().sort_by([("lang", "ascending"), ("draw", "ascending")])
+    # counts stay in Arrow's buffers: 4 bytes a bucket of a text
+    class_of = {v: i for i, v in enumerate(langs)}
+    made = []
+    for batch in got.to_batches():
+        name, apart = batch.column("lang").to_pylist(), batch.column("apart").to_pylist()
+        for i in range(batch.num_rows):
+            a, n = (batch.column(c)[i].values for c in ("at", "n"))
+            if a is not None and len(a):
+                a = a.to_numpy()
+                made.append((a, weigh((a, n.to_numpy()), idf).astype(np.float32), class_of[name[i]], apart[i]))
     model = Model(langs, idf, *sparse(ftrl([m[:3] for m in made if not m[3]], len(langs))), 1.0)
     apart = [m for m in made if m[3]]
     logits = np.array([model.logits(at, x) for at, x, _, _ in apart]).reshape(len(apart), len(langs))
-    return model._replace(temperature=calibrate(logits, np.array([y for *_, y, _ in apart], np.int64)))
+    return model._replace(temperature=calibrate(logits, np.array([y for *_, y, _ in apart], np.int64)), left_out=left_out)
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
@@ -195,17 +207,17 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
     return model.langs[best], float(p[best])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score.  The model's size is bounded by BUCKETS and LANGUAGES, so it is broadcast."""
-    kept = docs.drop(*(c for c in ("lang_pred", "score") if c != text))
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score under the given names.  The model's size is bounded by BUCKETS and LANGUAGES, so it is broadcast."""
+    kept = docs.drop(*(c for c in names if c != text))
     at = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{names[0]}` string, `{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [predict(shared.value, t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, *names])
 
     return map_arrow(kept, run, schema)
 

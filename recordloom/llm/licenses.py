@@ -1,8 +1,7 @@
 """Operator 4, license scans: lines and windows against licence templates by Dice coefficient over word bigrams, in SQL functions only.
 
 Texts are normalised (lower case; words are runs of a-z, 0-9 and of characters beyond ASCII).  Two kinds of unit
-are held against a template, each by its distinct word bigrams: every line of at most LINE times the words of the
-longest template, and windows of as many words as the
+are held against a template, each by its distinct word bigrams: every line, and windows of as many words as the
 template over the whole text, whatever its line breaks.  A template can only reach the least coefficient D with
 a unit of between D / (2 - D) and (2 - D) / D times as many bigrams, so it is dropped for lines beyond these
 bounds.  Within them a unit must have at least D / (2 - D) of the template's bigrams, and so one of its anchors,
@@ -32,6 +31,7 @@ from recordloom.llm.storage import documents, materialize
 FEW = 5_000
 #: Words of a text in which anchors are looked for at a time; each part also has the words before and after it that a window may need.
 PART = 4096
+#: Lines of so many times the longest template's words, and more, are compared as sets of bigrams.
 LINE = 2
 #: The least Dice coefficient, as a percentage.
 PERCENT = 80
@@ -112,6 +112,18 @@ def _met(units: DataFrame, key: list[str], wanted: DataFrame, few: bool) -> Data
     return units.join(slim, same).select(*key, "w", "at", "template", "place").join(whole, "template").select(*key, "w", "at", *kept)
 
 
+def _long_lines(lines: DataFrame, reach: int, low: int, high: int, wanted: DataFrame, few: bool) -> DataFrame:
+    """(doc_id, text_key, line, license, bigrams, b) of lines of more than LINE * reach words that an anchor of a template is in.
+
+    Such a line is like a template only if it repeats itself so much that its distinct bigrams are few; those are met as a set.
+    """
+    long = lines.filter(F.length("said") >= 2 * LINE * reach).select("doc_id", "text_key", "line", words(F.col("said")).alias("w")).filter(F.size("w") > LINE * reach)
+    sets = long.select("doc_id", "text_key", "line", bigrams(F.col("w")).alias("b")).filter(F.size("b").between(low, high))
+    templates = wanted.select("license", "template", "bigrams", F.concat_ws(" ", "first", "second").alias("g"))
+    met = sets.select("doc_id", "text_key", "line", "b", F.explode("b").alias("g")).join(F.broadcast(templates) if few else templates, "g")
+    return met.dropDuplicates(["doc_id", "text_key", "line", "template"]).select("doc_id", "text_key", "line", "license", "bigrams", "b")
+
+
 def _matching(compared: DataFrame, percent: int) -> DataFrame:
     """compared (b, bigrams, ..) with dice, where it reaches the least coefficient."""
     sized = compared.filter((percent * F.size("b") <= (200 - percent) * F.size("bigrams")) & (percent * F.size("bigrams") <= (200 - percent) * F.size("b")))
@@ -130,7 +142,8 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reach = counted.longest or 1
     # a line of so many bigrams has one word more, each of a character and a separator but for the last
     cut = lines.filter(F.length("said") > 2 * max(low, 1)).select("doc_id", "text_key", "line", words(F.col("said")).alias("w")).filter(F.size("w").between(max(low, 1) + 1, LINE * reach))
-    by_line = _met(cut, ["doc_id", "text_key", "line"], wanted, few).filter((F.size("w") - 1) * (200 - percent) >= percent * F.size("bigrams")).withColumn("b", bigrams(F.col("w")))
+    by_line = _met(cut, ["doc_id", "text_key", "line"], wanted, few).filter((F.size("w") - 1) * (200 - percent) >= percent * F.size("bigrams")).withColumn("b", bigrams(F.col("w"))).select("doc_id", "text_key", "line", "license", "bigrams", "b")
+    by_line = by_line.unionByName(_long_lines(lines, reach, low, high, wanted, few))
     best = lambda of: F.min(F.struct((-F.col("dice")).alias("minus"), of)).alias("best")
     of_lines = _matching(by_line, percent).groupBy("doc_id", "text_key", "line").agg(best("license")).select("doc_id", "text_key", F.lit("line").alias("kind"), F.col("line").alias("at"), "best.license", (-F.col("best.minus")).alias("dice"))
     whole = texts.filter(F.length("said") > 2 * max(low, 1)).select("doc_id", "text_key", words(F.col("said")).alias("w"))
@@ -174,7 +187,7 @@ _SCORED = f"""200 * len(list_intersect(b, t)) >= {PERCENT} * (len(b) + len(t)) A
 #: Lines are held against every template; windows are cut at anchors.
 ORACLE_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-lines AS (SELECT r, i, {_BIGRAMS.format("w")} AS b FROM (SELECT r, i, {_WORDS.format("line")} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs)) WHERE len(w) <= {LINE} * (SELECT max(len({_WORDS.format("text")})) FROM (VALUES {_LISTED}) v(license, text))),
+lines AS (SELECT r, i, {_BIGRAMS.format("w")} AS b FROM (SELECT r, i, {_WORDS.format("line")} AS w FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM docs))),
 templates AS (SELECT row_number() OVER () AS template, license, tw, {_BIGRAMS.format("tw")} AS t FROM (SELECT license, {_WORDS.format("text")} AS tw FROM (VALUES {_LISTED}) v(license, text))),
 pairs AS (SELECT r, i, license, b, t FROM lines JOIN templates ON {PERCENT} * len(b) <= {200 - PERCENT} * len(t) AND {PERCENT} * len(t) <= {200 - PERCENT} * len(b)),
 on_lines AS (SELECT r, 'line' AS kind, license, len(list_intersect(b, t)) * 2 / (len(b) + len(t)) AS dice FROM pairs WHERE {_SCORED} QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY len(list_intersect(b, t)) * 2 / (len(b) + len(t)) DESC, license) = 1),

@@ -31,6 +31,8 @@ from recordloom.llm.storage import documents, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: What the library shows for an unknown piece.
+UNKNOWN_MARK = " ⁇ ".encode()
 MEMO, MEMO_LENGTH, PAIRS = 150_000, 64, 200_000
 
 
@@ -195,8 +197,11 @@ class Pieces:
         """The ids as little-endian 32-bit numbers."""
         return b"".join(map(self._memo.__getitem__, self.units.findall(MARK + text.replace(" ", MARK)))) if text else b""
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
+    def decode(self, ids: list[int | None]) -> str | None:
+        """The text of ids; None if one of them is no id of the vocabulary."""
+        if any(i is None or not 0 <= i < len(self.raw) for i in ids):
+            return None
+        raw = b"".join(UNKNOWN_MARK if i == self.unknown else self.raw[i] for i in ids)
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -235,7 +240,7 @@ def encode(docs: DataFrame, keep: list[str] | None = None, text: str = "text", m
 
 
 def decode(encoded: DataFrame, keep: list[str] | None = None, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """The kept columns and the text of the ids (null ids: null)."""
+    """The kept columns and the text of the ids, in which an unknown piece is the library's mark; null ids, and ids outside of the vocabulary: null."""
     keep = keep or ["doc_id"]
     source = encoded.select(*keep, F.col(ids).alias("__ids"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__ids"), "text string"])

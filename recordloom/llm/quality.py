@@ -5,7 +5,7 @@ sketch of a metric is a histogram with exponentially growing buckets of BITS sig
 error 1/128): a table of (group, metric, bucket, count), so merging is a sum and Spark combines it map-side.
 Sketches are kept per (lang, source), merged per lang and merged over all.  There are no fixed cutoffs: a
 metric's threshold lies some spreads beyond the quantiles of its own group, where a spread is the distance of
-its two quantiles.  A group's quantiles are weighed by its rows against WEIGHT rows with those of its language,
+its two quantiles, or a part of how far its tail reaches.  A group's quantiles are weighed by its rows against WEIGHT rows with those of its language,
 which are weighed in the same way against those of all rows, so small groups lean on larger ones.
 
 Cases.  Null and empty text: no words, base_failed.  Null lang or source: a group of its own.  Rows that
@@ -42,15 +42,17 @@ class Metric(NamedTuple):
     high: int
     times: int  #: spreads beyond them that still pass
     least: int  #: the least spread, in thousandths: differences below it are noise
+    far: int  #: percentage of the quantile that tells how far the tail reaches
+    part: int  #: and the part of it that a spread is at least, where a metric is 0 in most rows
     both: bool  #: whether values can also be too small
 
 
 #: Per metric, a ratio in whole thousandths.  Quartiles where outliers may be many, the far tail where most rows are 0.
 METRICS = {
-    "symbols_per_word": Metric(25, 75, 4, 25, False),
-    "chars_per_word": Metric(25, 75, 5, 64, True),
-    "dup_lines": Metric(50, 99, 1, 50, False),
-    "repeat_words": Metric(50, 99, 1, 50, False),
+    "symbols_per_word": Metric(25, 75, 1, 10, 99, 16, False),
+    "chars_per_word": Metric(25, 75, 5, 64, 75, 1 << 20, True),
+    "dup_lines": Metric(50, 99, 1, 50, 99, 1 << 20, False),
+    "repeat_words": Metric(50, 99, 1, 50, 99, 1 << 20, False),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -142,11 +144,11 @@ def _of_metric(field: str) -> Column:
 
 
 def quantiles(sketches: DataFrame, group: list[str], tag: str) -> DataFrame:
-    """(group, metric, and under the tag: n, low, high): the rows of each sketch and its metric's two quantiles."""
+    """(group, metric, and under the tag: n, low, high, far): the rows of each sketch and its metric's quantiles."""
     by = W.partitionBy(*group, "metric")
     ranked = sketches.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
     at = lambda field: F.min(F.when(F.col("upto") * 100 >= F.col("total") * _of_metric(field), F.col("bucket")))
-    return ranked.groupBy(*group, "metric").agg(F.max("total").alias(f"{tag}_n"), at("low").alias(f"{tag}_low"), at("high").alias(f"{tag}_high"))
+    return ranked.groupBy(*group, "metric").agg(F.max("total").alias(f"{tag}_n"), *(at(q).alias(f"{tag}_{q}") for q in ("low", "high", "far")))
 
 
 def _blend(tag: str, parent: str, field: str, n: str) -> str:
@@ -157,9 +159,9 @@ def thresholds(rows: DataFrame) -> DataFrame:
     """(lang_key, source_key, low_ and high_ of each metric) for every group with a row that passed the base rules."""
     fine = materialize(sketch(rows.filter(~F.col("base_failed")), ["lang_key", "source_key"]), "quality-sketch")
     found = quantiles(fine, ["lang_key", "source_key"], "g").join(quantiles(merge(fine, ["lang_key"]), ["lang_key"], "l"), ["lang_key", "metric"]).join(quantiles(merge(fine, []), [], "a"), "metric")
-    for side in ("low", "high"):
+    for side in ("low", "high", "far"):
         found = found.withColumn(side, F.expr(_blend("g", _blend("l", f"a_{side}", side, "n"), side, "n")))
-    reach = _of_metric("times") * F.greatest(F.col("high") - F.col("low"), _of_metric("least"))
+    reach = _of_metric("times") * F.greatest(F.col("high") - F.col("low"), _of_metric("least"), F.floor(F.col("far") / _of_metric("part")))
     of = lambda m, v: F.max(F.when(F.col("metric") == m, v))
     wide = [of(m, v).alias(f"{side}_{m}") for m in METRICS for side, v in (("low", F.col("low") - reach), ("high", F.col("high") + reach))]
     return found.groupBy("lang_key", "source_key").agg(*wide)
@@ -192,7 +194,7 @@ def _per_metric(field: str) -> str:
 
 def _quantiles_sql(tag: str, keys: str) -> str:
     by = f"{keys}, metric" if keys else "metric"
-    return f"""{tag} AS (SELECT {by}, max(total) AS {tag}_n, min(bucket) FILTER (upto * 100 >= total * {_per_metric("low")}) AS {tag}_low, min(bucket) FILTER (upto * 100 >= total * {_per_metric("high")}) AS {tag}_high
+    return f"""{tag} AS (SELECT {by}, max(total) AS {tag}_n, {", ".join(f"min(bucket) FILTER (upto * 100 >= total * {_per_metric(q)}) AS {tag}_{q}" for q in ("low", "high", "far"))}
       FROM (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM fine GROUP BY {by}, bucket)) GROUP BY {by})"""
 
 
@@ -218,8 +220,8 @@ fine AS (SELECT lang_key, source_key, metric, (v >> greatest(length(bin(v)) - {B
 {_quantiles_sql("g", "lang_key, source_key")},
 {_quantiles_sql("l", "lang_key")},
 {_quantiles_sql("a", "")},
-b AS (SELECT g.lang_key, g.source_key, metric, {_blend_sql("low")}, {_blend_sql("high")} FROM g JOIN l USING (lang_key, metric) JOIN a USING (metric)),
-t AS (SELECT lang_key, source_key, metric, low - {_per_metric("times")} * greatest(high - low, {_per_metric("least")}) AS low, high + {_per_metric("times")} * greatest(high - low, {_per_metric("least")}) AS high FROM b),
+b AS (SELECT g.lang_key, g.source_key, metric, {_blend_sql("low")}, {_blend_sql("high")}, {_blend_sql("far")} FROM g JOIN l USING (lang_key, metric) JOIN a USING (metric)),
+t AS (SELECT lang_key, source_key, metric, low - {_per_metric("times")} * greatest(high - low, {_per_metric("least")}, far // {_per_metric("part")}) AS low, high + {_per_metric("times")} * greatest(high - low, {_per_metric("least")}, far // {_per_metric("part")}) AS high FROM b),
 w AS (SELECT lang_key, source_key, {", ".join(f"max({side}) FILTER (metric = '{m}') AS {side}_{m}" for m in METRICS for side in ("low", "high"))} FROM t GROUP BY lang_key, source_key)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {" AND ".join(f"{m} <= high_{m}" + f" AND {m} >= low_{m}" * v.both for m, v in METRICS.items())}, FALSE) AS kept
 FROM met LEFT JOIN w ON w.lang_key = met.lang_key AND w.source_key = met.source_key

@@ -5,7 +5,8 @@ enough.  The rules' expressions are compiled together by subset construction ove
 minimised by partition refinement; the result is one array of transitions.  A task cuts its bytes into
 lanes at bytes after which every state is the start state, so no match reaches over a cut, and steps all
 lanes at once, one byte each.  A lane in which a rule's state accepted, which is rare, is walked again with
-that rule's own automaton for the spans: leftmost, longest, non-overlapping within a kind.
+that rule's own automaton for the spans: leftmost, longest, non-overlapping within a kind.  A walk passes no byte
+twice in one state, so its time is linear in the lane, however many leads begin in vain.
 
 Cases.  Null and empty text: no spans.  Very long texts: more lanes; a text without any cutting byte is one
 long lane.  Repeated rows are each returned; an empty table gives an empty result; other columns of the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -53,6 +55,9 @@ BASE = 3
 #: Body bytes that the shared automaton waits for after a lead before it accepts.
 LOOK = 2
 LANE = 256
+#: Bytes of a failed lead from which on its way is kept.
+RETRY = 8
+NONE, NEW = -1, -2
 
 
 class Automaton(NamedTuple):
@@ -244,13 +249,19 @@ def flagged(part: wh.Slice, automaton: Automaton) -> Iterator[tuple[int, int, in
 def walk(data: bytes, lead: Automaton, body: frozenset[int], least: int) -> Iterator[tuple[int, int]]:
     """Leftmost longest non-overlapping matches with a body of at least one byte; those with a long enough body are yielded."""
     classes, moves, accepts, width = lead.classes.tolist(), lead.moves.tolist(), lead.accepts.tolist(), lead.width
+    # state -> place -> where a failed run through it accepted last (NONE: nowhere, NEW: no run yet), so that no place is passed twice in one state
+    passed: dict[int, array] = {}
     dead = next((s for s in range(len(accepts)) if not accepts[s] and all(m == s * width for m in moves[s * width : (s + 1) * width])), -1) * width
     at = 0
     while at < len(data):
-        state, to, opened = 0, at, at if accepts[0] else -1
+        state, to, opened, states = 0, at, at if accepts[0] else NONE, []
         while to < len(data) and state != dead:
             state = moves[state + classes[data[to]]]
             to += 1
+            if state in passed and passed[state][to] != NEW:
+                opened = max(opened, passed[state][to])
+                break
+            states.append(state)
             if accepts[state // width]:
                 opened = to
         end = opened
@@ -261,6 +272,11 @@ def walk(data: bytes, lead: Automaton, body: frozenset[int], least: int) -> Iter
                 yield at, end
             at = end
         else:
+            if len(states) > RETRY:
+                for place, s in enumerate(states, at + 1):
+                    if s not in passed:
+                        passed[s] = array("q", [NEW]) * (len(data) + 1)
+                    passed[s][place] = opened if place <= opened else NONE
             at += 1
 
 

@@ -7,9 +7,9 @@
 2. Templates of one host that differ in their last fixed segment are siblings.  Those with labelled urls are
    taken in order of their blocked share, and neighbours that don't differ significantly are one branch.
 3. A branch's purity is the blocked share of its labelled urls, smoothed by PRIOR urls at the share of the same
-   template on all hosts, which is smoothed in turn by PRIOR urls at the share of all.  So a template without
-   labelled urls of its own takes the evidence of its namesakes.  It is rejected if its purity is at least
-   REJECT and at least SUPPORT percent of the branch's or the namesakes' urls are labelled.
+   template on all hosts, which is smoothed in turn by PRIOR urls at the share of all.  It is rejected if its
+   purity is at least REJECT and at least SUPPORT percent of its urls are labelled.  So other hosts are a weak prior:
+   a branch that its own host says nothing about is allowed, whatever its namesakes are.
 
 Labels are the verdicts of the rules; a rule's verdict goes first.  Shares are compared on labelled urls only,
 with one url more of each kind, so that few labels tell little apart.  No limit is a count, so a verdict
@@ -112,12 +112,12 @@ def template_verdicts(rows: DataFrame) -> DataFrame:
     told = near.withColumn("new", new).withColumn("branch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     branches = told.drop("m0", "b0", "new").unionByName(own.filter("labelled = 0").withColumn("branch", F.lit(None).cast("long")))
     merged = told.groupBy("host", "family", "branch").agg(*(F.sum(c).alias(f"branch_{c}") for c in ("n", "labelled", "blocked")))
-    everywhere = own.groupBy("template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")))
+    everywhere = own.groupBy("template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "blocked")))
     counted = shapes.agg(F.sum("blocked"), F.sum("labelled")).first()
     base = counted[0] / counted[1] if counted[1] else 0.0
     judged = branches.join(merged, ["host", "family", "branch"], "left").join(everywhere, "template").withColumns({c: F.coalesce(f"branch_{c}", c) for c in ("n", "labelled", "blocked")})
     prior = (F.col("all_blocked") + F.lit(PRIOR * base)) / (F.col("all_labelled") + PRIOR)
-    supported = (F.col("labelled") * 100 >= SUPPORT * F.col("n")) | (F.col("all_labelled") * 100 >= SUPPORT * F.col("all_n"))
+    supported = (F.col("labelled") > 0) & (F.col("labelled") * 100 >= SUPPORT * F.col("n"))
     judged = judged.withColumn("purity", (F.col("blocked") + PRIOR * prior) / (F.col("labelled") + PRIOR))
     verdicts = judged.select("host", "template", "purity", ((F.col("purity") >= REJECT) & supported).alias("rejected"))
     return materialize(found.select("host", "shape", "template").join(verdicts, ["host", "template"]), "url-verdicts").select("host", "shape", "template", "purity", "rejected")
@@ -168,9 +168,9 @@ owns AS (SELECT *, regexp_replace(template, '{_LAST_FIXED}', '+\1') AS family, (
 near AS (SELECT *, lag(labelled) OVER o AS m0, lag(blocked) OVER o AS b0 FROM owns WHERE labelled > 0 WINDOW o AS (PARTITION BY host, family ORDER BY share, template)),
 told AS (SELECT *, sum(CASE WHEN m0 IS NOT NULL AND {_differ_sql("blocked", "labelled", "b0", "m0")} THEN 1 ELSE 0 END) OVER (PARTITION BY host, family ORDER BY share, template ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS branch FROM near),
 merged AS (SELECT host, template, sum(n) OVER b AS n, sum(labelled) OVER b AS labelled, sum(blocked) OVER b AS blocked FROM told WINDOW b AS (PARTITION BY host, family, branch) UNION ALL SELECT host, template, n, labelled, blocked FROM owns WHERE labelled = 0),
-everywhere AS (SELECT template, sum(n) AS all_n, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM owns GROUP BY template),
+everywhere AS (SELECT template, sum(labelled) AS all_labelled, sum(blocked) AS all_blocked FROM owns GROUP BY template),
 base AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0 END AS base FROM shapes),
-judged AS (SELECT host, template, (blocked + {PRIOR} * ((all_blocked + {PRIOR} * base) / (all_labelled + {PRIOR}))) / (labelled + {PRIOR}) >= {REJECT}::DOUBLE AND (labelled * 100 >= {SUPPORT} * n OR all_labelled * 100 >= {SUPPORT} * all_n) AS rejected FROM merged JOIN everywhere USING (template), base)
+judged AS (SELECT host, template, (blocked + {PRIOR} * ((all_blocked + {PRIOR} * base) / (all_labelled + {PRIOR}))) / (labelled + {PRIOR}) >= {REJECT}::DOUBLE AND labelled > 0 AND labelled * 100 >= {SUPPORT} * n AS rejected FROM merged JOIN everywhere USING (template), base)
 SELECT page_id, ruled.host, path, rule, coalesce(label, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN found ON found.host = ruled.host AND found.shape = ruled.shape LEFT JOIN judged ON judged.host = ruled.host AND judged.template = found.template
 """
