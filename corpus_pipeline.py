@@ -20,8 +20,10 @@ LEAST_MARGIN = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.corpus_model(docs)
     n = len(model.langs)
-    told = F.col("score") * n - 1 >= LEAST_MARGIN * (n - 1)
-    return language.identify(docs, model).filter((F.col("lang_pred") != "und") & told).select(*docs.columns)
+    # columns of the documents' own may have any name
+    lang, score = (f"{c}{'_' * (1 + max(map(len, docs.columns)))}" for c in ("lang", "score"))
+    told = F.col(score) * n - 1 >= LEAST_MARGIN * (n - 1)
+    return language.identify(docs, model, names=(lang, score)).filter((F.col(lang) != "und") & told).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
