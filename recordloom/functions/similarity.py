@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from recordloom.functions.blocks import ratios
+
 
 def levenshtein_ratio(a: Column, b: Column, least: float = 0.5) -> Column:
     """1 - distance / longer length; 0 below least or if a side is empty, 1 if equal."""
@@ -17,25 +18,21 @@ def levenshtein_ratio(a: Column, b: Column, least: float = 0.5) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(ratio >= least, ratio).otherwise(0.0)
 
 
-def _ratio(x: str | None, y: str | None) -> float:
-    x, y = x or "", y or ""
-    if x == y:
-        return 1.0
-    if not x or not y or abs(len(x) - len(y)) > 0.65 * max(len(x), len(y)):
-        return 0.0
-    return SequenceMatcher(None, x, y, autojunk=False).ratio()
-
-
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching blocks over both lengths (query first: the measure isn't symmetric); 0 if lengths differ by over 65 %."""
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Matching blocks over both lengths (query first: the measure isn't symmetric); 0 if a side is empty or lengths differ by over 65 %."""
+    a, b = a.fillna(""), b.fillna("")
+    n, m = a.str.len(), b.str.len()
+    out = np.where((a == b).to_numpy(), 1.0, 0.0)
+    open_ = ((a != b) & (n > 0) & (m > 0) & ((n - m).abs() <= 0.65 * np.maximum(n, m))).to_numpy()
+    out[open_] = ratios(a[open_].tolist(), b[open_].tolist())
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio_lite(a: pd.Series, b: pd.Series) -> pd.Series:
     """The plain ratio, with popular characters of long texts left out."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(ratios(a.fillna("").tolist(), b.fillna("").tolist(), popular=True))
 
 
 def lengths_within(n: Column, band: float) -> Column:
