@@ -17,6 +17,7 @@ from recordloom.functions import decompose as D
 from recordloom.functions import similarity as S
 from recordloom.functions.text import clean_lite, normalize, one_decimal, tokens
 from recordloom.operators.bounded import meet
+from recordloom.operators.fuzzy import distance_allows, overlapping
 from recordloom.stored import materialize
 from recordloom.vocab import Vocabulary
 
@@ -197,13 +198,14 @@ def link_catalogs(sources: DataFrame, first: DataFrame, second: DataFrame, vocab
 def close_match(sources: DataFrame, targets: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(q, match_code, match_name, match_score): the exact target, else the one with the highest sequence ratio from the threshold on, of equal ones the last by name; no barriers.
 
-    A ratio bounds the lengths' ratio, so names are joined by length.
+    Names are met by the characters that they must have in common.
     """
     src, tgt = materialize(sources.withColumn("clean", clean_lite(F.col("name"))), "sources"), materialize(dedupe_first(targets.withColumn("clean", clean_lite(F.col("name")))), "targets")
     exact = exact_link(src, tgt).withColumn("score", F.lit(1.0))
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
-    asked = distinct_names(left, "q").select("q", F.col("clean").alias("wanted"), F.explode(S.lengths_within(F.length("clean"), 1 - threshold / (2 - threshold))).alias("n"))
-    near = asked.join(tgt.select("idx", "clean", F.length("clean").alias("n")), "n").withColumn("score", S.sequence_ratio_lite(F.col("clean"), F.col("wanted"))).filter(F.col("score") >= threshold)
+    asked = distinct_names(left, "q").select("q", F.col("clean").alias("wanted"))
+    met = overlapping(asked, tgt.select("idx", F.col("clean").alias("text")), threshold).join(asked, "q").join(tgt.select("idx", "clean"), "idx")
+    near = met.filter(distance_allows(F.col("clean"), F.col("wanted"), threshold)).withColumn("score", S.sequence_ratio_lite(F.col("clean"), F.col("wanted"))).filter(F.col("score") >= threshold)
     best = near.groupBy("wanted").agg(F.max(F.struct("score", "clean", "idx")).alias("b")).withColumn("score", S.sequence_ratio_lite(F.col("wanted"), F.col("b.clean")))
     best = best.filter(F.col("score") >= threshold).select(F.col("wanted").alias("clean"), "b.idx", "score")
     found = exact.unionByName(left.join(best, "clean").select("q", "idx", "score"))

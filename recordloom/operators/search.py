@@ -2,8 +2,10 @@
 
 Whatever can score has a part of the query in it: the first word, where queries of several words are gated by
 it; else one of the words; or the query in its code.  So items are met by equality on grams of up to GRAM characters: of each
-part its first gram.  Only the fuzzy matches of queries that aren't gated, and queries of nothing but punctuation, are
-looked for in all items.
+part its first gram.  Fuzzy matches of queries that aren't gated are met by the characters that they must have in common.
+A query of nothing but punctuation begins every name alike, so only the first items in the order of ranking count.
+
+Queries are composed (NFC) before they are compared, as catalogs are when they are read.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import sequence_ratio
-from recordloom.functions.text import clean_lite, normalize, unaccent
+from recordloom.functions.text import clean_lite, nfc, normalize, unaccent
+from recordloom.operators.fuzzy import distance_allows, overlapping
 from recordloom.vocab import Vocabulary
 
 TOP = 15
 GRAM = 3
+#: The least sequence ratio of a fuzzy match, and by how many times its item may be longer.
+FUZZY, LONGEST = 0.6, 2.2
 
 
 def _index(rows: DataFrame, text: str, vocab: Vocabulary | None) -> DataFrame:
@@ -35,19 +40,22 @@ def _place(tokens: Column, bare: Column, t: Column, b: Column) -> Column:
 def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabulary | None = None, fuzzy: bool = True) -> DataFrame:
     """(query_id, rank, idx, code, name, score, match_type) for queries (query_id, query) over items (idx, code, name)."""
     c = F.col
-    q = _index(queries, "query", vocab).select("query_id", *(F.col(x).alias(f"q_{x}") for x in ("low", "clean", "bare", "toks", "bare_toks")))
+    q = _index(queries.withColumn("query", nfc("query")), "query", vocab).select("query_id", *(F.col(x).alias(f"q_{x}") for x in ("low", "clean", "bare", "toks", "bare_toks")))
     i = _index(items, "name", vocab).withColumn("low_code", F.lower(F.coalesce("code", F.lit(""))))
     first = F.substring_index(c("q_low"), " ", 1)
     gated = (F.length(first) >= 3) & (F.size("q_toks") >= 2)
     blank = c("q_low") == ""
     asked, browsing = q.filter(~blank), q.filter(blank)
     met = _met(asked.withColumns({"first": first, "gated": gated}), i)
-    loose = c("q_clean") == ""
+    first_of = lambda rows: rows.select("idx", F.length("name").alias("n")).orderBy("n", "idx").limit(top).select("idx")
+    shortest = first_of(i).unionByName(first_of(i.filter(c("clean") == "")))
+    met = met.unionByName(asked.filter(c("q_clean") == "").select("query_id").join(F.broadcast(shortest)).select("query_id", "idx"))
     if fuzzy:
-        loose |= ~gated & (F.length("q_clean") >= 4)
-    near = (c("q_clean") == "") | (F.length("clean") <= 2.2 * F.length("q_clean"))
-    every = i.select("idx", "clean").join(asked.filter(loose).select("query_id", "q_clean"), near).select("query_id", "idx")
-    met = met.unionByName(every).distinct()
+        loose = asked.filter(~gated & (F.length("q_clean") >= 4)).select(c("query_id").alias("q"), c("q_clean").alias("wanted"))
+        named = i.groupBy("clean").agg(F.min("idx").alias("head"))
+        near = overlapping(loose, named.select(c("head").alias("idx"), c("clean").alias("text")), FUZZY, LONGEST)
+        met = met.unionByName(near.join(named.withColumnRenamed("head", "idx"), "idx").drop("idx").join(i.select("clean", "idx"), "clean").select(c("q").alias("query_id"), "idx"))
+    met = met.distinct()
     pairs = met.join(i, "idx").join(asked, "query_id")
     passes = ~gated | F.contains("low", first) | F.contains(unaccent(c("low")), unaccent(first)) | F.contains("low_code", c("q_low"))
     pairs = pairs.filter(passes)
@@ -77,9 +85,9 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
     pairs = pairs.withColumn("tier", F.when(c("s0") < 99, tier))
     pairs = pairs.withColumns({"s": F.greatest(c("s0"), F.coalesce("tier.s", F.lit(0.0))), "m": F.coalesce("tier.m", F.when(c("s0") > 0, "CODE"), F.lit("FUZZY"))})
     if fuzzy:
-        slow = (c("s") < 40) & (F.length("q_clean") >= 4) & (F.length("clean") <= 2.2 * F.length("q_clean"))
+        slow = (c("s") < 40) & (F.length("q_clean") >= 4) & (F.length("clean") <= LONGEST * F.length("q_clean")) & distance_allows(c("q_clean"), c("clean"), FUZZY)
         far = pairs.filter(slow).withColumn("f", sequence_ratio(c("q_clean"), c("clean")))
-        far = far.withColumns({"s": F.when(c("f") >= 0.6, F.greatest("s", c("f") * 50)).otherwise(c("s")), "m": F.when(c("f") >= 0.6, "FUZZY").otherwise(c("m"))}).drop("f")
+        far = far.withColumns({"s": F.when(c("f") >= FUZZY, F.greatest("s", c("f") * 50)).otherwise(c("s")), "m": F.when(c("f") >= FUZZY, "FUZZY").otherwise(c("m"))}).drop("f")
         pairs = pairs.filter(~slow).unionByName(far)
     kept = pairs.filter((c("s") >= 25) | (c("m") == "CODE")).withColumn("score", F.floor(c("s") * 10 + 0.5) / 10)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.length("name"), "idx")

@@ -14,6 +14,7 @@ from recordloom.operators import chapters as C
 from recordloom.operators import match as M
 from recordloom.operators import results as R
 from recordloom.operators import review as V
+from recordloom.operators.fuzzy import distance_allows, overlapping
 from recordloom.operators.search import search
 from recordloom.sources import samples
 from recordloom.vocab import DEFAULT, spellings
@@ -85,6 +86,8 @@ merged AS (SELECT q, token, count(*) AS w, min(pos) AS pos FROM probes GROUP BY
 post AS (SELECT DISTINCT idx, unnest({TOKENS_SQL.format("clean")}) AS token FROM tgt),
 cand AS (SELECT q, idx, sum(w) AS weight, min(pos) AS pos FROM merged JOIN post USING (token) GROUP BY q, idx),
 ranked AS (SELECT q, idx, weight, row_number() OVER (PARTITION BY q ORDER BY weight DESC, pos, idx) AS rank FROM cand QUALIFY rank <= {M.TOP})"""
+#: The least sequence ratio of fuzzy_pairs.
+SIMILAR = 0.85
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -446,6 +449,18 @@ def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(q, _searched(_table(spark, sf_dir, "part"))).select("query_id", "rank", "idx", "score", "match_type")
 
 
+@query(f"""WITH n AS (SELECT p_type || ' ' || p_name AS name, min(p_partkey) AS idx FROM part GROUP BY 1),
+pairs AS (SELECT a.idx AS a, b.idx AS b, length(a.name) + length(b.name) AS size, list_sum(list_transform(list_distinct(string_split(a.name, '')), lambda c: least(length(a.name) - length(replace(a.name, c, '')), length(b.name) - length(replace(b.name, c, '')))))::BIGINT AS common, levenshtein(a.name, b.name) AS far
+  FROM n a JOIN n b ON a.idx < b.idx)
+SELECT a, b, common FROM pairs WHERE common * 2 >= {SIMILAR} * size AND far <= (1 - {SIMILAR}) * size + 1e-9""")
+def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of distinct names that can have a sequence ratio of SIMILAR, by the characters that they have in common."""
+    n = _names(spark, sf_dir).groupBy("name").agg(F.min("id").alias("idx"))
+    found = overlapping(n.select(F.col("idx").alias("q"), F.col("name").alias("wanted")), n.select("idx", F.col("name").alias("text")), SIMILAR).filter("q < idx")
+    near = found.join(n.select(F.col("idx").alias("q"), F.col("name").alias("x")), "q").join(n.withColumnRenamed("name", "y"), "idx").filter(distance_allows(F.col("x"), F.col("y"), SIMILAR))
+    return near.select(F.col("q").alias("a"), F.col("idx").alias("b"), F.col("common").cast("long").alias("common"))
+
+
 @query("""WITH q AS (SELECT DISTINCT p_brand AS query FROM part), i AS (SELECT p_partkey AS idx, lower(p_brand) AS code FROM part)
 SELECT query, idx, row_number() OVER (PARTITION BY query ORDER BY idx)::BIGINT AS rank FROM q JOIN i ON code = lower(query) QUALIFY rank <= 15""")
 def search_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,27 +7,18 @@ DataFrame operations.
 from __future__ import annotations
 
 import re
-import unicodedata
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from recordloom.functions.text import NOISE_LITE, chapter_header, clean_lite, is_ordinal, keyword, parse_ordinal
+from recordloom.functions.text import NOISE_LITE, chapter_header, clean_lite, is_ordinal, keyword, nfc, parse_ordinal
 from recordloom.operators.chapters import fill_chapters, ordinals, running_count
 from recordloom.vocab import Vocabulary, bare
 
 PROBE = 30
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Composed characters; once, at the door."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
 @dataclass(frozen=True)
 class Inspection:
     header_row: int
