@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import decompose as D
 from recordloom.functions import similarity as S
 from recordloom.functions import text as T
+from recordloom.functions.terms import hits_of_table
 from recordloom.operators import audit as A
 from recordloom.operators import chapters as C
 from recordloom.operators import match as M
@@ -175,6 +176,25 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", F.array_join(T.tokens(F.col("clean")), "|").alias("tokens"))
 
 
+_PHRASES_SQL = "list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2])"
+
+
+@query(f"""WITH {_TEXTS_SQL}, items AS (SELECT item_id, string_split({LITE_SQL.format("text")}, ' ') AS w FROM benchmark),
+terms AS (SELECT phrase, min(item_id) AS rank FROM (SELECT item_id, unnest({_PHRASES_SQL.format("w")}) AS phrase FROM items) GROUP BY phrase),
+said AS (SELECT DISTINCT doc_id, unnest({_PHRASES_SQL.format("string_split(clean, ' ')")}) AS phrase FROM texts),
+met AS (SELECT doc_id, count(*) AS n, string_agg(phrase, '|' ORDER BY rank, phrase) AS phrases FROM said JOIN terms USING (phrase) GROUP BY doc_id)
+SELECT texts.doc_id, coalesce(n, 0)::BIGINT AS n_terms, coalesce(phrases, '') AS terms FROM texts LEFT JOIN met USING (doc_id)""")
+def text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of a site's table, here all phrases of three words of the benchmark, in the whole texts of all documents."""
+    words = F.split(T.clean_lite(F.col("text")), " ")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    three = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i <= F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    terms = items.select("item_id", F.explode(three).alias("phrase")).groupBy("phrase").agg(F.min("item_id").alias("rank")).withColumn("kind", F.lit("item"))
+    clean = _texts(spark, sf_dir).select("doc_id", T.clean_lite(F.col("name")).alias("clean"))
+    found = hits_of_table(clean, terms, "doc_id", "clean")
+    return found.select("doc_id", F.size("found").cast("long").alias("n_terms"), F.array_join("found.phrase", "|").alias("terms"))
+
+
 @query(f"WITH {_TEXTS_SQL} SELECT min(doc_id) AS doc_id, clean FROM texts GROUP BY clean")
 def text_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.dedupe_first(_texts(spark, sf_dir).select("doc_id", T.clean_lite(F.col("name")).alias("clean")), order="doc_id")
