@@ -1,7 +1,8 @@
 """Linking source names to a reference catalog: exact join, weighted candidates, barriers, score, pick.
 
-Sources have (q, name), targets (idx, code, name); q and idx order their rows.  Targets are one catalog:
-link_catalogs links to two by linking twice, and catalogs stacked in targets share one exact hit and one top 50.
+Sources have (q, name), targets (idx, code, name); q and idx order their rows.  Targets are one catalog, or several
+stacked ones that a column tells apart (by): then each source has an exact hit, a top 50 and a pick in each catalog, and
+all catalogs go through every step together.
 
 Rows with one clean name are alike to every step, so each distinct name is taken apart, met and scored once: a
 name that many rows share is one row.
@@ -39,10 +40,10 @@ def dedupe_first(targets: DataFrame, key: str = "clean", order: str = "idx") ->
     return targets.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
 
 
-def exact_link(sources: DataFrame, targets: DataFrame) -> DataFrame:
+def exact_link(sources: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(q, idx): sources whose clean name a target has; of several targets the first."""
-    first = targets.filter("clean <> ''").groupBy("clean").agg(F.min("idx").alias("idx"))
-    return sources.select("q", "clean").join(first, "clean").select("q", "idx")
+    first = targets.filter("clean <> ''").groupBy("clean", *by).agg(F.min("idx").alias("idx"))
+    return sources.select("q", "clean", *by).join(first, ["clean", *by]).select("q", "idx")
 
 
 def _tags(rows: DataFrame, tags: bool) -> list[tuple[str, Column]]:
@@ -59,22 +60,27 @@ def _tags(rows: DataFrame, tags: bool) -> list[tuple[str, Column]]:
     return found
 
 
-def postings(targets: DataFrame, tags: bool = True) -> DataFrame:
+def _within(token: Column, by: tuple[str, ...]) -> Column:
+    """The token as one of its catalog."""
+    return F.concat_ws("\x04", *(F.col(c).cast("string") for c in by), token) if by else token
+
+
+def postings(targets: DataFrame, tags: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """(token, idx), each once."""
     every = F.array_distinct(F.concat(*(a for _, a in _tags(targets, tags))))
-    return targets.select("idx", F.explode(every).alias("token"))
+    return targets.select("idx", *by, F.explode(every).alias("token")).select("idx", _within(F.col("token"), by).alias("token"))
 
 
-def _weighed(probes: Column, weight: int) -> Column:
-    return F.transform(probes, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
+def _weighed(probes: Column, weight: int, by: tuple[str, ...]) -> Column:
+    return F.transform(probes, lambda t: F.struct(_within(t, by).alias("token"), F.lit(weight).alias("w")))
 
 
-def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int = TOP, members: DataFrame | None = None) -> DataFrame:
+def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int = TOP, members: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(q, idx, weight, rank): the targets that share the most weight with each source; ties by first contact.
 
     members (idx, members): where index has one target for several alike, all that it stands for, in order.
     """
-    weighed = F.concat(*(_weighed(a, WEIGHTS[kind]) for kind, a in _tags(sources, tags)))
+    weighed = F.concat(*(_weighed(a, WEIGHTS[kind], by) for kind, a in _tags(sources, tags)))
     probes = sources.select("q", F.posexplode(weighed).alias("pos", "p")).select("q", "pos", "p.token", "p.w")
     # a repeated token weighs as often as it stands, at its first place
     merged = probes.groupBy("q", "token").agg(F.sum("w").alias("w"), F.min("pos").alias("pos"))
@@ -90,27 +96,27 @@ def candidates(sources: DataFrame, index: DataFrame, tags: bool = True, top: int
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("q", "idx", "weight", "rank")
 
 
-def distinct_names(rows: DataFrame, order: str) -> DataFrame:
+def distinct_names(rows: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One row of each clean name, the first in order."""
-    first = rows.groupBy("clean").agg(F.min(order).alias(order))
-    return rows.join(first, ["clean", order], "left_semi")
+    first = rows.groupBy("clean", *by).agg(F.min(order).alias(order))
+    return rows.join(first, ["clean", *by, order], "left_semi")
 
 
-def members_of(targets: DataFrame, top: int = TOP) -> DataFrame:
+def members_of(targets: DataFrame, top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
     """(idx, members): of each clean name the first target and the first ones that can count."""
-    ranked = targets.withColumn("__n", F.row_number().over(W.partitionBy("clean").orderBy("idx"))).filter(F.col("__n") <= top)
-    return ranked.groupBy("clean").agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("idx")).alias("members")).drop("clean")
+    ranked = targets.withColumn("__n", F.row_number().over(W.partitionBy("clean", *by).orderBy("idx"))).filter(F.col("__n") <= top)
+    return ranked.groupBy("clean", *by).agg(F.min("idx").alias("idx"), F.array_sort(F.collect_list("idx")).alias("members")).select("idx", "members")
 
 
-def length_band(sources: DataFrame, targets: DataFrame, top: int = FALLBACK, band: float = BAND) -> DataFrame:
+def length_band(sources: DataFrame, targets: DataFrame, top: int = FALLBACK, band: float = BAND, by: tuple[str, ...] = ()) -> DataFrame:
     """(q, idx, rank): the first targets whose length differs by at most the band.
 
     Lengths are joined by equality: a source lists the lengths within its band, and of each length only its
     first `top` targets can be among the first of all.
     """
     n = F.length("clean")
-    short = targets.select("idx", n.alias("n")).withColumn("k", F.row_number().over(W.partitionBy("n").orderBy("idx"))).filter(F.col("k") <= top).select("idx", "n")
-    near = sources.filter(n > 0).select("q", F.explode(S.lengths_within(n, band)).alias("n")).join(short, "n")
+    short = targets.select("idx", *by, n.alias("n")).withColumn("k", F.row_number().over(W.partitionBy("n", *by).orderBy("idx"))).filter(F.col("k") <= top).select("idx", "n", *by)
+    near = sources.filter(n > 0).select("q", *by, F.explode(S.lengths_within(n, band)).alias("n")).join(short, ["n", *by])
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("idx"))).filter(F.col("rank") <= top).select("q", "idx", "rank")
 
 
@@ -149,19 +155,19 @@ def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None
     return link_prepared(materialize(prepared(sources, vocab), "sources"), materialize(prepared(targets, vocab), "targets"), vocab, threshold, tags, sequences)
 
 
-def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
-    """link() of prepared sources and targets."""
+def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """link() of prepared sources and targets; with by, q and idx are unique over all catalogs."""
     tags = tags and vocab is not None
-    exact = exact_link(src, tgt)
+    exact = exact_link(src, tgt, by)
     left = src.join(exact, "q", "left_anti")
-    asked, heads = distinct_names(left, "q"), distinct_names(tgt, "idx")
-    near = candidates(asked, postings(heads, tags), tags, members=members_of(tgt)).select("q", "idx", "rank")
+    asked, heads = distinct_names(left, "q", by), distinct_names(tgt, "idx", by)
+    near = candidates(asked, postings(heads, tags, by), tags, members=members_of(tgt, by=by), by=by).select("q", "idx", "rank")
     alone = asked.join(near.select("q").distinct(), "q", "left_anti")
     # of targets alike the first has the best rank, and all have one score
-    pairs = near.unionByName(length_band(alone, tgt)).join(heads.select("idx"), "idx", "left_semi")
+    pairs = near.unionByName(length_band(alone, tgt, by=by)).join(heads.select("idx"), "idx", "left_semi")
     best = pick(scored(pairs, asked, heads, vocab, threshold, sequences)).filter(F.col("score") >= threshold)
-    answered = asked.select("q", "clean").join(best, "q").drop("q")
-    found = exact.withColumn("score", F.lit(1.0)).unionByName(left.select("q", "clean").join(answered, "clean").select("q", "idx", "score"))
+    answered = asked.select("q", "clean", *by).join(best, "q").drop("q")
+    found = exact.withColumn("score", F.lit(1.0)).unionByName(left.select("q", "clean", *by).join(answered, ["clean", *by]).select("q", "idx", "score"))
     named = found.join(tgt.select("idx", F.col("code").alias("match_code"), F.col("name").alias("match_name")), "idx")
     return src.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(one_decimal(F.col("score")), F.lit(0.0)).alias("match_score"))
 
@@ -189,10 +195,25 @@ def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, thresho
     return sources.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(F.bround(c("score") * 100, 1), F.lit(0.0)).alias("match_score"))
 
 
-def link_catalogs(sources: DataFrame, first: DataFrame, second: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7) -> DataFrame:
-    """Each source linked to two catalogs: q, name, code_1, name_1, score_1, code_2, name_2, score_2."""
-    one, two = (link(sources, t, vocab, threshold).select("q", *(F.col(f"match_{c}").alias(f"{c}_{k}") for c in ("code", "name", "score"))) for k, t in ((1, first), (2, second)))
-    return sources.select("q", "name").join(one, "q").join(two, "q")
+def link_stacked(sources: DataFrame, targets: DataFrame, catalogs: list, vocab: Vocabulary | None = None, threshold: float = 0.7, sequences: bool = True) -> DataFrame:
+    """Each source linked to each of the catalogs: (q, catalog, name, match_code, match_name, match_score).  targets: (catalog, idx, code, name).
+
+    Names are taken apart once, and all catalogs share one candidate stage: tokens are those of a catalog.
+    """
+    by = ("catalog",)
+    whole = materialize(prepared(sources, vocab), "sources")
+    src = whole.withColumn("catalog", F.explode(F.array(*map(F.lit, catalogs)))).withColumn("q", F.struct("q", "catalog"))
+    tgt = materialize(prepared(targets, vocab).withColumn("idx", F.struct("idx", "catalog")), "targets")
+    linked = link_prepared(src, tgt, vocab, threshold, sequences=sequences, by=by)
+    return linked.select("q.q", "q.catalog", "name", "match_code", "match_name", "match_score")
+
+
+def link_catalogs(sources: DataFrame, first: DataFrame, second: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, sequences: bool = True) -> DataFrame:
+    """Each source linked to two catalogs in one pass: q, name, code_1, name_1, score_1, code_2, name_2, score_2."""
+    both = first.select(F.lit(1).alias("catalog"), "idx", "code", "name").unionByName(second.select(F.lit(2).alias("catalog"), "idx", "code", "name"))
+    linked = link_stacked(sources, both, [1, 2], vocab, threshold, sequences)
+    side = [F.max(F.when(F.col("catalog") == k, F.col(f"match_{c}"))).alias(f"{c}_{k}") for k in (1, 2) for c in ("code", "name", "score")]
+    return linked.groupBy("q", "name").agg(*side)
 
 
 def close_match(sources: DataFrame, targets: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import keyword, last_segment, roman_value
+from recordloom.functions.text import grams, last_segment, roman_value
+from recordloom.stored import Steps, materialize
 
+#: Characters by which labels meet the names of entries.
+GRAM = 3
 STATUS = {
     "all": lambda: F.lit(True),
     "warning_only": lambda: F.coalesce(F.col("warning"), F.lit(False)),
@@ -43,22 +46,62 @@ def by_keyword(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
     return rows.filter(found)
 
 
+def plain_label(c: Column) -> Column:
+    """Lower case; hyphens, slashes and commas are spaces; accents stay.  Null is empty."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[-/,]", " "), r"(?U)\s+", " "))
+
+
 def specialty_matches(specialty: Column, anatomy: Column, wanted: Column, ontology: bool) -> Column:
-    """Whether a row belongs to a specialty.
+    """Whether a row belongs to a specialty; a row with neither specialty nor anatomy belongs to none.
 
-    ontology: containment either way, the anatomy within it, or at least min(2, n) shared words of three letters;
-    else equality with the whole or a part split at > or -, mutual containment without numerals, or the anatomy.
+    ontology: the specialty equal to, within or around the wanted name, the anatomy around it, or at least min(2, n) of
+    the name's n words of three letters or more within either.  An empty specialty is within every name.
+    Else: the specialty or one of its parts (split at > and -) equal, mutual containment without leading numerals, or the anatomy around it.
     """
-    s, a, w = keyword(specialty), keyword(anatomy), keyword(wanted)
-    given = specialty.isNotNull() | anatomy.isNotNull()
+    s, a = F.coalesce(specialty, F.lit("")), F.coalesce(anatomy, F.lit(""))
+    given = (s != "") | (a != "")
     if ontology:
-        words = F.filter(F.split(w, " "), lambda x: F.length(x) >= 3)
-        shared = F.size(F.filter(words, lambda x: F.contains(s, x)))
-        return given & (F.contains(s, w) | F.contains(w, s) | F.contains(w, a) | ((F.size(words) > 0) & (shared >= F.least(F.lit(2), F.size(words)))))
-    plain = lambda c: F.regexp_replace(c, r"^(?:[ivxlcdm]+|[a-z]) ", "")
-    parts = F.transform(F.split(F.coalesce(specialty, F.lit("")), "[>-]"), lambda p: F.lower(F.trim(p)))
-    mutual = (plain(s) != "") & (F.contains(plain(s), plain(w)) | F.contains(plain(w), plain(s)))
-    return given & ((s == w) | F.array_contains(parts, F.lower(F.trim(wanted))) | mutual | ((a != "") & F.contains(a, w)))
+        return given & _ontology_matches(plain_label(s), plain_label(a), plain_label(wanted))
+    w = F.lower(F.trim(wanted))
+    bare = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?i)^([IVXLCDM0-9]+)[.:\-\s]+", "")))
+    parts = F.transform(F.split(s, "[>-]"), lambda p: F.lower(F.trim(p)))
+    mutual = (bare(s) != "") & (bare(F.trim(wanted)) != "") & (F.contains(bare(s), bare(F.trim(wanted))) | F.contains(bare(F.trim(wanted)), bare(s)))
+    named = (s != "") & ((F.lower(F.trim(s)) == w) | F.array_contains(parts, w) | mutual)
+    return given & (named | ((a != "") & F.contains(F.lower(a), w)))
+
+
+def _ontology_matches(s: Column, a: Column, w: Column) -> Column:
+    """The same for plain labels."""
+    words = F.filter(F.split(w, " "), lambda x: F.length(x) >= 3)
+    shared = F.size(F.filter(words, lambda x: F.contains(s, x) | F.contains(a, x)))
+    return F.contains(s, w) | F.contains(w, s) | F.contains(a, w) | ((F.size(words) > 0) & (shared >= F.least(F.lit(2), F.size(words))))
+
+
+def facet_ontology(rows: DataFrame, entries: DataFrame, specialty: str = "specialty", anatomy: str = "anatomy", entry: str = "entry") -> DataFrame:
+    """(entry, n): how many rows belong to each entry (distinct names) by specialty_matches(ontology=True); those without rows are left out.
+
+    Labels are counted before they are met.  Whatever matches has the beginning of the name or of one of its words within
+    the row's label, or the label's beginning within the name: three characters or, of shorter ones, all.  So rows
+    and entries meet by equality of such grams, and only those pairs are compared.  Rows whose label is empty belong to
+    every entry and are counted once for all.
+    """
+    s, a, w = plain_label(F.col(specialty)), plain_label(F.col(anatomy)), plain_label(F.col(entry))
+    given = rows.filter((F.coalesce(specialty, F.lit("")) != "") | (F.coalesce(anatomy, F.lit("")) != ""))
+    labels = given.select(s.alias("s"), a.alias("a")).groupBy("s", "a").agg(F.count("*").alias("n"))
+    with Steps("facets") as steps:
+        known = steps.keep(labels.filter("s <> ''").withColumn("id", F.xxhash64("s", "a")))
+        names = steps.keep(entries.select(F.col(entry).alias("entry"), w.alias("w")).distinct())
+        head = lambda c: F.substring(c, 1, GRAM)
+        heads = F.array_distinct(F.concat(F.array(head("w")), F.transform(F.filter(F.split("w", " "), lambda x: F.length(x) >= 3), head)))
+        by_entry = names.select("entry", "w", F.explode(heads).alias("gram")).join(known.select("s", "a", F.explode(F.array_union(grams(F.col("s")), grams(F.col("a")))).alias("gram")), "gram")
+        by_label = known.select("s", "a", head("s").alias("gram")).join(names.select("entry", "w", F.explode(grams(F.col("w"))).alias("gram")), "gram")
+        met = by_entry.unionByName(by_label).select("entry", "w", "s", "a").distinct().filter(_ontology_matches(F.col("s"), F.col("a"), F.col("w")))
+        counted = met.join(known.select("s", "a", "n"), ["s", "a"]).groupBy("entry").agg(F.sum("n").alias("n"))
+        # one row: rows that belong to every entry; and a name without letters is within every label
+        all_rows = labels.agg(F.sum(F.when(F.col("s") == "", F.col("n"))).alias("unnamed"), F.sum("n").alias("every"))
+        joined = names.join(counted, "entry", "left").join(F.broadcast(all_rows))
+        found = joined.select("entry", F.when(F.col("w") == "", F.col("every")).otherwise(F.coalesce("n", F.lit(0)) + F.coalesce("unnamed", F.lit(0))).alias("n"))
+        return materialize(found.filter("n > 0"), "facet-counts")
 
 
 def page(rows: DataFrame, number: int, size: int = 25, order: str = "row_id") -> DataFrame:

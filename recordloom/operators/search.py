@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import sequence_ratio
-from recordloom.functions.text import clean_lite, nfc, normalize, unaccent
+from recordloom.functions.text import clean_lite, grams, nfc, normalize, unaccent
 from recordloom.operators.fuzzy import distance_allows, overlapping
 from recordloom.vocab import Vocabulary
 
@@ -98,14 +98,6 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
     return found.unionByName(shown)
 
 
-def _grams(text: Column) -> Column:
-    """All grams of GRAM characters and less."""
-    found, letters = [F.split(text, "")], F.split(text, "")
-    for n in range(2, GRAM + 1):
-        found.append(F.array_compact(F.zip_with(found[-1], F.slice(letters, n, F.greatest(F.length(text), F.lit(1))), lambda a, b: F.concat(a, b))))
-    return F.array_distinct(F.concat(*found))
-
-
 def _met(asked: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, idx): items with the first gram of one of a query's parts, in the name or the code."""
     head = lambda t: F.substring(t, 1, GRAM)
@@ -113,7 +105,7 @@ def _met(asked: DataFrame, items: DataFrame) -> DataFrame:
     wanted = asked.select("query_id", F.explode(F.array_distinct(F.concat(F.transform(in_name, lambda g: F.struct(F.lit("name").alias("part"), g.alias("gram"))), F.array(F.struct(F.lit("code").alias("part"), head("q_low").alias("gram")))))).alias("g")).select("query_id", "g.part", "g.gram").filter("gram <> ''")
     # grams that no query has aren't listed
     listed = wanted.select("part", "gram").distinct()
-    said = items.select("idx", F.explode(_grams(unaccent(F.concat_ws("\n", "low", "bare")))).alias("gram"), F.lit("name").alias("part"))
-    coded = items.select("idx", F.explode(_grams(F.col("low_code"))).alias("gram"), F.lit("code").alias("part"))
+    said = items.select("idx", F.explode(grams(unaccent(F.concat_ws("\n", "low", "bare")))).alias("gram"), F.lit("name").alias("part"))
+    coded = items.select("idx", F.explode(grams(F.col("low_code"))).alias("gram"), F.lit("code").alias("part"))
     posted = said.unionByName(coded).join(listed, ["part", "gram"], "left_semi")
     return wanted.join(posted, ["part", "gram"]).select("query_id", "idx").distinct()

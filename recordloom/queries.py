@@ -272,7 +272,7 @@ def link_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("q").join(M.exact_link(a, b), "q", "left").select("q", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 
-@query(f"""WITH {_CANDIDATES_SQL},
+_BEST_SQL = f"""WITH {_CANDIDATES_SQL},
 alone AS (SELECT * FROM rest WHERE q NOT IN (SELECT q FROM ranked)),
 band AS (SELECT q, idx, row_number() OVER (PARTITION BY q ORDER BY idx) AS rank FROM alone JOIN tgt ON length(alone.clean) > 0 AND abs(length(alone.clean) - length(tgt.clean)) / greatest(length(alone.clean), length(tgt.clean)) <= {M.BAND} QUALIFY rank <= {M.FALLBACK}),
 pairs AS (SELECT q, idx, rank FROM ranked UNION ALL SELECT * FROM band),
@@ -281,13 +281,29 @@ gated AS (SELECT pairs.q, pairs.idx, rank, {_LEV_SQL.format(0.35)} AS f, length(
 scored AS (SELECT q, idx, rank, least(f * 0.50 + f * 0.25 + CASE WHEN cores THEN core ELSE 1.0 END * 0.25, 1.0) AS s FROM gated WHERE NOT cores OR core >= 0.35),
 won AS (SELECT q, idx, s FROM scored WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s >= 0.98 DESC, CASE WHEN s >= 0.98 THEN rank END ASC NULLS LAST, s DESC, rank) = 1),
 found AS (SELECT q, idx, 1.0 AS s FROM exact UNION ALL SELECT * FROM won WHERE s >= 0.6)
-SELECT src.q, coalesce('D' || idx, '') AS match_code, coalesce(floor(s * 1000 + 0.5) / 10, 0)::DOUBLE AS match_score FROM src LEFT JOIN found ON found.q = src.q""")
+SELECT src.q, coalesce('D' || idx, '') AS match_code, coalesce(floor(s * 1000 + 0.5) / 10, 0)::DOUBLE AS match_score FROM src LEFT JOIN found ON found.q = src.q"""
+
+
+@query(_BEST_SQL)
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: every source name linked to its best target, or unmatched, by edit distance."""
     src, tgt = _halves(spark, sf_dir)
     return M.link(src, tgt, threshold=0.6, sequences=False).select("q", "match_code", "match_score")
 
 
+def _catalog_sql(k: int, size: str) -> str:
+    one = _BEST_SQL.replace("FROM part WHERE p_partkey % 2 = 1", f"FROM part WHERE p_partkey % 2 = 1 AND {size}")
+    return f"SELECT q, {k} AS catalog, match_code, match_score FROM ({one})"
+
+
+@query(f"{_catalog_sql(1, 'p_size <= 25')} UNION ALL {_catalog_sql(2, 'p_size > 25')}")
+def link_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source name linked to two catalogs at once, parts of smaller and of larger size, by edit distance."""
+    src, tgt = _halves(spark, sf_dir)
+    sized = tgt.join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.when(F.col("p_size") <= 25, 1).otherwise(2).alias("catalog")), "idx")
+    return M.link_stacked(src, sized, [1, 2], threshold=0.6, sequences=False).select("q", "catalog", "match_code", "match_score")
+
+
 @query()
 def best_match_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the sequence ratio as well."""
@@ -559,6 +575,21 @@ def facet_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.facet_members(d, spark.createDataFrame(GROUPS, "key string, members array<string>"), "key", "members")
 
 
+_LABEL_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[-/,]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""WITH e AS (SELECT DISTINCT string_split(text, ' ')[1] || ' - ' || string_split(text, ' ')[2] AS entry FROM benchmark WHERE len(string_split(text, ' ')) > 1),
+n AS (SELECT entry, {_LABEL_SQL.format("entry")} AS w FROM e), t AS (SELECT entry, w, list_filter(string_split(w, ' '), lambda x: length(x) >= 3) AS ws FROM n),
+d AS (SELECT {_LABEL_SQL.format("CASE WHEN doc_id % 10 > 0 THEN lang || ' > ' || source END")} AS s, {_LABEL_SQL.format("text")} AS a FROM documents WHERE doc_id % 10 > 0 OR coalesce(text, '') <> '')
+SELECT entry, count(*) AS n FROM t JOIN d ON contains(s, w) OR contains(w, s) OR contains(a, w) OR (len(ws) > 0 AND len(list_filter(ws, lambda x: contains(s, x) OR contains(a, x))) >= least(2, len(ws))) GROUP BY entry""")
+def facet_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the entries that they belong to: a tenth has no specialty; the whole text stands for the anatomy, beginnings of the benchmark's items for the entries."""
+    words = F.split("text", " ")
+    entries = _table(spark, sf_dir, "benchmark").filter(F.size(words) > 1).select(F.concat(words[0], F.lit(" - "), words[1]).alias("entry"))
+    rows = _table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 > 0, F.concat("lang", F.lit(" > "), "source")).alias("specialty"), F.col("text").alias("anatomy"))
+    return R.facet_ontology(rows, entries)
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS warnings, count(*) FILTER (o_orderkey % 10 = 0) AS locked FROM orders")
 def warning_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.warning_counts(_mapping(spark, sf_dir))
