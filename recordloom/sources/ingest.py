@@ -157,7 +157,7 @@ def catalog(sheet: DataFrame, spec: Inspection, vocab: Vocabulary, target: bool
     """
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))) if i >= 0 else F.lit("")
     body = sheet.filter(F.col("row_no") > spec.header_row).withColumns({"name": nfc(cell(spec.name_col)), "code": cell(spec.code_col), "ordinal_text": cell(spec.ordinal_col)})
-    after = F.size(F.filter(F.slice("cells", spec.name_col + 2, 10_000), lambda c: F.trim(c) != "")) == 0
+    after = F.size(F.filter(F.slice("cells", spec.name_col + 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: F.trim(c) != "")) == 0
     head = chapter_header(F.col("name"), F.lit("") if target else F.col("ordinal_text"), F.col("code"), after, vocab.specialties)
     marked = body.withColumn("head", head)
     major = F.col("head").rlike(r"(?i)^([IVXLCDM]+[.:]|chương|chuong|phần|phan)")

@@ -9,20 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from recordloom.operators.match import link_prepared, prepared
+from recordloom.stored import Steps, materialize
 from recordloom.vocab import Vocabulary
 
 
 def link_stream(sources: DataFrame, targets: DataFrame, out: str, checkpoint: str, vocab: Vocabulary | None = None, threshold: float = 0.7, once: bool = False) -> StreamingQuery:
     """Start linking a stream of (q, name) to targets (idx, code, name); batch n is written to out/batch=n.
 
-    The catalog is taken apart once and cached; a batch's own cache goes when it is written.
+    The catalog is taken apart once and written down; a batch's own table goes when its result is written.
     """
-    catalog = prepared(targets, vocab).persist()
+    catalog = materialize(prepared(targets, vocab), "catalog")
 
     def each(batch: DataFrame, n: int) -> None:
-        asked = prepared(batch, vocab).persist()
-        link_prepared(asked, catalog, vocab, threshold).write.mode("overwrite").parquet(f"{out}/batch={n}")
-        asked.unpersist()
+        with Steps("batch") as steps:
+            link_prepared(steps.keep(prepared(batch, vocab)), catalog, vocab, threshold).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     writer = sources.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
