@@ -17,7 +17,6 @@ from recordloom.operators import results as R
 from recordloom.operators import review as V
 from recordloom.operators.fuzzy import distance_allows, overlapping
 from recordloom.operators.search import search
-from recordloom.sources import samples
 from recordloom.vocab import DEFAULT, spellings
 
 #: Source and matched names of the inline fixture (row_id, source, match in the first catalog, match in the second, scores).
@@ -74,8 +73,26 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("idx", F.concat(F.lit("P"), F.col("idx").cast("string")).alias("code"), F.col("p_name").alias("name"))
 
 
+#: What the words of a part's type and name stand for, so that every part has a procedure's name: type, second word, first word.
+ACTS = {"STANDARD": "Chăm sóc", "MEDIUM": "Phẫu thuật nội soi cắt", "PROMO": "Xét nghiệm", "LARGE": "Chụp x quang", "SMALL": "Khâu vết rách", "ECONOMY": "Phẫu thuật mo mo"}
+ORGANS = {"plate": "ống thông bàng quang", "rod": "mở thông dạ dày", "ring": "tử cung", "bolt": "khớp gối", "gear": "máu", "gizmo": "nước tiểu", "anvil": "gan", "widget": "bờ mi"}
+WAYS = {"small": "một bên", "blue": "hai bên", "cold": "có biến chứng", "new": "1 lần", "large": "nhiều lần", "red": "dưới hướng dẫn của siêu âm", "hot": "không biến chứng", "old": "tại giường"}
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as procedures (id, name), and the inline names under negative ids."""
+    said = lambda table, c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), c)
+    words = F.split("p_name", " ")
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", said(ACTS, F.col("p_type")), said(ORGANS, words[1]), said(WAYS, words[0])).alias("name"))
+    return parts.unionByName(spark.createDataFrame([(-i, n) for i, n in NAMES], "id long, name string"))
+
+
 LITE_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[*+\-,.\[\]():;/\\_\"''`~!?@#$%^&=]', ' ', 'g'), '\s+', ' ', 'g'))"
 TOKENS_SQL = "CASE WHEN len(list_filter(string_split({0}, ' '), lambda t: length(t) >= 2)) > 0 THEN list_filter(string_split({0}, ' '), lambda t: length(t) >= 2) ELSE list_filter(string_split({0}, ' '), lambda t: t <> '') END"
+_said_sql = lambda table, c: "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + f"}}[{c}], {c})"
+_PROC_SQL = f"""proc AS (SELECT p_partkey AS id, {_said_sql(ACTS, "p_type")} || ' ' || {_said_sql(ORGANS, "string_split(p_name, ' ')[2]")} || ' ' || {_said_sql(WAYS, "string_split(p_name, ' ')[1]")} AS name FROM part
+  UNION ALL SELECT -id, name FROM {_values(NAMES)} v(id, name))"""
+_LOWER_SQL = f"{_PROC_SQL}, lowered AS (SELECT id::BIGINT AS id, lower(name) AS clean FROM proc)"
 _NAMES_SQL = "names AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS name FROM part)"
 _HALVES_SQL = f"""src AS (SELECT q, name, {LITE_SQL.format("name")} AS clean FROM (SELECT p_partkey AS q, CASE WHEN p_size <= 10 THEN p_type || ' ' || p_name ELSE p_name || ' (' || p_type || '), size ' || p_size END AS name FROM part WHERE p_partkey % 2 = 0)),
 tgt AS (SELECT id AS idx, name, {LITE_SQL.format("name")} AS clean FROM (SELECT p_partkey AS id, p_type || ' ' || p_name AS name FROM part WHERE p_partkey % 2 = 1))"""
@@ -121,17 +138,30 @@ def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_text_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id long, name string").select("id", T.normalize(F.col("name"), DEFAULT).alias("clean"))
+    return _procedures(spark, sf_dir).select("id", T.normalize(F.col("name"), DEFAULT).alias("clean"))
 
 
-@query(f"SELECT id::BIGINT AS id, CASE WHEN regexp_full_match(upper(r), '[IVXLCDM]*') THEN list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i < length(r) AND v[i] < v[i + 1] THEN -v[i] ELSE v[i] END)) ELSE 0 END::BIGINT AS value FROM (SELECT id, r, list_transform(string_split(upper(r), ''), lambda c: coalesce(map {{'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100, 'D': 500, 'M': 1000}}[c], 0)) AS v FROM {_values(ROMANS[:6])} t(id, r)) UNION ALL SELECT 7, 0 UNION ALL SELECT 8, 0")
+@query(f"SELECT p_partkey AS id, p_size::BIGINT AS value FROM part UNION ALL SELECT -id, value FROM {_values([(i, v) for (i, _), v in zip(ROMANS, (1, 4, 9, 14, 1994, 42, 0, 0), strict=True)])} v(id, value)")
 def roman_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ROMANS, "id long, r string").select("id", T.roman_value(F.col("r")).cast("long").alias("value"))
+    """The values of parts' sizes (1 to 50) spelled as numerals, in either case; and of the inline ones."""
+    size = F.col("p_size")
+    tens, ones = (F.array(*map(F.lit, x.split(","))) for x in (",X,XX,XXX,XL,L", ",I,II,III,IV,V,VI,VII,VIII,IX"))
+    spelled = F.concat(F.get(tens, F.floor(size / 10).cast("int")), F.get(ones, (size % 10).cast("int")))
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, spelled).otherwise(F.lower(spelled)).alias("r"))
+    every = parts.unionByName(spark.createDataFrame([(-i, r) for i, r in ROMANS], "id long, r string"))
+    return every.select("id", T.roman_value(F.col("r")).cast("long").alias("value"))
+
 
+_ORDINALS_SQL = f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size || '.0' WHEN 2 THEN p_size || '.5 ' WHEN 3 THEN '-' || p_size ELSE p_name || chr(10) || p_size END FROM part UNION ALL SELECT -id, t FROM {_values(ORDINALS)} o(id, t)"""
 
-@query(rf"SELECT id::BIGINT AS id, CASE WHEN regexp_full_match(trim(t), '\d+(\.0+)?') THEN (trim(t)::DOUBLE::BIGINT)::VARCHAR ELSE trim(regexp_replace(trim(t), '[\r\n]+', ' ', 'g')) END AS shown, regexp_full_match(trim(t), '\d+(\.\d+)?') AND try_cast(trim(t) AS DOUBLE) > 0 AS numeric FROM {_values(ORDINALS)} v(id, t)")
+
+@query(rf"SELECT id::BIGINT AS id, CASE WHEN regexp_full_match(trim(t), '\d+(\.0+)?') THEN (trim(t)::DOUBLE::BIGINT)::VARCHAR ELSE trim(regexp_replace(trim(t), '[\r\n]+', ' ', 'g')) END AS shown, regexp_full_match(trim(t), '\d+(\.\d+)?') AND try_cast(trim(t) AS DOUBLE) > 0 AS numeric FROM ({_ORDINALS_SQL}) v(id, t)")
 def parse_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(ORDINALS, "id long, t string").select("id", T.parse_ordinal(F.col("t")).alias("shown"), T.is_ordinal(F.col("t")).alias("numeric"))
+    """The sizes of parts as cells of a catalog's first column, in five spellings; and the inline ones."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    cell = F.when(k % 5 == 0, size).when(k % 5 == 1, F.concat(size, F.lit(".0"))).when(k % 5 == 2, F.concat(size, F.lit(".5 "))).when(k % 5 == 3, F.concat(F.lit("-"), size)).otherwise(F.concat("p_name", F.lit("\n"), size))
+    cells = _table(spark, sf_dir, "part").select(k.alias("id"), cell.alias("t")).unionByName(spark.createDataFrame([(-i, t) for i, t in ORDINALS], "id long, t string"))
+    return cells.select("id", T.parse_ordinal(F.col("t")).alias("shown"), T.is_ordinal(F.col("t")).alias("numeric"))
 
 
 @query(f"WITH {_HALVES_SQL} SELECT q, coalesce(min(idx), -1) AS idx FROM src LEFT JOIN tgt ON tgt.clean = src.clean AND src.clean <> '' GROUP BY q")
@@ -313,10 +343,15 @@ def best_match_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inline names linked under the whole vocabulary: tags, barriers, composite score."""
-    src = spark.createDataFrame([(r[0], r[1]) for r in PAIRS if r[1]], "q long, name string")
-    tgt = spark.createDataFrame([(i, f"T{i}", n) for i, n in enumerate(dict.fromkeys(n for r in PAIRS for n in (r[2], r[3]) if n), 1)], "idx long, code string, name string")
-    return M.link(src, tgt, DEFAULT, threshold=0.5)
+    """Procedures of even parts linked to those of odd ones under the whole vocabulary: tags, barriers, composite score."""
+    return M.link(*_procedure_halves(spark, sf_dir), DEFAULT, threshold=0.5)
+
+
+def _procedure_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Procedures by parity as sources (q, name), told apart by their size, and targets (idx, code, name, size)."""
+    p = _procedures(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")), "id")
+    src = p.filter("id % 2 = 0").select(F.col("id").alias("q"), F.concat_ws(" ", F.lit("Kỹ thuật"), "name", (F.col("size") % 4).cast("string")).alias("name"))
+    return src, p.filter("id % 2 = 1").select(F.col("id").alias("idx"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("code"), "name", "size")
 
 
 @query()
@@ -328,8 +363,9 @@ def link_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def link_two_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample catalogs: both links, audited, combined."""
-    linked = M.link_catalogs(samples.sources(spark), samples.targets(spark), samples.targets(spark, second=True), DEFAULT, 0.6)
+    """Procedures linked to two catalogs, of smaller and of larger parts, in one pass; both links audited, combined."""
+    src, tgt = _procedure_halves(spark, sf_dir)
+    linked = M.link_catalogs(src, tgt.filter("size <= 25"), tgt.filter("size > 25"), DEFAULT, 0.6)
     both = A.audit_pair(A.audit_pair(linked, "name", "name_1", "score_1", "a"), "name", "name_2", "score_2", "b")
     return A.audit_row(both, "a", "b").select("q", "code_1", "score_1", "code_2", "score_2", "audit.severity", "audit.flag")
 
@@ -343,41 +379,67 @@ def _has_sql(c: str, terms: list[str]) -> str:
 
 _ANAT_SQL = "list_distinct(list_concat(" + ", ".join("list_filter([" + ", ".join(f"'{t}'" for t in DEFAULT.terms(c)) + "], lambda t: contains(' ' || clean || ' ', ' ' || t || ' '))" for c in _CATS) + "))"
 _CAT_SQL = "CASE " + " ".join(f"WHEN {_has_sql('clean', DEFAULT.terms(c))} THEN '{c}'" for c in _CATS) + " END"
-_LOWER_NAMES = [(i, n.lower()) for i, n in NAMES]
 
 
-@query(f"SELECT id::BIGINT AS id, array_to_string(list_sort({_ANAT_SQL}), '|') AS anatomy, coalesce({_CAT_SQL}, '') AS category, array_to_string(list_filter([{', '.join(repr(m) for m in spellings(DEFAULT.modifiers))}], lambda m: contains(' ' || clean || ' ', ' ' || m || ' ')), '|') AS modifiers FROM {_values(_LOWER_NAMES)} v(id, clean)")
+def _lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _procedures(spark, sf_dir).select("id", F.lower("name").alias("clean"))
+
+
+@query(f"WITH {_LOWER_SQL} SELECT id, array_to_string(list_sort({_ANAT_SQL}), '|') AS anatomy, coalesce({_CAT_SQL}, '') AS category, array_to_string(list_filter([{', '.join(repr(m) for m in spellings(DEFAULT.modifiers))}], lambda m: contains(' ' || clean || ' ', ' ' || m || ' ')), '|') AS modifiers FROM lowered")
 def decompose_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.decompose(spark.createDataFrame(_LOWER_NAMES, "id long, clean string"), "clean", DEFAULT)
+    rows = D.decompose(_lowered(spark, sf_dir), "clean", DEFAULT)
     return rows.select("id", F.array_join(F.array_sort("anatomy"), "|").alias("anatomy"), F.coalesce("category", F.lit("")).alias("category"), F.array_join("modifiers", "|").alias("modifiers"))
 
 
 @query()
 def decompose_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.decompose(spark.createDataFrame(NAMES, "id long, name string").withColumn("clean", T.normalize(F.col("name"), DEFAULT)), "clean", DEFAULT)
+    rows = D.decompose(_procedures(spark, sf_dir).withColumn("clean", T.normalize(F.col("name"), DEFAULT)), "clean", DEFAULT)
     return rows.select("id", "clean", F.array_join("actions", "|").alias("actions"), F.array_join("modalities", "|").alias("modalities"), F.coalesce("modality", F.lit("")).alias("modality"), "rest", "core")
 
 
-@query(f"""WITH n AS (SELECT id, {_ANAT_SQL} AS terms, {_CAT_SQL} AS cat FROM {_values(_LOWER_NAMES)} v(id, clean))
-SELECT a.id::BIGINT AS a, b.id::BIGINT AS b, CASE WHEN len(a.terms) = 0 OR len(b.terms) = 0 THEN 'GENERIC' WHEN len(list_filter(a.terms, lambda x: len(list_filter(b.terms, lambda y: contains(x, y) OR contains(y, x))) > 0)) > 0 THEN 'EXACT_MATCH' WHEN a.cat = b.cat THEN 'SAME_ORGAN_SYSTEM' ELSE 'SEVERE_CONFLICT' END AS status FROM n a JOIN n b ON a.id < b.id""")
-def anatomy_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = D.decompose(spark.createDataFrame(_LOWER_NAMES, "id long, clean string"), "clean", DEFAULT).select("id", "anatomy", "category")
-    pairs = n.alias("l").join(n.alias("r"), F.col("l.id") < F.col("r.id"))
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), D.anatomy_status(F.col("l.anatomy"), F.col("r.anatomy"), F.col("l.category"), F.col("r.category")).alias("status"))
+#: All orders as pairs of procedures (row_id, name, name_1, name_2, score_1, score_2): those of the parts of their first three lines, and the inline pairs under negative ids.
+_PAIRS_SQL = f"""{_PROC_SQL},
+lines AS (SELECT l_orderkey, min(l_partkey) FILTER (l_linenumber = 1) AS k0, min(l_partkey) FILTER (l_linenumber = 2) AS k1, min(l_partkey) FILTER (l_linenumber = 3) AS k2, min(l_quantity) FILTER (l_linenumber = 2) AS q1, min(l_quantity) FILTER (l_linenumber = 3) AS q2 FROM lineitem GROUP BY l_orderkey),
+pairs AS (SELECT o_orderkey AS row_id, coalesce(a.name, '') AS name, coalesce(b.name, '') AS name_1, coalesce(c.name, '') AS name_2, coalesce(q1 + 50, 0)::DOUBLE AS score_1, coalesce(q2 + 50, 0)::DOUBLE AS score_2
+  FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey LEFT JOIN proc a ON a.id = k0 LEFT JOIN proc b ON b.id = k1 LEFT JOIN proc c ON c.id = k2
+  UNION ALL SELECT -row_id::BIGINT, name, name_1, name_2, score_1, score_2 FROM {_values(PAIRS)} v(row_id, name, name_1, name_2, score_1, score_2))"""
 
 
-_MODS = [(i, m) for i, m in enumerate([*DEFAULT.modalities, None], 1)]
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same."""
+    at = lambda n, c: F.min(F.when(F.col("l_linenumber") == n, F.col(c)))
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(*(at(n + 1, "l_partkey").alias(f"k{n}") for n in range(3)), *(at(n + 1, "l_quantity").alias(f"q{n}") for n in (1, 2)))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id")).join(lines, "row_id", "left")
+    for n, name in enumerate(("name", "name_1", "name_2")):
+        rows = rows.join(_procedures(spark, sf_dir).select(F.col("id").alias(f"k{n}"), F.col("name").alias(name)), f"k{n}", "left").fillna("", [name])
+    score = lambda n: F.coalesce(F.col(f"q{n}") + 50, F.lit(0)).cast("double").alias(f"score_{n}")
+    inline = spark.createDataFrame([(-r[0], *r[1:]) for r in PAIRS], "row_id long, name string, name_1 string, name_2 string, score_1 double, score_2 double")
+    return rows.select("row_id", "name", "name_1", "name_2", score(1), score(2)).unionByName(inline)
 
 
-@query(f"""SELECT a.id::BIGINT AS a, b.id::BIGINT AS b, CASE WHEN a.m IS NULL OR b.m IS NULL THEN 'UNKNOWN' WHEN a.m = b.m THEN 'MATCH' WHEN (least(a.m, b.m), greatest(a.m, b.m)) IN ({', '.join(str(tuple(sorted(c))) for c in DEFAULT.conflicts)}) THEN 'CONFLICT' ELSE 'COMPATIBLE' END AS status FROM {_values(_MODS)} a(id, m) CROSS JOIN {_values(_MODS)} b(id, m)""")
-def modality_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.createDataFrame(_MODS, "id long, m string")
-    pairs = n.alias("a").join(n.alias("b"), F.lit(True))
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), D.modality_status(F.col("a.m"), F.col("b.m"), DEFAULT).alias("status"))
+@query(f"""WITH {_PAIRS_SQL}, parted AS (SELECT name, {_ANAT_SQL} AS terms, {_CAT_SQL} AS cat FROM (SELECT DISTINCT name, lower(name) AS clean FROM (SELECT name FROM pairs UNION ALL SELECT name_1 FROM pairs))),
+n AS (SELECT row_id, a.terms AS x, b.terms AS y, a.cat AS xc, b.cat AS yc FROM pairs JOIN parted a ON a.name = pairs.name JOIN parted b ON b.name = pairs.name_1)
+SELECT row_id, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 'GENERIC' WHEN len(list_filter(x, lambda s: len(list_filter(y, lambda t: contains(s, t) OR contains(t, s))) > 0)) > 0 THEN 'EXACT_MATCH' WHEN xc = yc THEN 'SAME_ORGAN_SYSTEM' ELSE 'SEVERE_CONFLICT' END AS status FROM n""")
+def anatomy_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organs of each order's first two procedures against each other."""
+    pairs = _pairs(spark, sf_dir).select("row_id", "name", "name_1")
+    names = pairs.select("name").union(pairs.select("name_1")).distinct().withColumn("clean", F.lower("name"))
+    parted = D.decompose(names, "clean", DEFAULT).select("name", "anatomy", "category")
+    side = lambda tag, on: parted.select(F.col("name").alias(on), F.col("anatomy").alias(f"{tag}_anatomy"), F.col("category").alias(f"{tag}_category"))
+    both = pairs.join(side("x", "name"), "name").join(side("y", "name_1"), "name_1")
+    return both.select("row_id", D.anatomy_status(F.col("x_anatomy"), F.col("y_anatomy"), F.col("x_category"), F.col("y_category")).alias("status"))
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIRS, "row_id long, name string, name_1 string, name_2 string, score_1 double, score_2 double")
+_MODS = list(DEFAULT.modalities)
+_MOD_SQL = "[" + ", ".join(f"'{m}'" for m in _MODS) + "][{0} % " + str(len(_MODS) + 1) + " + 1]"
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MOD_SQL.format("l_partkey")} AS a, {_MOD_SQL.format("l_suppkey")} AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a IS NULL OR b IS NULL THEN 'UNKNOWN' WHEN a = b THEN 'MATCH' WHEN (least(a, b), greatest(a, b)) IN ({', '.join(str(tuple(sorted(c))) for c in DEFAULT.conflicts)}) THEN 'CONFLICT' ELSE 'COMPATIBLE' END AS status FROM m""")
+def modality_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose part and supplier stand for kinds of procedure, or for none, by their keys."""
+    kind = lambda c: F.get(F.array(*map(F.lit, _MODS)), (F.col(c) % (len(_MODS) + 1)).cast("int"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", D.modality_status(kind("l_partkey"), kind("l_suppkey"), DEFAULT).alias("status"))
 
 
 def _w(c: str, alternatives: str) -> str:
@@ -385,7 +447,7 @@ def _w(c: str, alternatives: str) -> str:
 
 
 _SPEC = lambda c: "CASE " + " ".join(f"WHEN {_w(c, words)} THEN '{name}'" for name, words in A.SPECIMENS) + " END"
-_COMPL = A.COMPLICATED + "|nhiễm trùng"
+_COMPL = A.COMPLICATED_SOURCE
 _RULE_SQL = [
     ("care_or_surgery", "MISMATCH_INTERVENTION", f"CASE WHEN {_w('g', A.CARE)} AND {_w('t', A.SURGERY_TARGET)} AND NOT {_w('t', 'chăm sóc|cham soc')} THEN 'HIGH' WHEN {_w('g', A.SURGERY_SOURCE)} AND {_w('t', A.CARE_TARGET)} AND NOT {_w('t', 'mở thông|phẫu thuật|cắt')} THEN 'HIGH' END"),
     ("tube_or_ostomy", "MISMATCH_METHOD", "CASE WHEN contains(g, 'ống thông') AND contains(t, 'mở thông') AND NOT contains(g, 'mở thông') THEN 'HIGH' END"),
@@ -407,12 +469,9 @@ def _audit_sql(name: str, target: str, score: str) -> str:
   array_to_string(list_transform(h, lambda x: x.rule), '|') AS rules FROM {name}_h)"""
 
 
-_PAIRS_SQL = f"pairs AS (SELECT row_id::BIGINT AS row_id, name, name_1, name_2, score_1, score_2 FROM {_values(PAIRS)} v(row_id, name, name_1, name_2, score_1, score_2))"
-
-
 @query(f"WITH {_PAIRS_SQL}, {_audit_sql('a', 'name_1', 'score_1')} SELECT row_id, warning, type, severity, rules FROM a")
 def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.audit_pair(_pairs(spark), "name", "name_1", "score_1")
+    out = A.audit_pair(_pairs(spark, sf_dir), "name", "name_1", "score_1")
     return out.select("row_id", "audit.warning", "audit.type", "audit.severity", F.array_join("audit.details.rule", "|").alias("rules"))
 
 
@@ -421,19 +480,19 @@ SELECT row_id, a.warning OR b.warning AS warning, CASE WHEN a.warning THEN a.typ
 CASE WHEN a.warning AND b.warning THEN CASE WHEN a.severity = 'HIGH' OR b.severity = 'HIGH' THEN 'HIGH' ELSE 'MEDIUM' END WHEN a.warning THEN a.severity WHEN b.warning THEN b.severity ELSE 'SAFE' END AS severity,
 CASE WHEN a.warning AND b.warning THEN 'BOTH' WHEN a.warning THEN 'PL1' WHEN b.warning THEN 'PL2' ELSE 'NONE' END AS flag FROM a JOIN b USING (row_id)""")
 def audit_row_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = A.audit_pair(A.audit_pair(_pairs(spark), "name", "name_1", "score_1", "a"), "name", "name_2", "score_2", "b")
+    both = A.audit_pair(A.audit_pair(_pairs(spark, sf_dir), "name", "name_1", "score_1", "a"), "name", "name_2", "score_2", "b")
     return A.audit_row(both, "a", "b").select("row_id", "audit.warning", "audit.type", "audit.severity", "audit.flag")
 
 
 @query()
 def audit_rules_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.audit_pair(_pairs(spark), "name", "name_1", "score_1", boundary="unicode")
+    out = A.audit_pair(_pairs(spark, sf_dir), "name", "name_1", "score_1", boundary="unicode")
     return out.select("row_id", "audit.warning", "audit.type", "audit.severity", F.array_join("audit.details.rule", "|").alias("rules"))
 
 
 @query()
 def service_rules_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.service_audit(_pairs(spark).select("row_id", "name", "name_1", "name_2"), "name", "name_1", "name_2").select("row_id", "warning", "type", "severity", "rules", "flag")
+    return A.service_audit(_pairs(spark, sf_dir).select("row_id", "name", "name_1", "name_2"), "name", "name_1", "name_2").select("row_id", "warning", "type", "severity", "rules", "flag")
 
 
 def _first_hit_sql(i: int) -> tuple[str, str]:
@@ -448,7 +507,7 @@ _FIRST = [(*_first_hit_sql(i), *r[:3]) for i, r in enumerate(A.FIRST_HIT)]
 SELECT row_id, {' OR '.join(f'({c})' for c, *_ in _FIRST)} AS warning, CASE {' '.join(f"WHEN {c} THEN '{k}'" for c, _, _, k, _ in _FIRST)} ELSE 'NONE' END AS type, CASE {' '.join(f"WHEN {c} THEN '{s}'" for c, _, _, _, s in _FIRST)} ELSE 'SAFE' END AS severity,
 CASE {' '.join(f"WHEN {c} THEN '{n}'" for c, _, n, _, _ in _FIRST)} ELSE '' END AS rules, CASE {' '.join(f"WHEN {c} THEN {f}" for c, f, *_ in _FIRST)} ELSE 'NONE' END AS flag FROM l""")
 def service_rules_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.service_audit_first(_pairs(spark).select("row_id", "name", "name_1", "name_2"), "name", "name_1", "name_2").select("row_id", "warning", "type", "severity", "rules", "flag")
+    return A.service_audit_first(_pairs(spark, sf_dir).select("row_id", "name", "name_1", "name_2"), "name", "name_1", "name_2").select("row_id", "warning", "type", "severity", "rules", "flag")
 
 
 #: Queries as people type them (id, query).
@@ -560,9 +619,12 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page(_mapping(spark, sf_dir).select("row_id", "code"), 3, 50)
 
 
-@query(f"SELECT facet, count(*) AS n FROM (SELECT DISTINCT id, unnest([trim(coalesce(s, '')), trim(string_split(coalesce(s, ''), '>')[-1])]) AS facet FROM {_values(SPECIALTIES)} v(id, s)) WHERE facet <> '' GROUP BY facet")
+@query(f"SELECT facet, count(*) AS n FROM (SELECT DISTINCT id, unnest([trim(coalesce(s, '')), trim(string_split(coalesce(s, ''), '>')[-1])]) AS facet FROM (SELECT p_partkey AS id, CASE WHEN p_size % 7 > 0 THEN p_brand || ' > ' || p_type WHEN p_size % 2 = 0 THEN p_type END AS s FROM part UNION ALL SELECT -id, s FROM {_values(SPECIALTIES)} v(id, s))) WHERE facet <> '' GROUP BY facet")
 def facet_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.facet_specialties(spark.createDataFrame(SPECIALTIES, "id long, specialty string"))
+    """Brands and types of parts as two levels of a specialty, some with one level or none; and the inline ones."""
+    said = F.when(F.col("p_size") % 7 > 0, F.concat_ws(" > ", "p_brand", "p_type")).when(F.col("p_size") % 2 == 0, F.col("p_type"))
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), said.alias("specialty"))
+    return R.facet_specialties(parts.unionByName(spark.createDataFrame([(-i, x) for i, x in SPECIALTIES], "id long, specialty string")))
 
 
 #: A dimension whose keys stand for several members.
@@ -638,17 +700,16 @@ _N = len(PAIRS)
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as linked rows, their names those of the inline pairs in turn, audited."""
-    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % _N + 1).alias("row_id"), (F.col("o_orderkey") % 10 == 0).alias("is_locked"))
-    p = o.join(F.broadcast(_pairs(spark)), "row_id").drop("row_id").withColumnRenamed("id", "row_id")
+    """All orders as linked rows, their names those of the procedures of their first lines, audited."""
+    p = _pairs(spark, sf_dir).filter("row_id >= 0").withColumn("is_locked", F.col("row_id") % 10 == 0)
     none = lambda kind: F.lit(None).cast(kind)
     code = lambda n: F.when(F.col(f"name_{n}") != "", F.concat(F.lit(f"C{n}-"), (F.col("row_id") % _N).cast("string"))).otherwise("").alias(f"code_{n}")
     rows = p.select("row_id", F.concat(F.lit("S"), F.col("row_id").cast("string")).alias("code"), "name", code(1), "name_1", "score_1", none("string").alias("anatomy_1"), code(2), "name_2", "score_2", none("string").alias("anatomy_2"), "is_locked", F.lit(False).alias("is_manual_override"), none("string").alias("manual_note"), none("timestamp").alias("locked_at"))
     return V.audit_rows(rows)
 
 
-_LINKED_SQL = f"""{_PAIRS_SQL}, o AS (SELECT o_orderkey AS id, o_orderkey % {_N} + 1 AS p, o_orderkey % 10 = 0 AS is_locked FROM orders),
-l AS (SELECT id, p, is_locked, name, CASE WHEN name_1 <> '' THEN 'C1-' || id % {_N} ELSE '' END AS code_1, name_1, score_1, CASE WHEN name_2 <> '' THEN 'C2-' || id % {_N} ELSE '' END AS code_2, name_2, score_2 FROM o JOIN pairs ON pairs.row_id = o.p),
+_LINKED_SQL = f"""{_PAIRS_SQL},
+l AS (SELECT row_id AS id, row_id AS p, row_id % 10 = 0 AS is_locked, name, CASE WHEN name_1 <> '' THEN 'C1-' || row_id % {_N} ELSE '' END AS code_1, name_1, score_1, CASE WHEN name_2 <> '' THEN 'C2-' || row_id % {_N} ELSE '' END AS code_2, name_2, score_2 FROM pairs WHERE row_id >= 0),
 none AS (SELECT row_id, FALSE AS warning, 'NONE' AS type, 'SAFE' AS severity, '' AS rules FROM pairs)"""
 _BOTH_SQL = "CASE WHEN x.warning AND y.warning THEN CASE WHEN x.severity = 'HIGH' OR y.severity = 'HIGH' THEN 'HIGH' ELSE 'MEDIUM' END WHEN x.warning THEN x.severity WHEN y.warning THEN y.severity ELSE 'SAFE' END AS severity, CASE WHEN x.warning AND y.warning THEN 'BOTH' WHEN x.warning THEN 'PL1' WHEN y.warning THEN 'PL2' ELSE 'NONE' END AS flag"
 _SHOWN = ["row_id", "code_1", "name_1", "score_1", "code_2", "name_2", "score_2", "is_locked", "is_manual_override", "manual_note"]
@@ -714,14 +775,15 @@ def run_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMED = "map {" + ", ".join(f"'{c}': '{shown}'" for c, (shown, _) in DEFAULT.ontology.items()) + "}"
 
 
-@query(f"""WITH n AS (SELECT id, list_filter(c, lambda x, i: list_position(c, x) = i) AS terms, cat FROM (SELECT id, {_ANAT_SQL.removeprefix("list_distinct(").removesuffix(")")} AS c, {_CAT_SQL} AS cat FROM {_values(_LOWER_NAMES)} v(id, clean))),
-o AS (SELECT o_orderkey AS row_id, o_orderkey % {len(NAMES)} + 1 AS id, CASE WHEN o_orderstatus = 'F' THEN 'Chapter ' || o_orderpriority WHEN o_orderstatus = 'O' THEN '' END AS chapter FROM orders)
-SELECT row_id, coalesce(nullif(trim(chapter), ''), {_NAMED}[cat], 'Unclassified') AS specialty_label, CASE WHEN len(terms) > 0 THEN array_to_string(terms, ', ') END AS anatomy_label FROM o JOIN n USING (id)""")
+@query(f"""WITH {_PAIRS_SQL}, n AS (SELECT name, list_filter(c, lambda x, i: list_position(c, x) = i) AS terms, cat FROM (SELECT name, {_ANAT_SQL.removeprefix("list_distinct(").removesuffix(")")} AS c, {_CAT_SQL} AS cat FROM (SELECT DISTINCT name, lower(name) AS clean FROM pairs WHERE row_id >= 0))),
+o AS (SELECT o_orderkey AS row_id, name, CASE WHEN o_orderstatus = 'F' THEN 'Chapter ' || o_orderpriority WHEN o_orderstatus = 'O' THEN '' END AS chapter FROM orders JOIN pairs ON pairs.row_id = o_orderkey)
+SELECT row_id, coalesce(nullif(trim(chapter), ''), {_NAMED}[cat], 'Unclassified') AS specialty_label, CASE WHEN len(terms) > 0 THEN array_to_string(terms, ', ') END AS anatomy_label FROM o JOIN n USING (name)""")
 def review_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders, their names those of the inline catalog in turn, with the labels of specialty and anatomy."""
-    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") % len(NAMES) + 1).alias("id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Chapter "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", "").alias("chapter"))
-    names = D.decompose(spark.createDataFrame(_LOWER_NAMES, "id long, clean string"), "clean", DEFAULT).select("id", "anatomy", "category")
-    return V.labels(o.join(F.broadcast(names), "id"), DEFAULT).select("row_id", "specialty_label", "anatomy_label")
+    """Orders with the labels of specialty and anatomy of their first procedure."""
+    chapter = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Chapter "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", "")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), chapter.alias("chapter")).join(_pairs(spark, sf_dir).select("row_id", "name"), "row_id")
+    names = D.decompose(o.select("name").distinct().withColumn("clean", F.lower("name")), "clean", DEFAULT).select("name", "anatomy", "category")
+    return V.labels(o.join(names, "name"), DEFAULT).select("row_id", "specialty_label", "anatomy_label")
 
 
 @query("SELECT o_orderkey AS row_id, trim(o_orderpriority) AS extra_1, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 10 <> 0 THEN o_orderstatus ELSE '' END AS extra_2, CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0 THEN 'b' ELSE '' END AS extra_3, '' AS extra_4 FROM orders")
