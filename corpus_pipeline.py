@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import decontaminate, jaccard, language, pieces, secrets
-from recordloom.llm.storage import documents, materialize
+from recordloom.llm.storage import documents, materialize, release
 
 #: A document is rejected if the best language's calibrated probability is not this share of the way from 1 / languages to 1.
 LEAST_MARGIN = 0.2
@@ -57,7 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        read, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"pipeline-{i + 1}")
+            release(read)  # a table of the stage before, never the documents
     return docs
