@@ -69,11 +69,12 @@ def hits(text: Column, terms: Iterable[tuple[str, str]]) -> Column:
     made = trie(terms)
 
     @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.Series:
+    def find(texts: pd.Series, _: pd.Series) -> pd.Series:
         named = [{"kind": k, "phrase": p} for k, p in made.terms]
         return pd.Series([[named[n] for n in made.found(t)] for t in texts], dtype=object)
 
-    return find(text)
+    # named twice, the text is a column of its own to the planner, which can't take an expression with lambdas for an argument
+    return find(text, text)
 
 
 def of_kind(found: Column, kind: str) -> Column:

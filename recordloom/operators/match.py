@@ -235,10 +235,16 @@ def close_match(sources: DataFrame, targets: DataFrame, threshold: float = 0.7)
 
 
 def best_exhaustive(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, sequences: bool = True) -> DataFrame:
-    """(q, idx, score) over all pairs: the check of the blocked path, for small catalogs."""
-    src, tgt = prepared(sources, vocab), prepared(targets, vocab)
-    pairs = src.select("q").join(tgt.select("idx", F.row_number().over(W.orderBy("idx")).alias("rank")))
-    return pick(scored(pairs, src, tgt, vocab, threshold, sequences))
+    """(q, idx, score) of the best of all targets, whether they share a token or not.
+
+    Each distinct name is compared once, and names meet by the lengths that the length gate lets pass.
+    """
+    src, tgt = materialize(prepared(sources, vocab), "sources"), materialize(prepared(targets, vocab), "targets")
+    asked, heads = distinct_names(src, "q"), distinct_names(tgt, "idx")
+    near = asked.select("q", F.explode(S.lengths_within(F.length("clean"), S.gate_band(threshold))).alias("n"))
+    pairs = near.join(heads.select("idx", F.length("clean").alias("n"), F.col("idx").alias("rank")), "n").select("q", "idx", "rank")
+    best = pick(scored(pairs, asked, heads, vocab, threshold, sequences))
+    return src.select("q", "clean").join(asked.select("clean", F.col("q").alias("asked")), "clean").join(best.withColumnRenamed("q", "asked"), "asked").select("q", "idx", "score")
 
 
 def with_locks(fresh: DataFrame, locked: DataFrame, code: str = "code", name: str = "name", order: str = "row_id") -> DataFrame:

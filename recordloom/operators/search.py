@@ -10,13 +10,18 @@ Queries are composed (NFC) before they are compared, as catalogs are when they a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordloom.functions.decompose import decompose
 from recordloom.functions.similarity import sequence_ratio
 from recordloom.functions.text import clean_lite, grams, nfc, normalize, unaccent
 from recordloom.operators.fuzzy import distance_allows, overlapping
+from recordloom.operators.review import labels
+from recordloom.stored import Steps, materialize
 from recordloom.vocab import Vocabulary
 
 TOP = 15
@@ -39,9 +44,15 @@ def _place(tokens: Column, bare: Column, t: Column, b: Column) -> Column:
 
 def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabulary | None = None, fuzzy: bool = True) -> DataFrame:
     """(query_id, rank, idx, code, name, score, match_type) for queries (query_id, query) over items (idx, code, name)."""
+    with Steps("search") as steps:
+        return materialize(_search(queries, items, top, vocab, fuzzy, steps.keep), "search-found")
+
+
+def _search(queries: DataFrame, items: DataFrame, top: int, vocab: Vocabulary | None, fuzzy: bool, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     c = F.col
     q = _index(queries.withColumn("query", nfc("query")), "query", vocab).select("query_id", *(F.col(x).alias(f"q_{x}") for x in ("low", "clean", "bare", "toks", "bare_toks")))
-    i = _index(items, "name", vocab).withColumn("low_code", F.lower(F.coalesce("code", F.lit(""))))
+    q = stored(q)
+    i = stored(_index(items, "name", vocab).withColumn("low_code", F.lower(F.coalesce("code", F.lit("")))))
     first = F.substring_index(c("q_low"), " ", 1)
     gated = (F.length(first) >= 3) & (F.size("q_toks") >= 2)
     blank = c("q_low") == ""
@@ -55,7 +66,7 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
         named = i.groupBy("clean").agg(F.min("idx").alias("head"))
         near = overlapping(loose, named.select(c("head").alias("idx"), c("clean").alias("text")), FUZZY, LONGEST)
         met = met.unionByName(near.join(named.withColumnRenamed("head", "idx"), "idx").drop("idx").join(i.select("clean", "idx"), "clean").select(c("q").alias("query_id"), "idx"))
-    met = met.distinct()
+    met = stored(met.distinct())
     pairs = met.join(i, "idx").join(asked, "query_id")
     passes = ~gated | F.contains("low", first) | F.contains(unaccent(c("low")), unaccent(first)) | F.contains("low_code", c("q_low"))
     pairs = pairs.filter(passes)
@@ -98,6 +109,13 @@ def search(queries: DataFrame, items: DataFrame, top: int = TOP, vocab: Vocabula
     return found.unionByName(shown)
 
 
+def labelled(found: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """What search() found with the labels of its names: specialty_label and anatomy_label.  Only the found names are taken apart."""
+    names = found.select("name").distinct().withColumn("clean", normalize(F.col("name"), vocab)).withColumn("chapter", F.lit(None).cast("string"))
+    told = labels(decompose(names, "clean", vocab), vocab).select("name", "specialty_label", "anatomy_label")
+    return found.join(told, found["name"].eqNullSafe(told["name"]), "left").drop(told["name"])
+
+
 def _met(asked: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, idx): items with the first gram of one of a query's parts, in the name or the code."""
     head = lambda t: F.substring(t, 1, GRAM)

@@ -16,7 +16,7 @@ from recordloom.operators import match as M
 from recordloom.operators import results as R
 from recordloom.operators import review as V
 from recordloom.operators.fuzzy import distance_allows, overlapping
-from recordloom.operators.search import search
+from recordloom.operators.search import labelled, search
 from recordloom.vocab import DEFAULT, spellings
 
 #: Source and matched names of the inline fixture (row_id, source, match in the first catalog, match in the second, scores).
@@ -321,6 +321,24 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.link(src, tgt, threshold=0.6, sequences=False).select("q", "match_code", "match_score")
 
 
+@query(f"""WITH {_HALVES_SQL},
+gated AS (SELECT q, idx, {_LEV_SQL.format(0.35)} AS f, length(a.clean) >= 3 AND length(b.clean) >= 3 AS cores, {_LEV_SQL.format(0.25)} AS core FROM src a JOIN tgt b ON abs(length(a.clean) - length(b.clean)) / greatest(length(a.clean), length(b.clean)) <= 0.5),
+scored AS (SELECT q, idx, least(f * 0.50 + f * 0.25 + CASE WHEN cores THEN core ELSE 1.0 END * 0.25, 1.0) AS s FROM gated WHERE NOT cores OR core >= 0.35)
+SELECT q, idx, round(s, 6)::DOUBLE AS score FROM scored WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY s >= 0.98 DESC, CASE WHEN s >= 0.98 THEN idx END ASC NULLS LAST, s DESC, idx) = 1""")
+def best_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best target of every source among all, by edit distance: what the candidates stand in for."""
+    src, tgt = _halves(spark, sf_dir)
+    return M.best_exhaustive(src, tgt, threshold=0.6, sequences=False).select("q", "idx", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct first words of procedures searched in all of them, with the labels of what is found."""
+    items = _procedures(spark, sf_dir).select(F.col("id").alias("idx"), F.concat(F.lit("P"), F.col("id").cast("string")).alias("code"), "name")
+    asked = items.select(F.substring_index("name", " ", 3).alias("query")).distinct().select(F.xxhash64("query").alias("query_id"), "query")
+    return labelled(search(asked, items, vocab=DEFAULT), DEFAULT).select("query_id", "rank", "idx", "score", "match_type", "specialty_label", "anatomy_label")
+
+
 def _catalog_sql(k: int, size: str) -> str:
     one = _BEST_SQL.replace("FROM part WHERE p_partkey % 2 = 1", f"FROM part WHERE p_partkey % 2 = 1 AND {size}")
     return f"SELECT q, {k} AS catalog, match_code, match_score FROM ({one})"
