@@ -136,3 +136,15 @@ def test_no_host_is_blocked_for_what_another_did(spark, sf_dir):
     judged = urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     hosts = judged.filter("rule IS NOT NULL").select("host").distinct()
     assert judged.join(hosts, "host", "left_anti").filter(F.col("verdict") == "block").count() == 0
+
+
+def test_language_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    words = {"en": "the of and to", "de": "der die und zu"}
+    rows = [(i, f"{words[k]} {words[k]} {i}", k, "s", 0, 7.5, "mine", "own") for i, k in enumerate(["en", "de"] * 20)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, score double, lang_pred string, lang_ string")
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert len(kept) >= 35 and {(r.score, r.lang_pred, r.lang_) for r in kept} == {(7.5, "mine", "own")}
