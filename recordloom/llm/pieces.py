@@ -71,6 +71,7 @@ class Pieces:
             self.raw[i] = s.replace(MARK, " ").encode()
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
+        self.raw[self.unknown] = UNKNOWN_MARK
         self.longest = max(map(len, self.ids))
         built = {s: list(self.merge(s)) for s in self.ids}
         self.whole = {s: i for s, i in self.ids.items() if len(built[s][-1][0]) == 1}
@@ -199,9 +200,12 @@ class Pieces:
 
     def decode(self, ids: list[int | None]) -> str | None:
         """The text of ids; None if one of them is no id of the vocabulary."""
-        if any(i is None or not 0 <= i < len(self.raw) for i in ids):
+        try:
+            if ids and min(ids) < 0:
+                return None
+            raw = b"".join(map(self.raw.__getitem__, ids))
+        except (IndexError, TypeError):
             return None
-        raw = b"".join(UNKNOWN_MARK if i == self.unknown else self.raw[i] for i in ids)
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
