@@ -165,9 +165,9 @@ def report_text(rows: DataFrame, lines: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\n", *(F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{label}: "), v)) for label, v in lines))
 
 
-def resolve_edits(rows: DataFrame, edits: DataFrame, columns: list[str], key: str = "row_id", seq: str = "edit_seq") -> DataFrame:
-    """rows with the last edit of each applied: a null in an edit leaves the value, others replace it."""
-    last = edits.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq)))).filter("__n = 1").select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+def resolve_edits(rows: DataFrame, edits: DataFrame, columns: list[str], key: str = "row_id", seq: str = "edit_seq", ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the last edit of each applied: a null in an edit leaves the value, others replace it.  Of edits with equal seq the first by ties counts; without ties seq must tell them apart."""
+    last = edits.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq), *ties))).filter("__n = 1").select(key, *(F.col(c).alias(f"__{c}") for c in columns))
     return rows.join(last, key, "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 

@@ -686,8 +686,10 @@ def lock_preserving_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey AS row_id, coalesce(last.s, o_orderstatus) AS status, o_orderpriority AS priority FROM orders LEFT JOIN last ON last.row_id = o_orderkey""")
 def edit_log_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
-    edits = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("edit_seq"), F.col("l_returnflag").alias("status"))
-    return R.resolve_edits(rows, edits, ["status"])
+    # an order may have several lines of one number: the first in the table counts, as it does in the SQL read by one thread
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    edits = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("edit_seq"), F.col("l_returnflag").alias("status"), *place)
+    return R.resolve_edits(rows, edits, ["status"], ties=("file", "at"))
 
 
 @query("SELECT c_custkey, trim(string_split(c_name, '#')[2]) AS extra_1, '' AS extra_2 FROM customer")
