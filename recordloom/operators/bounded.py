@@ -54,7 +54,8 @@ def lists(index: DataFrame, sizes: DataFrame, stored: Stored) -> tuple[DataFrame
     at = frequent.filter("NOT long").select("idx", "n", "toks", F.posexplode("toks").alias("last", "t")).select("idx", "n", "toks", "last", F.col("t.token").alias("key"), F.lit(1).alias("level"))
     for _ in range(1, LEVELS):
         at = _longer(at, F.col("idx"), F.col("n")).drop("added")
-        at = stored(at.join(_statistics(at).select("key", "names"), "key"))
+        # rows that carry all tokens of their name are never broadcast: the planner takes them for what the names take on disk
+        at = stored(at.hint("merge").join(_statistics(at).select("key", "names"), "key"))
         found.append(at.select("key", "idx", "names"))
         counts.append(_statistics(at.drop("names")))
         at = at.filter(F.col("names") > SHORT).drop("names")
@@ -74,7 +75,7 @@ def keys(probes: DataFrame, counts: DataFrame, top: int, stored: Stored) -> tupl
     for _ in range(1, LEVELS):
         grown = _longer(levels[-1].filter((F.col("names") > SHORT) & ~F.col("alone")), F.col("q"), F.col("w"), F.col("pos"), F.col("alone"))
         grown = grown.select("q", "toks", "last", "key", "level", (F.col("w") + F.col("added.w")).alias("w"), F.least("pos", "added.pos").alias("pos"), value.alias("parent"), "alone")
-        levels.append(grown.join(counts, "key").select(*first.columns))
+        levels.append(grown.hint("merge").join(counts, "key").select(*first.columns))
     every = reduce(DataFrame.unionByName, levels)
     most = F.struct((F.col("w") + tail(F.col("last"), lambda s, t: s + t["w"], F.lit(0).cast("long"))).alias("w"), (-F.least("pos", tail(F.col("last"), lambda s, t: F.least(s, t["pos"]), F.lit(1 << 30)))).alias("before"))
     every = stored(every.select("q", "key", "level", "names", "rows", "parent", "alone", value.alias("own"), most.alias("most")))

@@ -10,6 +10,8 @@ name that many rows share is one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,12 +21,14 @@ from recordloom.functions import similarity as S
 from recordloom.functions.text import clean_lite, normalize, one_decimal, tokens
 from recordloom.operators.bounded import meet
 from recordloom.operators.fuzzy import distance_allows, overlapping
-from recordloom.stored import materialize
+from recordloom.stored import Steps, materialize
 from recordloom.vocab import Vocabulary
 
 TOP, FALLBACK, BAND, SURE = 50, 40, 0.35, 0.98
 #: Weights of probes: a token, an anatomy term, the category, the modality, the core.
 WEIGHTS = {"token": 1, "anatomy": 8, "category": 4, "modality": 5, "core": 10}
+#: Names that a task takes apart; rows beyond which a table isn't broadcast, however small it is on disk, where names repeat.
+NAMES, MANY = 1000, 200_000
 
 
 def prepared(rows: DataFrame, vocab: Vocabulary | None = None, name: str = "name") -> DataFrame:
@@ -35,6 +39,27 @@ def prepared(rows: DataFrame, vocab: Vocabulary | None = None, name: str = "name
     return D.decompose(rows.withColumn("clean", normalize(F.col(name), vocab)), "clean", vocab)
 
 
+def taken_apart(rows: DataFrame, how: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """rows with the columns that how adds to a table of names, written down: each distinct name goes through it once."""
+    with Steps(label) as steps:
+        names = steps.keep(rows.select("name").distinct())
+        n = names.count()
+        parts = steps.keep(how(names.repartition(-(-n // NAMES) or 1, "name")).withColumnRenamed("name", "__name"))
+        told = parts.hint("merge") if n > MANY else parts
+        return materialize(rows.join(told, F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name"), label)
+
+
+def _kept(rows: DataFrame, vocab: Vocabulary | None, label: str) -> DataFrame:
+    """prepared() rows, written down."""
+    return taken_apart(rows, lambda names: prepared(names, vocab), label) if vocab else materialize(prepared(rows), label)
+
+
+def _by_merge(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What keeps tables with as many rows as these from being broadcast, if there are many: the planner sees only what they take on disk."""
+    many = rows.count() > MANY
+    return lambda table: table.hint("merge") if many else table
+
+
 def dedupe_first(targets: DataFrame, key: str = "clean", order: str = "idx") -> DataFrame:
     """One row of each key: the first in order."""
     return targets.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
@@ -152,12 +177,14 @@ def pick(pairs: DataFrame) -> DataFrame:
 def link(sources: DataFrame, targets: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True) -> DataFrame:
     """(q, name, match_code, match_name, match_score): one row a source; unmatched is empty with score 0."""
     # each is read in several places: names are taken apart once
-    return link_prepared(materialize(prepared(sources, vocab), "sources"), materialize(prepared(targets, vocab), "targets"), vocab, threshold, tags, sequences)
+    return link_prepared(_kept(sources, vocab, "sources"), _kept(targets, vocab, "targets"), vocab, threshold, tags, sequences)
 
 
 def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = None, threshold: float = 0.7, tags: bool = True, sequences: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """link() of prepared sources and targets; with by, q and idx are unique over all catalogs."""
     tags = tags and vocab is not None
+    each, any_target = _by_merge(src), _by_merge(tgt)
+    src, tgt = each(src), any_target(tgt)
     exact = exact_link(src, tgt, by)
     left = src.join(exact, "q", "left_anti")
     asked, heads = distinct_names(left, "q", by), distinct_names(tgt, "idx", by)
@@ -167,22 +194,25 @@ def link_prepared(src: DataFrame, tgt: DataFrame, vocab: Vocabulary | None = Non
     pairs = near.unionByName(length_band(alone, tgt, by=by)).join(heads.select("idx"), "idx", "left_semi")
     best = pick(scored(pairs, asked, heads, vocab, threshold, sequences)).filter(F.col("score") >= threshold)
     answered = asked.select("q", "clean", *by).join(best, "q").drop("q")
-    found = exact.withColumn("score", F.lit(1.0)).unionByName(left.select("q", "clean", *by).join(answered, ["clean", *by]).select("q", "idx", "score"))
+    found = exact.withColumn("score", F.lit(1.0)).unionByName(each(left.select("q", "clean", *by)).join(answered, ["clean", *by]).select("q", "idx", "score"))
     named = found.join(tgt.select("idx", F.col("code").alias("match_code"), F.col("name").alias("match_name")), "idx")
     return src.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(one_decimal(F.col("score")), F.lit(0.0)).alias("match_score"))
 
 
 def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, threshold: float = 0.7, tags: bool = True) -> DataFrame:
     """The light profile: lite cleaning, targets distinct by clean name, weights of tokens, anatomy and category only, sequence ratios with their popularity heuristic, anatomy as the only barrier."""
-    parts = lambda rows: D.decompose(rows.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
-    src, tgt = materialize(parts(sources), "sources"), materialize(dedupe_first(parts(targets)), "targets")
+    parts = lambda names: D.decompose(names.withColumn("clean", clean_lite(F.col("name"))), "clean", vocab)
+    src, tgt = taken_apart(sources, parts, "sources"), materialize(dedupe_first(taken_apart(targets, parts, "targets")), "targets")
+    each, any_target = _by_merge(src), _by_merge(tgt)
+    src, tgt = each(src), any_target(tgt)
     exact = exact_link(src, tgt)
     left = src.join(exact, "q", "left_anti").filter("clean <> ''")
+    asked = materialize(distinct_names(left, "q"), "asked")
     plain = {"modality": F.lit(None).cast("string"), "core": F.lit("")}
-    near = candidates(left.withColumns(plain), postings(tgt.withColumns(plain), tags), tags).select("q", "idx", "rank")
-    pairs = near.unionByName(length_band(left.join(near.select("q").distinct(), "q", "left_anti"), tgt))
+    near = candidates(asked.withColumns(plain), postings(tgt.withColumns(plain), tags), tags).select("q", "idx", "rank")
+    pairs = near.unionByName(length_band(asked.join(near.select("q").distinct(), "q", "left_anti"), tgt))
     names = ["clean", "anatomy", "category", "rest"]
-    both = pairs.join(left.select("q", *(F.col(c).alias(f"a_{c}") for c in names)), "q").join(tgt.select("idx", *(F.col(c).alias(f"b_{c}") for c in names)), "idx")
+    both = pairs.join(asked.select("q", *(F.col(c).alias(f"a_{c}") for c in names)), "q").join(tgt.select("idx", *(F.col(c).alias(f"b_{c}") for c in names)), "idx")
     c = F.col
     none_a, none_b = F.size("a_anatomy") == 0, F.size("b_anatomy") == 0
     status = F.when(none_a | none_b, "GENERIC").when(F.arrays_overlap("a_anatomy", "b_anatomy"), "EXACT_MATCH").when(c("a_category") == c("b_category"), "SAME_ORGAN_SYSTEM").otherwise("SEVERE_CONFLICT")
@@ -191,7 +221,8 @@ def link_lite(sources: DataFrame, targets: DataFrame, vocab: Vocabulary, thresho
     tech = F.when((c("a_rest") != "") & (c("b_rest") != ""), c("techs")).otherwise(c("full"))
     factor = D.anatomy_factor(c("a_anatomy"), c("b_anatomy")) if tags else F.lit(1.0)
     best = pick(both.select("q", "idx", "rank", S.composite_lite(c("status"), factor, c("full"), tech).alias("score")).filter("score > 0")).filter(c("score") >= threshold)
-    named = exact.withColumn("score", F.lit(1.0)).unionByName(best).join(tgt.select("idx", c("code").alias("match_code"), c("name").alias("match_name")), "idx")
+    answered = each(left.select("q", "clean")).join(asked.select("clean", c("q").alias("__q")).join(best.withColumnRenamed("q", "__q"), "__q"), "clean").select("q", "idx", "score")
+    named = exact.withColumn("score", F.lit(1.0)).unionByName(answered).join(tgt.select("idx", c("code").alias("match_code"), c("name").alias("match_name")), "idx")
     return sources.select("q", "name").join(named.drop("idx"), "q", "left").select("q", "name", F.coalesce("match_code", F.lit("")).alias("match_code"), F.coalesce("match_name", F.lit("")).alias("match_name"), F.coalesce(F.bround(c("score") * 100, 1), F.lit(0.0)).alias("match_score"))
 
 
@@ -201,9 +232,9 @@ def link_stacked(sources: DataFrame, targets: DataFrame, catalogs: list, vocab:
     Names are taken apart once, and all catalogs share one candidate stage: tokens are those of a catalog.
     """
     by = ("catalog",)
-    whole = materialize(prepared(sources, vocab), "sources")
+    whole = _kept(sources, vocab, "sources")
     src = whole.withColumn("catalog", F.explode(F.array(*map(F.lit, catalogs)))).withColumn("q", F.struct("q", "catalog"))
-    tgt = materialize(prepared(targets, vocab).withColumn("idx", F.struct("idx", "catalog")), "targets")
+    tgt = _kept(targets.withColumn("idx", F.struct("idx", "catalog")), vocab, "targets")
     linked = link_prepared(src, tgt, vocab, threshold, sequences=sequences, by=by)
     return linked.select("q.q", "q.catalog", "name", "match_code", "match_name", "match_score")
 
@@ -239,7 +270,7 @@ def best_exhaustive(sources: DataFrame, targets: DataFrame, vocab: Vocabulary |
 
     Each distinct name is compared once, and names meet by the lengths that the length gate lets pass.
     """
-    src, tgt = materialize(prepared(sources, vocab), "sources"), materialize(prepared(targets, vocab), "targets")
+    src, tgt = _kept(sources, vocab, "sources"), _kept(targets, vocab, "targets")
     asked, heads = distinct_names(src, "q"), distinct_names(tgt, "idx")
     near = asked.select("q", F.explode(S.lengths_within(F.length("clean"), S.gate_band(threshold))).alias("n"))
     pairs = near.join(heads.select("idx", F.length("clean").alias("n"), F.col("idx").alias("rank")), "n").select("q", "idx", "rank")

@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from recordloom.operators import match as M
 from recordloom.operators import review as V
 from recordloom.vocab import DEFAULT
 
@@ -39,3 +40,32 @@ def test_audit_with_a_vocabulary_takes_each_name_apart_once(spark, monkeypatch):
     for r in got:
         *row, rules, severity, flag = base[r.row_id % 5]
         assert list(r[1:6]) == row and [d.rule for d in r.audit.details] == rules and (r.audit.severity, r.audit.flag) == (severity, flag)
+
+
+TARGETS = [(10, "a", "Khâu vết rách bờ mi hai bên"), (11, "b", "Phẫu thuật cắt gan"), (12, "c", "Phẫu thuật cắt gan"), (13, "d", "Xét nghiệm máu nhiều lần")]
+ASKED = {"Khâu vết rách bờ mi một bên": "a", "phẫu thuật, cắt gan": "b", "Xét nghiệm máu lần": "d", "***": ""}
+
+
+def _repeated(spark, times=100):
+    """Few names, many sources."""
+    return spark.createDataFrame([(i, list(ASKED)[i % 4]) for i in range(4 * times)], "q long, name string"), spark.createDataFrame(TARGETS, "idx long, code string, name string")
+
+
+def test_light_links_meet_each_name_once(spark, monkeypatch):
+    asked, taken, candidates, decompose = [], [], M.candidates, M.D.decompose
+    monkeypatch.setattr(M, "candidates", lambda sources, *rest, **named: asked.append(sources.count()) or candidates(sources, *rest, **named))
+    monkeypatch.setattr(M.D, "decompose", lambda df, *rest: taken.append(df.count()) or decompose(df, *rest))
+    got = M.link_lite(*_repeated(spark), DEFAULT, 0.5).collect()
+    assert sum(asked) <= 3 and sum(taken) <= 7 and len(got) == 400
+    assert {(r.name, r.match_code) for r in got} == set(ASKED.items())
+
+
+def test_rows_of_large_links_are_not_broadcast(spark, monkeypatch):
+    want = {tuple(r) for r in M.link(*_repeated(spark), DEFAULT, 0.5).collect()}
+    monkeypatch.setattr(M, "MANY", 3)
+    for made in (M.link, M.link_lite):
+        found = made(*_repeated(spark), DEFAULT, 0.5)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("strategy=merge") >= 3
+        if made is M.link:
+            assert {tuple(r) for r in found.collect()} == want
