@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +22,8 @@ from recordloom.stored import Steps, materialize
 
 #: Characters by which labels meet the names of entries.
 GRAM = 3
+#: Entries whose names make an automaton; more are joined.
+ENTRIES = 10_000
 STATUS = {
     "all": lambda: F.lit(True),
     "warning_only": lambda: F.coalesce(F.col("warning"), F.lit(False)),
@@ -77,33 +82,105 @@ def _ontology_matches(s: Column, a: Column, w: Column) -> Column:
     return F.contains(s, w) | F.contains(w, s) | F.contains(a, w) | ((F.size(words) > 0) & (shared >= F.least(F.lit(2), F.size(words))))
 
 
-def facet_ontology(rows: DataFrame, entries: DataFrame, specialty: str = "specialty", anatomy: str = "anatomy", entry: str = "entry") -> DataFrame:
+def facet_ontology(rows: DataFrame, entries: DataFrame, specialty: str = "specialty", anatomy: str = "anatomy", entry: str = "entry", most: int = ENTRIES) -> DataFrame:
     """(entry, n): how many rows belong to each entry (distinct names) by specialty_matches(ontology=True); those without rows are left out.
 
-    Labels are counted before they are met.  Whatever matches has the beginning of the name or of one of its words within
-    the row's label, or the label's beginning within the name: three characters or, of shorter ones, all.  So rows
-    and entries meet by equality of such grams, and only those pairs are compared.  Rows whose label is empty belong to
+    At most `most` entries, which are counted, make one automaton of their names and words: each label is read once, where it
+    is, and only counts are dealt out.  More entries are met by equality of grams.  Rows whose label is empty belong to
     every entry and are counted once for all.
     """
     s, a, w = plain_label(F.col(specialty)), plain_label(F.col(anatomy)), plain_label(F.col(entry))
     given = rows.filter((F.coalesce(specialty, F.lit("")) != "") | (F.coalesce(anatomy, F.lit("")) != ""))
-    labels = given.select(s.alias("s"), a.alias("a")).groupBy("s", "a").agg(F.count("*").alias("n"))
     with Steps("facets") as steps:
-        known = steps.keep(labels.filter("s <> ''").withColumn("id", F.xxhash64("s", "a")))
         names = steps.keep(entries.select(F.col(entry).alias("entry"), w.alias("w")).distinct())
-        head = lambda c: F.substring(c, 1, GRAM)
-        heads = F.array_distinct(F.concat(F.array(head("w")), F.transform(F.filter(F.split("w", " "), lambda x: F.length(x) >= 3), head)))
-        by_entry = names.select("entry", "w", F.explode(heads).alias("gram")).join(known.select("s", "a", F.explode(F.array_union(grams(F.col("s")), grams(F.col("a")))).alias("gram")), "gram")
-        by_label = known.select("s", "a", head("s").alias("gram")).join(names.select("entry", "w", F.explode(grams(F.col("w"))).alias("gram")), "gram")
-        met = by_entry.unionByName(by_label).select("entry", "w", "s", "a").distinct().filter(_ontology_matches(F.col("s"), F.col("a"), F.col("w")))
-        counted = met.join(known.select("s", "a", "n"), ["s", "a"]).groupBy("entry").agg(F.sum("n").alias("n"))
-        # one row: rows that belong to every entry; and a name without letters is within every label
-        all_rows = labels.agg(F.sum(F.when(F.col("s") == "", F.col("n"))).alias("unnamed"), F.sum("n").alias("every"))
-        joined = names.join(counted, "entry", "left").join(F.broadcast(all_rows))
-        found = joined.select("entry", F.when(F.col("w") == "", F.col("every")).otherwise(F.coalesce("n", F.lit(0)) + F.coalesce("unnamed", F.lit(0))).alias("n"))
+        listed = names.filter("w <> ''").select("w").distinct().limit(most + 1).collect()
+        if len(listed) <= most:
+            found = _read_once(given.select(s.alias("s"), a.alias("a")), names, [r.w for r in listed])
+        else:
+            found = _met_by_grams(given.select(s.alias("s"), a.alias("a")), names, steps)
         return materialize(found.filter("n > 0"), "facet-counts")
 
 
+def _read_once(labels: DataFrame, names: DataFrame, listed: list[str]) -> DataFrame:
+    """(entry, n) of plain labels (s, a) and names (entry, w), whose distinct w are listed."""
+
+    @F.pandas_udf("array<int>")
+    def belongs(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        entries = Entries(listed)
+        for specialties, anatomies in parts:
+            yield pd.Series([entries.of(x, y) for x, y in zip(specialties, anatomies, strict=True)], dtype=object)
+
+    none, every = -1, -2  # rows whose label is empty; all rows
+    told = F.when(F.col("s") == "", F.array(F.lit(none), F.lit(every))).otherwise(F.array_append("of", F.lit(every)))
+    counts = labels.withColumn("of", belongs(F.when(F.col("s") != "", F.col("s")), F.when(F.col("s") != "", F.col("a")))).select(F.explode(told).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    n = {r.k: r.n for r in counts.collect()}  # a row an entry at most
+    spark = names.sparkSession
+    by_name = spark.createDataFrame([(w, n.get(k, 0) + n.get(none, 0)) for k, w in enumerate(listed)] + [("", n.get(every, 0))], "w string, n long")
+    return names.join(by_name, "w").select("entry", "n")
+
+
+class Entries:
+    """Plain names (distinct, not empty) found in labels: all names and their words by one automaton."""
+
+    def __init__(self, names: list[str]) -> None:
+        import ahocorasick
+
+        self.names, self.near = names, {}
+        self.whole = {w: k for k, w in enumerate(names)}
+        self.words: dict[str, list[tuple[int, int]]] = {}  # (name, how often it has the word)
+        self.least: list[int] = []
+        for k, w in enumerate(names):
+            counted = Counter(x for x in w.split(" ") if len(x) >= 3)
+            self.least.append(min(2, counted.total()))
+            for x, times in counted.items():
+                self.words.setdefault(x, []).append((k, times))
+        self.found = ahocorasick.Automaton()
+        for x in {*self.whole, *self.words}:
+            self.found.add_word(x, x)
+        self.found.make_automaton()
+
+    def of(self, s: str | None, a: str | None) -> list[int]:
+        """The names that a label belongs to; of none if it is empty."""
+        if not s or not self.names:
+            return []
+        if s not in self.near:
+            if len(self.near) > 10_000:
+                self.near.clear()
+            self.near[s] = ({x for _, x in self.found.iter(s)}, [k for k, w in enumerate(self.names) if s in w])
+        said, within = self.near[s]
+        said = said | {x for _, x in self.found.iter(a or "")}
+        out, shared = set(within), Counter()
+        for x in said:
+            if x in self.whole:
+                out.add(self.whole[x])
+            for k, times in self.words.get(x, ()):
+                shared[k] += times
+        out.update(k for k, times in shared.items() if times >= self.least[k])
+        return sorted(out)
+
+
+def _met_by_grams(labels: DataFrame, names: DataFrame, steps: Steps) -> DataFrame:
+    """The same for any number of names.
+
+    Whatever matches has the beginning of the name or of one of its words within the row's label, or the label's beginning
+    within the name: three characters or, of shorter ones, all.  So labels, counted before, and names meet by equality of
+    such grams, under their ids; only the names that a label has met are compared with it.
+    """
+    every = labels.groupBy("s", "a").agg(F.count("*").alias("n"))
+    known = steps.keep(every.filter("s <> ''").withColumn("id", F.expr("uuid()")))
+    head = lambda c: F.substring(c, 1, GRAM)
+    heads = F.array_distinct(F.concat(F.array(head("w")), F.transform(F.filter(F.split("w", " "), lambda x: F.length(x) >= 3), head)))
+    by_entry = names.select("entry", F.explode(heads).alias("gram")).join(known.select("id", F.explode(F.array_union(grams(F.col("s")), grams(F.col("a")))).alias("gram")), "gram")
+    by_label = known.select("id", head("s").alias("gram")).join(names.select("entry", F.explode(grams(F.col("w"))).alias("gram")), "gram")
+    met = by_entry.unionByName(by_label).select("entry", "id").distinct().join(names, "entry").groupBy("id").agg(F.collect_list(F.struct("entry", "w")).alias("met"))
+    compared = known.join(met, "id").select("n", F.explode(F.filter("met", lambda x: _ontology_matches(F.col("s"), F.col("a"), x["w"]))).alias("x"))
+    counted = compared.groupBy("x.entry").agg(F.sum("n").alias("n"))
+    # one row: rows that belong to every entry; and a name without letters is within every label
+    all_rows = labels.agg(F.count_if(F.col("s") == "").alias("unnamed"), F.count("*").alias("every"))
+    joined = names.join(counted, "entry", "left").join(F.broadcast(all_rows))
+    return joined.select("entry", F.when(F.col("w") == "", F.col("every")).otherwise(F.coalesce("n", F.lit(0)) + F.col("unnamed")).alias("n"))
+
+
 def page(rows: DataFrame, number: int, size: int = 25, order: str = "row_id") -> DataFrame:
     """The page of that number, from 1; past the end the last one."""
     last = max(1, -(-rows.count() // size))

@@ -79,12 +79,16 @@ ORGANS = {"plate": "ống thông bàng quang", "rod": "mở thông dạ dày", "
 WAYS = {"small": "một bên", "blue": "hai bên", "cold": "có biến chứng", "new": "1 lần", "large": "nhiều lần", "red": "dưới hướng dẫn của siêu âm", "hot": "không biến chứng", "old": "tại giường"}
 
 
-def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts as procedures (id, name), and the inline names under negative ids."""
+def _procedures_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as procedures (id, name, size)."""
     said = lambda table, c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c), c)
     words = F.split("p_name", " ")
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", said(ACTS, F.col("p_type")), said(ORGANS, words[1]), said(WAYS, words[0])).alias("name"))
-    return parts.unionByName(spark.createDataFrame([(-i, n) for i, n in NAMES], "id long, name string"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", said(ACTS, F.col("p_type")), said(ORGANS, words[1]), said(WAYS, words[0])).alias("name"), F.col("p_size").alias("size"))
+
+
+def _procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as procedures (id, name), and the inline names under negative ids."""
+    return _procedures_of_parts(spark, sf_dir).drop("size").unionByName(spark.createDataFrame([(-i, n) for i, n in NAMES], "id long, name string"))
 
 
 LITE_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[*+\-,.\[\]():;/\\_\"''`~!?@#$%^&=]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -367,7 +371,7 @@ def link_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _procedure_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Procedures by parity as sources (q, name), told apart by their size, and targets (idx, code, name, size)."""
-    p = _procedures(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("size")), "id")
+    p = _procedures_of_parts(spark, sf_dir)
     src = p.filter("id % 2 = 0").select(F.col("id").alias("q"), F.concat_ws(" ", F.lit("Kỹ thuật"), "name", (F.col("size") % 4).cast("string")).alias("name"))
     return src, p.filter("id % 2 = 1").select(F.col("id").alias("idx"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("code"), "name", "size")
 

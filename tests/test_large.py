@@ -1,9 +1,13 @@
 """What only larger tables bring up: ties over many files, repeated names, long texts."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from recordloom.operators import match as M
+from recordloom.operators import results as R
 from recordloom.operators import review as V
 from recordloom.vocab import DEFAULT
 
@@ -69,3 +73,19 @@ def test_rows_of_large_links_are_not_broadcast(spark, monkeypatch):
         assert plan.count("strategy=merge") >= 3
         if made is M.link:
             assert {tuple(r) for r in found.collect()} == want
+
+
+def test_facets_keep_no_copies_of_the_texts(spark, monkeypatch):
+    """Entries are found where the texts are; those beyond a number are met under ids, with the same counts."""
+    rnd, letters = random.Random(4), ["aba", "bab", "ab", "cab cab", "a", "đa", "b-c", "cabab", ""]
+    text = lambda most: " ".join(rnd.choice(letters) for _ in range(rnd.randint(0, most)))
+    labels = [(rnd.choice([None, "", "-", text(2)]), rnd.choice([None, text(12)])) for _ in range(300)]
+    names = sorted({text(4) for _ in range(60)} | {"ABA, cab", "aba cab", "-", "cab cab zzz", "zzz zzz"})
+    rows, entries = spark.createDataFrame(labels, "specialty string, anatomy string"), spark.createDataFrame([(n,) for n in names], "entry string")
+    told = {n: rows.filter(R.specialty_matches(F.col("specialty"), F.col("anatomy"), F.lit(n), True)).count() for n in names[::6] + names[-3:]}
+    kept, keep = [], R.Steps.keep
+    monkeypatch.setattr(R.Steps, "keep", lambda self, df: kept.append(df.columns) or keep(self, df))
+    once = {r.entry: r.n for r in R.facet_ontology(rows, entries).collect()}
+    assert kept == [["entry", "w"]]
+    assert once == {r.entry: r.n for r in R.facet_ontology(rows, entries, most=0).collect()}
+    assert {n: once.get(n, 0) for n in told} == told and len(once) > 20
