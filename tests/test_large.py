@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from recordloom import queries as Q
 from recordloom.operators import match as M
 from recordloom.operators import results as R
 from recordloom.operators import review as V
@@ -89,3 +90,9 @@ def test_facets_keep_no_copies_of_the_texts(spark, monkeypatch):
     assert kept == [["entry", "w"]]
     assert once == {r.entry: r.n for r in R.facet_ontology(rows, entries, most=0).collect()}
     assert {n: once.get(n, 0) for n in told} == told and len(once) > 20
+
+
+def test_procedures_are_sized_in_one_pass(spark, sf_dir):
+    """The sizes of all parts were a broadcast table that grows with them."""
+    for half in Q._procedure_halves(spark, sf_dir):
+        assert "Join" not in half._jdf.queryExecution().optimizedPlan().toString()
